@@ -32,13 +32,6 @@ class NumpyBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.made = np.array([f.vocab[a + b] for a, b in f.merges], np.int64)[order]
-        tokens = {i: t for t, i in f.vocab.items()} | {i: t for t, i in f.specials.items()}
-        self.tokens = [tokens.get(i, "") for i in range(max(tokens) + 1)]
-        if f.byte_decoder:
-            byte_of = {c: b for b, c in enumerate(chars)}
-            self.pieces_out = [bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t in self.tokens]
-        else:
-            self.pieces_out = [t.encode() for t in self.tokens]
         self.cache = PieceCache(f, self._encode_pieces)
 
     def _look_up(self, sym: np.ndarray, word: np.ndarray, at: np.ndarray, rank: np.ndarray, new: np.ndarray) -> None:
@@ -104,24 +97,34 @@ class NumpyBpe:
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.cache.encode(texts)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """UTF-8 of the decoded text. Ids outside the vocabulary are skipped."""
-        joiner = b"" if self.file.byte_decoder else b" "
-        out = joiner.join(map(self.pieces_out.__getitem__, ids.tolist())) if not len(ids) or int(ids.max()) < len(self.tokens) else joiner.join(self.pieces_out[i] for i in ids.tolist() if i < len(self.tokens))
-        return out.decode("utf-8", "replace").encode() if self.file.byte_decoder else out
+
+class BpeDecoder:
+    def __init__(self, path: str):
+        f = TokenizerFile(path)
+        tokens = {i: t for t, i in f.vocab.items()} | {i: t for t, i in f.specials.items()}
+        self.by_byte = f.byte_decoder
+        byte_of = {c: b for b, c in enumerate(byte_chars())}
+        as_bytes = (lambda t: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode()) if self.by_byte else str.encode
+        self.out = [as_bytes(tokens.get(i, "")) for i in range(max(tokens) + 1)]
+
+    def decode(self, ids: np.ndarray) -> str:
+        """Without a decoder in the file, tokens are joined by spaces. Ids outside the vocabulary are skipped."""
+        if len(ids) and (int(ids.max()) >= len(self.out) or int(ids.min()) < 0):
+            ids = ids[(ids >= 0) & (ids < len(self.out))]
+        return (b"" if self.by_byte else b" ").join(map(self.out.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, NumpyBpe] = {}
+_LOADED: dict = {}
 
 
-def loaded(path: str) -> NumpyBpe:
-    if path not in _LOADED:
-        _LOADED[path] = NumpyBpe(path)
-    return _LOADED[path]
+def loaded(kind: type, path: str):
+    if (kind, path) not in _LOADED:
+        _LOADED[kind, path] = kind(path)
+    return _LOADED[kind, path]
 
 
-def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ids (array<int>) of each whole text.
+def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", packed: bool = False) -> DataFrame:
+    """``id_col`` and ids of each whole text: array<int>, or if ``packed`` little-endian unsigned 32-bit integers.
 
     Special tokens' strings inside a text become their ids; none are added. A
     null or empty text has no ids. Repeated rows give repeated rows; a null id
@@ -129,32 +132,35 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
-        for b in text_batches(batches, 1):
+        bpe = loaded(NumpyBpe, path)
+        for b in text_batches(batches, 1, 2_000_000):
             ids = bpe.encode(b.column(1).to_pylist())
-            offsets = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
-            flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["id", "ids"])
+            out = pa.array(ids, pa.binary())
+            if not packed:
+                offsets = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
+                out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), out], names=["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(docs[id_col].alias("id"), text_of(text_col).alias("text"))
-    return narrow.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(run, f"id {kind}, ids {'binary' if packed else 'array<int>'}").withColumnRenamed("id", id_col)
 
 
 def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``ids_col`` and the decoded text. Null ids count as none; ids that the vocabulary lacks are skipped."""
+    """``id_col``, ``ids_col`` (either form) and the decoded text. Null ids count as none; ids that the vocabulary lacks are skipped."""
+    form = encoded.schema[ids_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        decode = loaded(BpeDecoder, path).decode
         for b in batches:
-            lists = b.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(n)
-            texts = [bpe.decode(flat[e - k : e]).decode() for e, k in zip(ends.tolist(), n.tolist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(texts, pa.string())], names=["id", "ids", "text"])
+            if form == "binary":
+                arrays = [np.frombuffer(x or b"", "<u4").astype(np.int64) for x in b.column(1).to_pylist()]
+            else:
+                lists = b.column(1)
+                ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                arrays = np.split(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ends[:-1]) if len(b) else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(decode, arrays), pa.string())], names=["id", "ids", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    out = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids")).mapInArrow(run, f"id {kind}, ids array<int>, text string")
+    out = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids")).mapInArrow(run, f"id {kind}, ids {form}, text string")
     return out.toDF(id_col, ids_col, text_col)

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,20 +26,13 @@ URL_RULES = [
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(WORD_BPE)
-    ids = bpe.bpe_encode(table(spark, sf_dir, "documents"), path)
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(1)
-            n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.cumsum(n)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            ids_sha = [hashlib.sha256(flat[e - k : e].tobytes()).hexdigest() for e, k in zip(ends.tolist(), n.tolist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(ids_sha, pa.string()), b.column(2)], names=["doc_id", "n_tokens", "ids_sha256", "text"])
-
-    decoded = bpe.bpe_decode(ids, path)
-    out = decoded.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, text string")
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    ids = bpe.bpe_encode(table(spark, sf_dir, "documents"), path, packed=True)
+    return bpe.bpe_decode(ids, path).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

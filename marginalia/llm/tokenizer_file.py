@@ -99,7 +99,7 @@ class PieceCache:
     becomes the old one, from which what is asked for again is taken over.
     """
 
-    def __init__(self, file: TokenizerFile, encode_pieces, most: int = 400_000):
+    def __init__(self, file: TokenizerFile, encode_pieces, most: int = 200_000):
         self.file, self.encode_pieces, self.most = file, encode_pieces, most
         self.ids: dict = {}
         self.old: dict = {}

@@ -99,12 +99,13 @@ class TextCnn:
     def logits(self, e: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return (self.pool(e, starts)[0] @ self.p["out"] + self.p["bias"][0] + self.shift).astype(np.float64)
 
-    def fit(self, docs: list[np.ndarray], parts: np.ndarray, y: np.ndarray, epochs: int = 7, batch: int = 64, rate: float = 5e-3, seed: int = 11) -> None:
+    def fit(self, docs: list[np.ndarray], parts: np.ndarray, y: np.ndarray, epochs: int | None = None, batch: int = 64, rate: float = 5e-3, seed: int = 11) -> None:
         """``docs`` hold word numbers, ``parts`` the embedding rows of each word. Adam; embeddings are moved where touched."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()} | {"emb": np.zeros_like(self.emb)}
         v = {k: x.copy() for k, x in m.items()}
         step = 0
+        epochs = epochs or int(np.clip(45_000 / max(1, len(docs)), 7, 60))  # small samples need more passes
         self.p["bias"][0] = _logit(min(0.99, max(0.01, float(y.mean()))))
         for epoch in range(epochs):
             lr = rate * (1 - epoch / epochs)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, near_dedup, packing, token_counts, toxicity, url_filter
+from . import bpe, exact_dedup, near_dedup, packing, suffix_dedup, token_counts, toxicity, url_filter
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -55,6 +55,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_url_filter": op5_url_filter,
     "op8_near_dedup": op8_near_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_best_fit_pack": op10_best_fit_pack,
 }
 

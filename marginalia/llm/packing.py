@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, text_of
+from .common import materialise, text_batches, text_of
 from .tokenizer_file import LibraryPieces, library_encoder, segments
 
 #: Documents in a shard, on average. A shard wastes at most about one sequence.
@@ -163,5 +163,5 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, id_col: str
     length 1. Repeated rows are packed each; null ids stay null; other columns are
     not read; an empty table gives an empty one.
     """
-    pieces = tokenise(docs, path, capacity, 0, id_col, text_col, tokens)
+    pieces = materialise(tokenise(docs, path, capacity, 0, id_col, text_col, tokens))
     return best_fit_pack(pieces, capacity, docs.count(), "length", (id_col, "piece", "length", "ids_crc32"))

@@ -28,16 +28,15 @@ segments at its two ends.
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import by, pack, rows_of, unpack, whole
 from .common import U64, materialise, spread_join, text_of, total_bytes
 
 PREFIX = 16
@@ -51,14 +50,6 @@ PART = 400_000
 SAMPLE_DOCS, SAMPLE_SUFFIXES = 2000, 64
 
 
-def pack(*arrays) -> bytes:
-    return zstandard.compress(pickle.dumps(arrays, protocol=5), 3)
-
-
-def unpack(blob: bytes):
-    return pickle.loads(zstandard.decompress(blob))
-
-
 def words8(buf: np.ndarray) -> np.ndarray:
     """The eight bytes from each position as one big-endian integer; the last seven positions have none."""
     out = np.empty(max(0, len(buf) - 7), U64)
@@ -170,24 +161,12 @@ def _gathered(batches: Iterator[pa.RecordBatch], match: int):
         yield out()
 
 
-def _by(keys: np.ndarray):
-    """(key, positions) for each distinct key."""
-    order = np.argsort(keys, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]]) if len(keys) else []
-    for a, z in zip(cuts, [*cuts[1:], len(keys)]):
-        yield int(keys[order[a]]), order[a:z]
-
-
 def _group_of(ids: np.ndarray, groups: int) -> np.ndarray:
     x = ids.astype(np.int64).view(U64) * U64(0x9E3779B97F4A7C15)
     x ^= x >> U64(32)
     return ((x * U64(0xBF58476D1CE4E5B9)) >> U64(33)).astype(np.int64) % groups
 
 
-def _rows(rows: list[tuple[int, bytes]], names: tuple[str, str] = ("part", "block")) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=list(names))
-
-
 def _sampled_splitters(narrow: DataFrame, n_docs: int, buckets: int, match: int) -> np.ndarray:
     every = max(1, n_docs // SAMPLE_DOCS)
 
@@ -283,10 +262,10 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, match: int, with_text:
         for ids, texts in _gathered(batches, match):
             which, start, _, choice, lead = segments_of(texts, match)
             part = np.searchsorted(splitters, lead, side="right")
-            yield _rows([(p, pack(ids, which[r].astype(np.int32), np.diff(start[r], prepend=0).astype(np.int32), (choice[r] >> U64(32)).astype(np.uint32))) for p, r in _by(part)])
+            yield rows_of([(p, pack(ids, which[r].astype(np.int32), np.diff(start[r], prepend=0).astype(np.int32), (choice[r] >> U64(32)).astype(np.uint32))) for p, r in by(part)])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blocks in _whole(batches):
+        for blocks in whole(batches):
             ids, start, hashes = [], [], []
             for own, which, steps, h in map(unpack, blocks):
                 ids.append(own[which])
@@ -300,15 +279,15 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, match: int, with_text:
             order = order[np.repeat(low < high, lengths)]
             ids, start = ids[order], start[order]
             out = []
-            for p, r in _by(_group_of(ids, groups)):
+            for p, r in by(_group_of(ids, groups)):
                 r = r[np.lexsort((start[r], ids[r]))]
                 out.append((p, pack(np.diff(ids[r], prepend=0), start[r].astype(np.uint32))))
             if out:
-                yield _rows(out)
+                yield rows_of(out)
 
     def send_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _gathered(batches, match):
-            yield _rows([(p, pack(ids[r], np.array([len(texts[i]) for i in r]), b"".join([texts[i] for i in r]))) for p, r in _by(_group_of(ids, groups))])
+            yield rows_of([(p, pack(ids[r], np.array([len(texts[i]) for i in r]), b"".join([texts[i] for i in r]))) for p, r in by(_group_of(ids, groups))])
 
     def texts_in(blocks) -> tuple[np.ndarray, list[bytes]]:
         ids, texts = [], []
@@ -329,7 +308,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, match: int, with_text:
         keep = np.isin(code[: len(ids)][which] << 32 | start, code[len(ids) :] << 32 | want_at)
         which, start, count, choice, lead = which[keep], start[keep], count[keep], choice[keep], lead[keep]
         out = []
-        for p, r in _by(np.searchsorted(splitters, lead, side="right")):
+        for p, r in by(np.searchsorted(splitters, lead, side="right")):
             seen: dict[bytes, int] = {}
             of = np.array([seen.setdefault(texts[i][a : a + c + match - 1], len(seen)) for i, a, c in zip(which[r].tolist(), start[r].tolist(), count[r].tolist())])
             picks = np.zeros(len(seen), U64)
@@ -338,7 +317,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, match: int, with_text:
         return _table(out)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blocks in _whole(batches):
+        for blocks in whole(batches):
             seen: dict[bytes, int] = {}
             choice, ids, start, of = [], [], [], []
             for own, at, which, picks, sizes, joined in map(unpack, blocks):
@@ -357,11 +336,11 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, match: int, with_text:
             row, lo, hi = (np.concatenate([f[k] for f in found]) for k in range(3))
             ids, lo, hi = ids[row], start[row] + lo, start[row] + hi
             out = []
-            for p, r in _by(_group_of(ids, groups)):
+            for p, r in by(_group_of(ids, groups)):
                 r = r[np.lexsort((lo[r], ids[r]))]
                 out.append((p, pack(np.diff(ids[r], prepend=0), lo[r].astype(np.uint32), (hi[r] - lo[r]).astype(np.uint32))))
             if out:
-                yield _rows(out)
+                yield rows_of(out)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
@@ -369,7 +348,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, match: int, with_text:
             ids, texts = texts_in(left.column("block").to_pylist())
             marks = [(np.cumsum(i), lo.astype(np.int64), n.astype(np.int64)) for i, lo, n in map(unpack, right.column("block").to_pylist())]
             mid, lo, n = (np.concatenate([m[k] for m in marks]) for k in range(3))
-            mine = dict(_by(mid))
+            mine = dict(by(mid))
             done = set()
             for i, t in zip(ids.tolist(), texts):
                 if i not in mine or i in done:
@@ -392,17 +371,7 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, match: int, with_text:
 
 
 def _table(rows: list[tuple[int, bytes]]) -> pa.Table:
-    return pa.Table.from_batches([_rows(rows)])
-
-
-def _whole(batches: Iterator[pa.RecordBatch]):
-    """All blocks of each bucket in the partition; blocks stay compressed until their turn."""
-    held: dict[int, list[bytes]] = {}
-    for b in batches:
-        for p, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            held.setdefault(p, []).append(block)
-    while held:
-        yield held.popitem()[1]
+    return pa.Table.from_batches([rows_of(rows)])
 
 
 def repeated_passages(docs: DataFrame, match: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:

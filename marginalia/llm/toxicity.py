@@ -264,3 +264,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     lang = docs[lang_col] if lang_col in docs.columns else F.lit("")
     narrow = docs.select(docs[id_col].alias("id"), text_of(text_col).alias("text"), lang.alias("lang"), held_out(id_col).alias("held_out"))
     return narrow.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int, flagged boolean").withColumnRenamed("id", id_col)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject, with all their columns. Rows with a null id stay."""
+    gone = score_toxicity(docs, labels, id_col, text_col, label_col, lang_col, train_rows).where("flagged").select(F.col(id_col).alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

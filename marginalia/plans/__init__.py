@@ -1,4 +1,5 @@
 """Registered queries over the test tables, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .queries import ORACLE_SQL, QUERIES, flagship
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -10,9 +10,10 @@ within most_apart() are confirmed on the full shingle sets.
 
 Groups are never expanded into all their pairs. Documents with equal shingle
 sets are one class first. Then each member of a bucket is tried with the
-bucket's first member and the nearest of a few before it, which is linear;
-only pairs whose ends are still in different components after that are tried,
-once each, under the first key they share.
+bucket's first member and the nearest of a few before it, which is linear.
+Members that are still close to one in another component after that form
+groups, and each sends its set to its group once; there, pairs across
+components are tried, and only links that join two components come out.
 
 At a similarity of 0.85 the distance over 96 symbols is 14.4 +- 3.5, and a pair
 shares no key with probability 5e-7; most_apart() is five deviations away.
@@ -37,6 +38,8 @@ INDEXED = CHUNKS * CHUNK
 LOOK_BACK = 24
 #: Rows that are compared with others at once.
 BLOCK = 512
+#: Members of an unsettled group that are compared in one task; larger groups are cut into blocks, and pairs of blocks.
+BLOCK_OF_GROUP = 2000
 #: Bits in the bitmap that tells the second scan which documents to read: 65,536 rows of one long.
 BITMAP_BITS = 22
 
@@ -202,48 +205,78 @@ def _first_round(percent: int):
     return run
 
 
-def _second_round(percent: int):
-    """Rows (key, id, n, sig, comp) sorted by key and comp: pairs across components, under the first key they share."""
-
+def _unsettled(percent: int):
+    """Rows (key, id, n, sig, comp) sorted by key and comp: of each bucket the members with a close one in another component, as pairs with the first such member."""
     most = most_apart(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches):
-            comp = np.unique(g.column(4).to_numpy(zero_copy_only=False), return_inverse=True)[1]
-            if not comp.any():
+            comp = g.column(4).to_numpy(zero_copy_only=False)
+            if comp[0] == comp[-1]:
                 continue
-            order = np.argsort(comp, kind="stable")
-            comp, n, sig = comp[order], g.column(2).to_numpy()[order], _matrix(g.column(3))[order]
-            keys, ids = bucket_keys(sig), g.column(1).take(pa.array(order))
-            mine = int(np.flatnonzero(keys[0] == g.column(0)[0].as_py())[0])
-            for x in range(0, len(g), BLOCK):
-                xs = slice(x, min(len(g), x + BLOCK))
+            n, sig = g.column(2).to_numpy(), _matrix(g.column(3))
+            some = np.zeros(len(g), bool)
+            for x in range(0, len(g), BLOCK // 4):
+                xs = slice(x, min(len(g), x + BLOCK // 4))
                 for y in range(x, len(g), BLOCK):
                     ys = slice(y, min(len(g), y + BLOCK))
                     if comp[xs.start] == comp[ys.stop - 1]:
                         continue
-                    i, j = np.nonzero((comp[xs, None] < comp[None, ys]) & _fits(n[xs], n[ys], percent))
-                    for at in range(0, len(i), 200_000):
-                        p, q = i[at : at + 200_000] + x, j[at : at + 200_000] + y
-                        near = (sig[p] != sig[q]).sum(axis=1) <= most
-                        p, q = p[near], q[near]
-                        first = (keys[p][:, :mine] == keys[q][:, :mine]).any(axis=1) if mine else np.zeros(len(p), bool)
-                        yield from _pairs(p[~first].tolist(), q[~first].tolist(), ids)
+                    near = (comp[xs, None] != comp[None, ys]) & _fits(n[xs], n[ys], percent)
+                    near &= _apart(sig[xs], sig[ys]) <= most
+                    some[xs] |= near.any(axis=1)
+                    some[ys] |= near.any(axis=0)
+            at = np.flatnonzero(some)
+            if len(at):
+                yield from _pairs([int(at[0])] * (len(at) - 1), at[1:].tolist(), g.column(1))
 
     return run
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose full sets are similar enough.
+def _settle(percent: int):
+    """Rows (key, id, n, sig, comp, part, set) sorted by key: links that join components within a group, or between the two blocks of one.
 
-    Sets are made again from the texts, only of documents in some pair; each goes
-    once to each group of pairs with the same a, and groups are read as streams.
-    """
+    Pairs are tried closest first for each member, and none whose ends are already joined."""
+    most = most_apart(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches):
+            comp = np.unique(g.column(4).to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            n, sig, part = g.column(2).to_numpy(), _matrix(g.column(3)), g.column(5).to_numpy()
+            sets = [np.frombuffer(x, U64) for x in g.column(6).to_pylist()]
+            two = part[0] != part[-1] or len(np.unique(part)) > 1
+            a, b = [], []
+            for x in range(len(g)):
+                other = comp[:x] != comp[x]
+                if two:
+                    other &= part[:x] != part[x]
+                ys = np.flatnonzero(other)
+                ys = ys[_fits(n[x : x + 1], n[ys], percent)[0]]
+                d = (sig[ys] != sig[x]).sum(axis=1)
+                ys = ys[d <= most]
+                if not len(ys):
+                    continue
+                size = np.array([len(sets[y]) for y in ys])
+                flat = np.concatenate([sets[y] for y in ys])
+                at = np.searchsorted(sets[x], flat)
+                at[at == len(sets[x])] = 0
+                both = np.add.reduceat((sets[x][at] == flat).astype(np.int64), np.cumsum(size) - size)
+                for y in ys[100 * both >= percent * (size + len(sets[x]) - both)]:
+                    if comp[y] != comp[x]:
+                        a.append(int(y))
+                        b.append(x)
+                        comp[comp == comp[y]] = comp[x]
+            yield from _pairs(a, b, g.column(1))
+
+    return run
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, set) of the documents in ``ids``, made again from the texts; a bitmap of fixed size tells the scan which."""
     kind = docs.schema[id_col].dataType.simpleString()
-    members = pairs.select(F.col("a").alias("g"), F.col("b").alias("id")).unionByName(pairs.select(F.col("a").alias("g"), F.col("a").alias("id"))).distinct()
     slot = F.pmod(F.xxhash64("id"), F.lit(1 << BITMAP_BITS))
     bit = F.expr("shiftleft(1L, cast(s & 63 as int))")
-    bitmap = members.select(slot.alias("s")).groupBy(F.expr("s >> 6").alias("w")).agg(F.bit_or(bit).alias("bits"))
+    bitmap = ids.select(slot.alias("s")).groupBy(F.expr("s >> 6").alias("w")).agg(F.bit_or(bit).alias("bits"))
     some = docs.select(docs[id_col].alias("id"), text_of(text_col).alias("text")).withColumn("s", slot).withColumn("w", F.expr("s >> 6"))
     some = some.join(F.broadcast(bitmap), "w").where(F.col("bits").bitwiseAND(bit) != 0).select("id", "text")
 
@@ -251,6 +284,17 @@ def _confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, widt
         for b in text_batches(batches, 1, 2_000_000):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, width).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "set"])
 
+    return some.mapInArrow(make, f"id {kind}, set binary")
+
+
+def _confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose full sets are similar enough.
+
+    Sets are made again from the texts, only of documents in some pair; each goes
+    once to each group of pairs with the same a, and groups are read as streams.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    members = pairs.select(F.col("a").alias("g"), F.col("b").alias("id")).unionByName(pairs.select(F.col("a").alias("g"), F.col("a").alias("id"))).distinct()
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, own_set = None, np.zeros(0, U64)
         for b in batches:
@@ -271,8 +315,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, widt
             if out:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(out)), b.column(2).take(pa.array(out))], names=["a", "b"])
 
-    sets = some.mapInArrow(make, f"id {kind}, set binary")
-    rows = members.join(sets, "id").select("g", (F.col("g") != F.col("id")).alias("other"), "id", "set")
+    rows = members.join(_sets_of(docs, members, id_col, text_col, width), "id").select("g", (F.col("g") != F.col("id")).alias("other"), "id", "set")
     return rows.repartition("g").sortWithinPartitions("g", "other").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
@@ -298,10 +341,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, id_col:
     links = materialise(_confirm(docs, tried, id_col, text_col, width, percent))
     so_far = materialise(connected_components(links))
     placed = shared.join(so_far.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", "sig", F.coalesce("component", "id").alias("comp"))
-    across = placed.repartition("key").sortWithinPartitions("key", "comp").mapInArrow(_second_round(percent), pair)
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = materialise(across.join(tried, ["a", "b"], "left_anti"))
-    more = _confirm(docs, across, id_col, text_col, width, percent)
+    open_ = materialise(placed.repartition("key").sortWithinPartitions("key", "comp").mapInArrow(_unsettled(percent), pair).distinct())
+    groups = materialise(connected_components(open_))
+    blocks = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK_OF_GROUP).cast("int").alias("of"))
+    members = groups.join(blocks, "component").join(classes.select(F.col("id").alias("node"), "n", "sig"), "node").join(so_far.select("node", F.col("component").alias("comp")), "node", "left")
+    members = members.withColumnRenamed("node", "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
+    members = members.join(_sets_of(docs, groups.select(F.col("node").alias("id")), id_col, text_col, width), "id").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    key = F.concat_ws("/", "component", F.least("part", "x"), F.greatest("part", "x"))
+    members = members.select(key.alias("key"), "id", "n", "sig", F.coalesce("comp", "id").alias("comp"), "part", "set")
+    more = members.repartition("key").sortWithinPartitions("key").mapInArrow(_settle(percent), pair)
     stars = so_far.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = connected_components(stars.unionByName(more)).withColumnRenamed("node", "id")
     of_class = materialise(classes.join(final, "id", "left").select("h", F.coalesce("component", "id").alias("component_id"), "c"))

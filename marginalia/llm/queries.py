@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, lm_score, near_dedup, packing, suffix_dedup, token_counts, toxicity, url_filter
+from . import bpe, exact_dedup, lm_score, media, near_dedup, packing, suffix_dedup, token_counts, toxicity, url_filter
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -51,6 +51,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images, so one is drawn from each vector; every fifth is an edited copy of another."""
+    return media.image_copies(media.media_from_vectors(table(spark, sf_dir, "embeddings")))
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_url_filter": op5_url_filter,
+    "op6_media_copies": op6_media_copies,
     "op7_lm_score": op7_lm_score,
     "op8_near_dedup": op8_near_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,

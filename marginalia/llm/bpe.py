@@ -123,8 +123,9 @@ def loaded(kind: type, path: str):
     return _LOADED[kind, path]
 
 
-def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", packed: bool = False) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", packed: bool = False, decoded: bool = False) -> DataFrame:
     """``id_col`` and ids of each whole text: array<int>, or if ``packed`` little-endian unsigned 32-bit integers.
+    With ``decoded`` also what bpe_decode makes of the ids, while they are at hand.
 
     Special tokens' strings inside a text become their ids; none are added. A
     null or empty text has no ids. Repeated rows give repeated rows; a null id
@@ -139,11 +140,15 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             if not packed:
                 offsets = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
                 out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(0), out], names=["id", "ids"])
+            cols = [b.column(0), out]
+            if decoded:
+                decode = loaded(BpeDecoder, path).decode
+                cols.append(pa.array((decode(np.frombuffer(x, "<u4").astype(np.int64)) for x in ids), pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "ids", "decoded"][: len(cols)])
 
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(docs[id_col].alias("id"), text_of(text_col).alias("text"))
-    return narrow.mapInArrow(run, f"id {kind}, ids {'binary' if packed else 'array<int>'}").withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(run, f"id {kind}, ids {'binary' if packed else 'array<int>'}" + ", decoded string" * decoded).withColumnRenamed("id", id_col)
 
 
 def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -152,7 +157,7 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = loaded(BpeDecoder, path).decode
-        for b in batches:
+        for b in (b.slice(at, 500) for b in batches for at in range(0, len(b), 500)):
             if form == "binary":
                 arrays = [np.frombuffer(x or b"", "<u4").astype(np.int64) for x in b.column(1).to_pylist()]
             else:

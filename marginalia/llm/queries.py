@@ -26,12 +26,12 @@ URL_RULES = [
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(WORD_BPE)
-    ids = bpe.bpe_encode(table(spark, sf_dir, "documents"), path, packed=True)
-    return bpe.bpe_decode(ids, path).select(
+    coded = bpe.bpe_encode(table(spark, sf_dir, "documents"), path, packed=True, decoded=True)
+    return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -91,10 +91,10 @@ def evidence_ragged(spark, sf):
     return _summary(_points(spark, sf, N, True))
 
 
-@query(f"WITH {_run_sql()} SELECT rk AS iter, point_id, round(logl, 6) AS logl, nlive::BIGINT AS nlive, round(logvol, 6) AS logvol, round(logwt, 6) AS logwt, nchild = 0 AS is_tail, round(peak + ln(sum(e) OVER (ORDER BY rk)), 6) AS logz FROM zz")
+@query(f"WITH {_run_sql()} SELECT rk AS iter, point_id, round(logl, 6) + 0.0 AS logl, nlive::BIGINT AS nlive, round(logvol, 6) AS logvol, round(logwt, 6) AS logwt, nchild = 0 AS is_tail, round(peak + ln(sum(e) OVER (ORDER BY rk)), 6) AS logz FROM zz")
 def evidence_sequence(spark, sf):
     s = ev.running_evidence(ev.weighted(_points(spark, sf)))
-    return s.select(F.col("rk").alias("iter"), "point_id", _r("logl").alias("logl"), "nlive", _r("logvol").alias("logvol"), _r("logwt").alias("logwt"), (F.col("nchild") == 0).alias("is_tail"), _r("logz").alias("logz"))
+    return s.select(F.col("rk").alias("iter"), "point_id", (_r("logl") + 0.0).alias("logl"), "nlive", _r("logvol").alias("logvol"), _r("logwt").alias("logwt"), (F.col("nchild") == 0).alias("is_tail"), _r("logz").alias("logz"))
 
 
 @query(f"WITH {_run_sql(N, True)} SELECT point_id, nlive::BIGINT AS nlive FROM l")
@@ -448,3 +448,46 @@ def bayes_factor(spark, sf):
     o = read(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
     b = ev.summary(ev.weighted(points_from(o, "o_orderkey", F.expr("-0.5D*pow((o_totalprice-200000D)/60000D, 2D)"), N))).select(F.col("logz").alias("b"))
     return a.join(F.broadcast(b)).select(_r(F.col("a") - F.col("b")).alias("log_bayes_factor"))
+
+
+def _gauss(center: float = 0.5, sigma: float = 0.1, dims: int = 2):
+    from ..operators.sampler import Problem
+
+    return Problem([f"x{i + 1}" for i in range(dims)], _Gauss(center, sigma, dims))
+
+
+class _Gauss:
+    """A normalised Gaussian in the unit cube: the evidence is close to 1."""
+
+    def __init__(self, center: float, sigma: float, dims: int):
+        self.center, self.sigma, self.norm = center, sigma, -dims * math.log(sigma * math.sqrt(2 * math.pi))
+
+    def __call__(self, p):
+        return -0.5 * (((p - self.center) / self.sigma) ** 2).sum(axis=1) + self.norm
+
+
+@query()
+def sampler_gauss(spark, sf):
+    from ..operators.sampler import NestedSampler, results
+
+    s = NestedSampler(spark, _gauss(), 200, seed=3, tasks=4).run(0.05)
+    return results(s.points(), ["x1", "x2"])[0]
+
+
+@query()
+def slice_sampler_gauss(spark, sf):
+    from ..operators.sampler import NestedSampler, results
+
+    s = NestedSampler(spark, _gauss(), 200, seed=4, tasks=4, stepper="slice", nsteps=6).run(0.05)
+    return results(s.points(), ["x1", "x2"])[0]
+
+
+@query()
+def stream_order_test(spark, sf):
+    """Running order tests of users' values within a hundred, as a stateful stream."""
+    from ..streaming import drain, order_test
+
+    schema = read(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    ranks = events.select((F.col("user_id") % 16).alias("run_id"), F.col("event_id").alias("seq"), F.pmod(F.floor("value"), F.lit(100)).alias("rank"), F.lit(100).cast("long").alias("n"))
+    return drain(order_test(ranks), spark)

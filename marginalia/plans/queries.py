@@ -16,6 +16,7 @@ from ..operators import evidence as ev
 from ..operators import ordertest as ot
 from ..operators import posterior as po
 from ..operators import region as rg
+from ..operators import strategy as st
 from ..operators import warmstart as ws
 from ..operators.ordered import range_partitioned, ranked, running_sum
 from ..sources import points_from, read
@@ -491,3 +492,104 @@ def stream_order_test(spark, sf):
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     ranks = events.select((F.col("user_id") % 16).alias("run_id"), F.col("event_id").alias("seq"), F.pmod(F.floor("value"), F.lit(100)).alias("rank"), F.lit(100).cast("long").alias("n"))
     return drain(order_test(ranks), spark)
+
+
+def _shares(spark, sf) -> DataFrame:
+    w = _weighted(spark, sf)
+    return w.join(F.broadcast(w.agg(F.sum("weight").alias("s")))).withColumn("p", F.col("weight") / F.col("s"))
+
+
+@query(f"WITH {_run_sql()}, c AS (SELECT rk, round(sum(e) OVER (ORDER BY rk) / sum(e) OVER (), 9) AS c FROM zz) SELECT min(rk) FILTER (c >= 0.0025) AS first, max(rk) FILTER (c <= 0.9975) AS last FROM c")
+def cumulative_range(spark, sf):
+    return st.cumulative_range(_shares(spark, sf).select("logl", "point_id", "p"), "p", ["logl", "point_id"], 0.0025)
+
+
+@query(f"WITH {_run_sql()}, c AS (SELECT point_id, round(sum(e) OVER (ORDER BY rk) / sum(e) OVER (), 12) AS c FROM zz) SELECT count(*) AS n, min(point_id) AS first_id FROM c WHERE c > 1e-4")
+def min_weight_filter(spark, sf):
+    kept = st.drop_light_head(_shares(spark, sf).select("logl", "point_id", "p"), "p", ["logl", "point_id"])
+    return kept.agg(F.count(F.lit(1)).alias("n"), F.min("point_id").alias("first_id"))
+
+
+@query("SELECT true AS linear, false AS square")
+def affine_check(spark, sf):
+    e = read(spark, sf, "events").select("event_id", F.col("value").alias("a"), (F.col("value") * 3 + 1).alias("b"), (F.col("value") * F.col("value")).alias("c"))
+    x = st.is_affine(e, "a", "b", "event_id", 1e-6).select(F.col("affine").alias("linear"))
+    return x.join(F.broadcast(st.is_affine(e, "a", "c", "event_id", 1e-6).select(F.col("affine").alias("square"))))
+
+
+@query(f"WITH {_run_sql()}, b AS (SELECT rk, logw, lag(logw) OVER (ORDER BY rk) AS before FROM w) SELECT rk AS iter, round(-1 / (logw - before), 3) AS nlive FROM b WHERE before IS NOT NULL AND rk % 100 = 0 AND rk < 1000")
+def live_number_backout(spark, sf):
+    w = ev.weighted(_points(spark, sf))
+    return st.live_number_from_weights(w).where("rk % 100 = 0 AND rk < 1000").select(F.col("rk").alias("iter"), _r("nlive", 3).alias("nlive"))
+
+
+@query(f"WITH {_run_sql()} SELECT c_nationkey AS cluster_id, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > 1".replace(f"WITH {_run_sql()} ", ""))
+def cluster_sizes(spark, sf):
+    return read(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("cluster_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+_FORKED = _run_sql().replace(f"CASE WHEN rk > {N} THEN rk - {N} END", "CASE WHEN rk > 800 THEN rk - 400 WHEN rk > 200 THEN (rk - 1) // 4 + 1 END")
+
+
+@query(f"""WITH RECURSIVE {_FORKED}, f AS (SELECT rk, nchild, 1::BIGINT AS weight FROM l0 WHERE prk IS NULL UNION ALL SELECT l0.rk, l0.nchild, f.weight * f.nchild FROM f JOIN l0 ON l0.prk = f.rk)
+SELECT f.weight, count(*) AS n FROM f GROUP BY f.weight""")
+def fork_weights(spark, sf):
+    """A run whose first 200 rows have up to four children each."""
+    r = ranked(_points(spark, sf).select("point_id", "logl"), "logl", "point_id").drop("__part")
+    parent = F.when(F.col("rk") > 800, F.col("rk") - 400).when(F.col("rk") > 200, F.floor((F.col("rk") - 1) / 4) + 1)
+    r = r.select(F.col("rk").alias("point_id"), "logl", parent.alias("parent_id"))
+    return st.fork_weights(r).groupBy(F.round(F.exp("log_weight")).cast("long").alias("weight")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH l AS (SELECT -abs(s_acctbal::DOUBLE) / 1000 AS logl FROM supplier), s AS (SELECT min(logl) AS lo, max(logl) AS top, quantile_cont(logl, 0.5) AS mid, count(*) AS n FROM l),
+ q AS (SELECT logl AS second FROM l ORDER BY logl LIMIT 1 OFFSET 1)
+SELECT round(lo, 6) AS lo, round(greatest(least(-5 - (-3 + ln(0.01)) - ln(n), mid), second), 6) AS hi FROM s, q""")
+def advice_range(spark, sf):
+    live = read(spark, sf, "supplier").select((-F.abs(F.col("s_acctbal").cast("double")) / 1000).alias("logl"))
+    return st.advice_range(live, -6.0, -5.0, -3.0).select(_r("lo").alias("lo"), _r("hi").alias("hi"))
+
+
+@query(f"WITH {_run_sql(N, True)} SELECT f.i AS floor, round(sqrt(sum(1e0 / pow(greatest(nlive, f.i), 2))), 6) AS error, sqrt(sum(1e0 / pow(greatest(nlive, f.i), 2))) < 0.3 AS enough FROM l, (VALUES (200::BIGINT), (400), (800)) f(i) GROUP BY f.i")
+def width_for_error(spark, sf):
+    return st.width_for_error(ev.live_points(_points(spark, sf, N, True)), 0.3, [200, 400, 800]).select("floor", _r("error").alias("error"), "enough")
+
+
+@query(f"""WITH {_run_sql()}, q AS (SELECT rk, (rk - 1) // 100 AS block, -0.5 * pow((o_totalprice - 245000) / 48000, 2) AS nl FROM r),
+ d AS (SELECT a.block, count(*) FILTER (a.nl > b.nl) * 2e0 AS k FROM q a JOIN q b ON a.block = b.block AND a.rk < b.rk GROUP BY a.block), n AS (SELECT block, count(*) AS n FROM q GROUP BY block),
+ e AS (SELECT block, k / (n * (n - 1)) AS distance FROM d JOIN n USING (block))
+SELECT block, round(distance, 6) AS distance, coalesce(block < (SELECT min(block) FROM e WHERE distance > 0.3), true) AS good FROM e""")
+def replay_blocks(spark, sf):
+    return st.replay_blocks(_points(spark, sf).select("point_id", "logl", "o_totalprice"), F.expr("-0.5D*pow((o_totalprice-245000D)/48000D, 2D)"), 100, 0.3).select("block", _r("distance").alias("distance"), "good")
+
+
+@query(f"WITH {_NEAR}, k AS (SELECT b_id, min(1 + a_id % 3) AS lo, max(1 + a_id % 3) AS hi FROM nb WHERE a_id % 5 = 0 GROUP BY b_id) SELECT id, CASE WHEN lo = hi THEN lo ELSE 0 END AS cluster FROM c LEFT JOIN k ON k.b_id = id")
+def match_clusters(spark, sf):
+    c = _cloud(spark, sf)
+    return st.match_clusters(c, c.where("id % 5 = 0").withColumn("cluster", 1 + F.col("id") % 3), 0.05, ["x", "y"])
+
+
+@query("""WITH u AS (SELECT s_suppkey, tan(pi() * ((s_suppkey * 37 % 101 + 0.5e0) / 102 - 0.5)) AS t1, tan(pi() * ((s_suppkey * 53 % 97 + 0.5e0) / 98 - 0.5)) AS t2 FROM supplier)
+SELECT s_suppkey, round(0.5 + 0.1 * t1 + 0.02 * t2, 5) AS x1, round(0.4 + 0.05 * t2, 5) AS x2, round(ln(1 + t1 * t1) + ln(1 + t2 * t2), 5) AS logweight FROM u""")
+def student_t_start(spark, sf):
+    s = read(spark, sf, "supplier")
+    u = [((F.col("s_suppkey") * 37 % 101 + 0.5) / 102.0).cast("double"), ((F.col("s_suppkey") * 53 % 97 + 0.5) / 98.0).cast("double")]
+    x, w = st.student_t_start(u, [0.5, 0.4], [[0.1, 0.02], [0.0, 0.05]])
+    return s.select("s_suppkey", _r(x[0], 5).alias("x1"), _r(x[1], 5).alias("x2"), _r(w, 5).alias("logweight"))
+
+
+@query("SELECT user_id, event_id // 20 AS block, round(avg(value), 6) AS mean, count(*) AS n FROM events GROUP BY user_id, event_id // 20")
+def step_smoothing(spark, sf):
+    return st.smoothed(read(spark, sf, "events"), "event_id", "value", 20, ["user_id"]).select("user_id", "block", _r("mean").alias("mean"), "n")
+
+
+@query(f"WITH {_run_sql()}, h AS (SELECT least(floor(o_totalprice / 600000 * 30), 29)::INT AS bin, sum(e) AS m FROM zz GROUP BY 1) SELECT i::INT AS bin, round(coalesce(m, 0), 6) AS mass FROM range(30) r(i) LEFT JOIN h ON h.bin = r.i")
+def marginal_histogram(spark, sf):
+    return po.histogram(_weighted(spark, sf), F.col("o_totalprice") / 600000.0, F.col("weight"), 30).select("bin", _r("mass").alias("mass"))
+
+
+@query(f"""WITH {_run_sql()}, eq AS (SELECT unnest(generate_series(1, copies)) AS k, o_totalprice AS x FROM (SELECT o_totalprice, (ceil(round(1000 * c - 0.5, 9)) - ceil(round(1000 * (c - p) - 0.5, 9)))::BIGINT AS copies
+  FROM (SELECT o_totalprice, p, sum(p) OVER (ORDER BY rk) AS c FROM (SELECT *, e / sum(e) OVER () AS p FROM zz))) WHERE copies > 0)
+SELECT 'o_totalprice' AS param, round(avg(x), 3) AS mean, round(stddev_pop(x), 3) AS stdev, round(quantile_cont(x, 0.5), 3) AS median, round(quantile_cont(x, 0.158655), 3) AS errlo, round(quantile_cont(x, 0.841345), 3) AS errup FROM eq""")
+def equal_weight_summary(spark, sf):
+    s = po.resample_equal(_shares(spark, sf).select("logl", "point_id", "o_totalprice", "p"), "p", ["logl", "point_id"], F.lit(1000.0))
+    return po.equal_weight_summary(s, ["o_totalprice"]).select("param", *[_r(c, 3).alias(c) for c in ("mean", "stdev", "median", "errlo", "errup")])

@@ -148,7 +148,7 @@ def best_fit_pack(pieces: DataFrame, capacity: int, n_docs: int, length_col: str
     alone = pieces.where(full).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     dealt = pieces.where(~full).withColumn("__shard", F.pmod(F.xxhash64(*(salt_cols or pieces.columns)), F.lit(shards)))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([length_col, *(salt_cols or [])], kind="stable")  # retried tasks give the same bins
         bins, offsets = pack_lengths(pdf[length_col].to_numpy(), capacity)
         return pdf.drop(columns="__shard").assign(sequence_id=bins + (int(key[0]) << 32), offset=offsets)

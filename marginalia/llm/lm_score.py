@@ -48,6 +48,8 @@ FREQUENT = 1 << 17
 #: Text gathered before blocks are sent, in bytes, and text in one bucket.
 GATHER_BYTES = 12_000_000
 BUCKET_BYTES = 12_000_000
+#: Text counted, and scored, at once.
+COUNT_BYTES = 2_000_000
 #: Codes looked up at once.
 BLOCK = 1_500_000
 END_TOKEN = U64(0x5BF0A8B1457695E3)
@@ -212,18 +214,30 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     buckets = max(4, -(-size // BUCKET_BYTES))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _gathered(batches, GATHER_BYTES):
+        some: list[tuple] = []
+        size = 0
+
+        def send() -> pa.RecordBatch:
+            codes, counts = _summed(*(np.concatenate([x[k] for x in some]) for k in (0, 1)))
+            words, times = _summed(*(np.concatenate([x[k] for x in some]) for k in (2, 3)))
+            out = [(0, p, 0, pack(_delta(codes[r]), counts[r].astype(np.uint32))) for p, r in by(_code_bucket(codes, buckets))]
+            out += [(1, p, int(times[r].sum()), pack(_delta(words[r]), times[r].astype(np.uint32))) for p, r in by((words % U64(buckets)).astype(np.int64))]
+            return _batch(("kind", "part", "n", "block"), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), out)
+
+        for rows in _gathered(batches, COUNT_BYTES):
             docs = [words_of(t) for _, t, _ in rows]
             train = np.array([not h for _, _, h in rows], np.int64)
             codes, sizes = strings(docs)
             codes, counts = _summed(codes, np.repeat(train, sizes))
             words, of = _tokens(docs)
             words, times = _summed(words, train[of])
-            known = times > 0
-            words, times = words[known], times[known]
-            out = [(0, p, 0, pack(_delta(codes[r]), counts[r].astype(np.uint32))) for p, r in by(_code_bucket(codes, buckets))]
-            out += [(1, p, int(times[r].sum()), pack(_delta(words[r]), times[r].astype(np.uint32))) for p, r in by((words % U64(buckets)).astype(np.int64))]
-            yield _batch(("kind", "part", "n", "block"), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), out)
+            some.append((codes, counts, words[times > 0], times[times > 0]))
+            size += int(sizes.sum())
+            if size >= GATHER_BYTES:
+                yield send()
+                some, size = [], 0
+        if some:
+            yield send()
 
     gathered = materialise(narrow.mapInArrow(gather, "kind int, part long, n long, block binary"))
     total = int(gathered.where("kind = 1").agg(F.sum("n")).first()[0] or 0)
@@ -285,7 +299,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes_in, values_in = model.value
             number = TaskContext.get().partitionId() << 40
-            for rows in _gathered(batches, GATHER_BYTES // 3):
+            for rows in _gathered(batches, COUNT_BYTES):
                 docs = [words_of(t) for _, t, _ in rows]
                 codes, sizes = strings(docs)
                 sums = np.add.reduceat(_look_up(codes_in, values_in, codes).astype(np.float64), np.cumsum(sizes) - sizes)
@@ -302,13 +316,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                     known = np.bincount(of[common], minlength=len(docs))
                     out = [(*o[:4], int(a), float(b), *o[6:]) for o, a, b in zip(out, known, logs)]
                     words, of = words[~common], of[~common]
-                    order = np.lexsort((of, words))
+                    order = np.argsort(words)
                     words, of = words[order], of[order]
-                    new = np.flatnonzero(np.r_[True, (words[1:] != words[:-1]) | (of[1:] != of[:-1])]) if len(words) else np.zeros(0, np.int64)
-                    times = np.diff(np.r_[new, len(words)])
-                    words, of = words[new], of[new]
                     for p, r in by((words % U64(buckets)).astype(np.int64)):
-                        out.append((None, None, None, None, None, None, None, None, p, pack(int(ids[0]), _delta(words[r]), of[r].astype(np.uint32), times[r].astype(np.uint32))))
+                        out.append((None, None, None, None, None, None, None, None, p, pack(int(ids[0]), _delta(words[r]), of[r].astype(np.uint16 if len(rows) < 65_536 else np.uint32))))
                 yield _batch(names, kinds, out)
 
         return run
@@ -326,13 +337,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def rare(left: pa.Table, right: pa.Table) -> pa.Table:
         words, times = (np.concatenate(x) for x in zip(*map(unpack, right.column("block").to_pylist()))) if len(right) else (np.zeros(0, U64), np.zeros(0, np.uint32))
         found: list[tuple] = []
-        for base, steps, of, tf in map(unpack, left.column("block").to_pylist()):
+        for base, steps, of in map(unpack, left.column("block").to_pylist()):
             own = np.cumsum(steps)
             at = np.searchsorted(words, own)
             at[at == len(words)] = 0
             hit = words[at] == own if len(words) else np.zeros(len(own), bool)
-            of, tf, c = of[hit].astype(np.int64), tf[hit].astype(np.int64), times[at[hit]]
-            r, n, logs = _summed(of, tf, tf * np.log10(c + 1.0))
+            of, c = of[hit].astype(np.int64), times[at[hit]]
+            r, n, logs = _summed(of, np.ones(len(of), np.int64), np.log10(c + 1.0))
             found.append((r + base, n, logs))
         row, n, logs = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"row": pa.array(row), "n_known": pa.array(n), "logs": pa.array(logs)})

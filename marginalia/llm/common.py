@@ -98,7 +98,8 @@ def text_batches(batches, text: int | str, most_bytes: int = 4_000_000):
         col = b.column(text)
         if not len(b):
             continue
-        size = np.diff(np.frombuffer(col.cast(pa.large_string()).buffers()[1], np.int64)[: len(b) + 1 + col.offset][col.offset :])
+        wide = col.cast(pa.large_string())
+        size = np.diff(np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(b) + 1])
         at = np.cumsum(size)
         start = 0
         while start < len(b):

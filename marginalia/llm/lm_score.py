@@ -336,20 +336,24 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def rare(left: pa.Table, right: pa.Table) -> pa.Table:
         words, times = (np.concatenate(x) for x in zip(*map(unpack, right.column("block").to_pylist()))) if len(right) else (np.zeros(0, U64), np.zeros(0, np.uint32))
-        found: list[tuple] = []
+        out = []
         for base, steps, of in map(unpack, left.column("block").to_pylist()):
             own = np.cumsum(steps)
             at = np.searchsorted(words, own)
             at[at == len(words)] = 0
             hit = words[at] == own if len(words) else np.zeros(len(own), bool)
             of, c = of[hit].astype(np.int64), times[at[hit]]
-            r, n, logs = _summed(of, np.ones(len(of), np.int64), np.log10(c + 1.0))
-            found.append((r + base, n, logs))
-        row, n, logs = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"row": pa.array(row), "n_known": pa.array(n), "logs": pa.array(logs)})
+            out.append((base, pack(*_summed(of, np.ones(len(of), np.int64), np.log10(c + 1.0)))))
+        return pa.Table.from_batches([_batch(("part", "block"), (pa.int64(), pa.binary()), out)])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for base, blocks in _by_part(batches):  # the sums of one batch of texts, from all buckets
+            row, n, logs = _summed(*(np.concatenate(x) for x in zip(*map(unpack, blocks))))
+            yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int64) + base), pa.array(n), pa.array(logs.astype(float))], names=["row", "n_known", "logs"])
 
     asked = scored.where("block is not null").select("part", "block").groupBy("part")
-    partial = asked.cogroup(words.select("part", "block").groupBy("part")).applyInArrow(rare, "row long, n_known long, logs double")
+    partial = asked.cogroup(words.select("part", "block").groupBy("part")).applyInArrow(rare, "part long, block binary")
+    partial = partial.repartition(buckets, "part").mapInArrow(add_up, "row long, n_known long, logs double")
     own = scored.where("row is not null").drop("part", "block")
     nothing = {c: F.lit(None).cast(own.schema[c].dataType).alias(c) for c in own.columns if c not in partial.columns}
     both = own.unionByName(partial.select(*partial.columns, *nothing.values()))

@@ -7,9 +7,13 @@ that descriptors with fewer errors than chunks surely meet), the matched corners
 vote for a shift, turn and scale, and images with enough corners that agree are
 linked. Groups of copies are the connected components of the links.
 
-Equal files are one class before anything else. In a table each entry is
-matched with the first and the one before it in order of id only, so that a
-descriptor in very many images costs no more than two pairs for each.
+Equal files are one class before anything else. In the first round each entry
+of a table is matched with the first and the one before it in order of id, which
+is linear. One corner alone looks like many others, so images still apart after
+that are looked for by two neighbouring corners and how they lie to each other:
+all that share such a key with an image of another component form groups, and
+in these every pair of images from different components is compared by all its
+corners, in blocks; only links that join two components come out.
 """
 
 from __future__ import annotations
@@ -23,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, spread_join
+from .common import U64, materialise, mix, spread_join
 from .components import connected_components
+from .near_dedup import _groups, _pairs, _shared_only
 
 SCALES = (1.0, 0.75, 0.5)
 POINTS = 24
@@ -33,6 +38,12 @@ RADIUS = 9
 TURNS = 24
 #: Corners that must agree on one shift, turn and scale.
 AGREE = 5
+#: Bits that may differ between two corners of images compared in a group.
+NEAR = 8
+#: Nearest corners of the same scale that each corner is paired with in the keys of groups.
+PARTNERS = 3
+#: Images of a group that are compared in one task; larger groups are cut into blocks, and pairs of blocks.
+BLOCK_OF_GROUP = 500
 
 _rng = np.random.default_rng(20240229)
 _PATTERN = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS + 1, RADIUS - 1)
@@ -194,6 +205,79 @@ def agreeing(p: np.ndarray, q: np.ndarray) -> int:
     return most
 
 
+def pair_keys(p: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Distinct keys of corners with their nearest ones of the same scale: two chunks of both, their turns, and how they lie; unchanged by shift and turn."""
+    chunks = np.ascontiguousarray(d).view(">u4").reshape(-1, CHUNKS).astype(U64)
+    out = [np.zeros(0, U64)]
+    for s in SCALES:
+        at = np.flatnonzero(p[:, 3] == np.float32(s))
+        if len(at) < 2:
+            continue
+        x, y, turn = p[at, 0] * s, p[at, 1] * s, p[at, 2].astype(np.int64)
+        far = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2
+        np.fill_diagonal(far, np.inf)
+        j = np.argsort(far, axis=1, kind="stable")[:, : min(PARTNERS, len(at) - 1)]
+        i = np.repeat(np.arange(len(at)), j.shape[1])
+        j = j.ravel()
+        lie = np.rint(np.arctan2(y[j] - y[i], x[j] - x[i]) * TURNS / (2 * np.pi)).astype(np.int64)
+        how = ((lie - turn[i]) % TURNS * TURNS + (turn[j] - turn[i]) % TURNS) * 1024 + np.minimum(np.rint(np.sqrt(far[i, j]) / 2), 1023).astype(np.int64)
+        for c in range(CHUNKS):
+            k = how.astype(U64) * U64(CHUNKS) + U64(c)
+            for e in (c, (c + 1) % CHUNKS):
+                k = mix(mix(k) + chunks[at[i], e] * U64(2**32) + chunks[at[j], e])
+            out.append(k)
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
+def _pair_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, comp, points, bits): key, comp, id."""
+    for b in batches:
+        for s in range(0, len(b), 500):
+            part = b.slice(s, 500)
+            keys = [pair_keys(np.frombuffer(p, np.float32).reshape(-1, 4), np.frombuffer(d, np.uint8).reshape(-1, BITS // 8)) for p, d in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            at = pa.array(np.repeat(np.arange(len(part)), [len(k) for k in keys]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column(1).take(at), part.column(0).take(at)], names=["key", "comp", "id"])
+
+
+def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, comp, id) sorted by key and comp: where a key is in several components, its first image with each other."""
+    for g in _groups(batches):
+        if g.column(1)[0].as_py() != g.column(1)[len(g) - 1].as_py():
+            yield from _pairs([0] * (len(g) - 1), list(range(1, len(g))), g.column(2))
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id, comp, part, points, bits) sorted by key: links that join components within a group, or between the two blocks of one."""
+    for g in _groups(batches):
+        comp, part = np.unique(g.column(2).to_numpy(zero_copy_only=False), return_inverse=True)[1], g.column(3).to_numpy()
+        points = [np.frombuffer(x, np.float32).reshape(-1, 4).astype(float) for x in g.column(4).to_pylist()]
+        size = np.array([len(x) for x in points])
+        starts = np.cumsum(size) - size
+        own = np.repeat(np.arange(len(g)), size)
+        bits = np.frombuffer(b"".join(g.column(5).to_pylist()), U64).reshape(-1, BITS // 64)
+        two = len(np.unique(part)) > 1
+        a, b = [], []
+        for x in range(1, len(g)):
+            other = comp[:x] != comp[x]
+            if two:
+                other &= part[:x] != part[x]
+            rows = np.flatnonzero(other[own[: starts[x]]])
+            if not len(rows):
+                continue
+            mine = bits[starts[x] : starts[x] + size[x]]
+            apart = sum(np.bitwise_count(mine[:, None, k] ^ bits[None, rows, k]) for k in range(BITS // 64))
+            i, j = np.nonzero(apart <= NEAR)
+            j = rows[j]
+            for y in np.flatnonzero(np.bincount(own[j], minlength=x) >= AGREE):
+                if comp[y] != comp[x]:
+                    m = own[j] == y
+                    if agreeing(points[x][i[m]], points[y][j[m] - starts[y]]) >= AGREE:
+                        a.append(int(y))
+                        b.append(x)
+                        comp[comp == comp[y]] = comp[x]
+        yield from _pairs(a, b, g.column(1))
+
+
 def image_copies(media: DataFrame, id_col: str = "media_id", data_col: str = "data") -> DataFrame:
     """``id_col``, n_points, component_id, kept of each row: images linked as copies share the smallest id reachable.
 
@@ -245,8 +329,19 @@ def image_copies(media: DataFrame, id_col: str = "media_id", data_col: str = "da
                     keep.append(r)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
 
-    links = pairs.mapInArrow(consent, f"a {kind}, b {kind}")
-    groups = connected_components(links).withColumnRenamed("node", "id")
+    pair = f"a {kind}, b {kind}"
+    so_far = materialise(connected_components(pairs.mapInArrow(consent, pair)))
+    placed = known.join(so_far.withColumnRenamed("node", "id"), "id", "left").where("octet_length(points) > 0").select("id", F.coalesce("component", "id").alias("comp"), "points", "bits")
+    shape = f"key long, comp {kind}, id {kind}"
+    keyed = placed.mapInArrow(_pair_entries, shape).repartition("key").sortWithinPartitions("key", "comp").mapInArrow(_shared_only, shape)
+    open_ = materialise(connected_components(keyed.mapInArrow(_unsettled, pair).distinct()))
+    blocks = open_.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK_OF_GROUP).cast("int").alias("of"))
+    members = open_.join(blocks, "component").withColumnRenamed("node", "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
+    members = members.join(placed, "id").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    key = F.concat_ws("/", "component", F.least("part", "x"), F.greatest("part", "x"))
+    more = members.select(key.alias("key"), "id", "comp", "part", "points", "bits").repartition("key").sortWithinPartitions("key").mapInArrow(_settle, pair)
+    stars = so_far.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    groups = connected_components(stars.unionByName(more)).withColumnRenamed("node", "id")
     of_class = known.select("h", "id", "c", (F.octet_length("points") / 16).cast("int").alias("n")).join(groups, "id", "left")
     of_class = materialise(of_class.select("h", "c", "n", F.coalesce("component", "id").alias("component_id")))
     light = materialise(rows.select("id", "h"))

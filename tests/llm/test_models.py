@@ -147,3 +147,13 @@ def test_quarter_turn_is_found():
     apart = np.unpackbits(d[:, None] ^ e[None], axis=2).sum(axis=2)
     i, j = np.nonzero(apart <= 12)
     assert len(i) >= 8 and media.agreeing(p[i], q[j]) >= media.AGREE
+
+
+def test_images_that_the_first_round_misses_are_linked(spark, monkeypatch):
+    """The bound of the first round is raised out of reach on the driver, so that only the groups can link."""
+    monkeypatch.setattr(media, "AGREE", 10**6)
+    rng = np.random.default_rng(21)
+    images = [media.render(rng.normal(size=64).tolist()) for _ in range(4)]
+    rows = [(i, media.encode_pgm(im)) for i, im in enumerate(images)] + [(10 + 3 * i + k, media.encode_pgm(media.edited(im, k))) for i, im in enumerate(images[:3]) for k in range(3)]
+    of = {r["media_id"]: r["component_id"] for r in media.image_copies(spark.createDataFrame(rows, "media_id long, data binary")).collect()}
+    assert of == {i: i if i < 10 else (i - 10) // 3 for i, _ in rows}

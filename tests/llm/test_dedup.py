@@ -137,3 +137,18 @@ def test_every_window_is_in_one_segment():
         assert windows.tolist() == [*range(251), *range(340, 591)]
         one = dict(zip(s.start.tolist(), s.choice.tolist()))
         assert all(one[x] == one[x + 340] for x in one if x < 251)  # equal windows choose alike
+
+
+def test_pipeline_drops_near_copies_from_080(spark):
+    """Four words of 200 replaced, far apart: 176 of 216 shingles, 0.815."""
+    import corpus_pipeline
+
+    rows = []
+    for k in range(40):
+        w = [f"w{k}x{j}" for j in range(200)]
+        other = [f"other{j}" if j in (30, 70, 110, 150) else x for j, x in enumerate(w)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(0, 80, 2))
+    assert drop_near_copies(docs).count() == 80

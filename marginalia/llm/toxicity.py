@@ -32,8 +32,8 @@ PREFIXES = (4, 5, 6)
 PARTS = 1 + len(PREFIXES)
 #: At most about so many labelled rows are collected to train on (about 3 KB each here).
 TRAIN_ROWS = 6000
-#: Words of a training text; scoring has no such bound.
-TRAIN_WORDS = 4000
+#: Words of training texts that go through the filters at once.
+BLOCK_WORDS = 100_000
 THRESHOLD = 0.3
 _PAD = max(WIDTHS) - 1
 _EDGES = b".,;:!?\"'()[]{}<>*_-"
@@ -96,6 +96,30 @@ class TextCnn:
             full.append(z)
         return np.concatenate(out, axis=1), full
 
+    def maxima(self, e: np.ndarray, seq: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As pool() of ``e[seq]``, and the place in ``seq`` of each maximum, in blocks of BLOCK_WORDS words however long a text is."""
+        kernel, ends = self.kernel(), np.append(starts[1:], len(seq))
+        best = np.full((len(starts), len(WIDTHS) * FILTERS), -np.inf, np.float32)
+        place = np.zeros(best.shape, np.int64)
+        for low in range(0, len(seq), BLOCK_WORDS):
+            high = min(len(seq), low + BLOCK_WORDS)
+            sums, at = e[seq[low : high + _PAD]] @ kernel, 0
+            docs = range(int(np.searchsorted(starts, low, side="right")) - 1, int(np.searchsorted(starts, high)))
+            for k, w in enumerate(WIDTHS):
+                z = sums[:, at : at + FILTERS].copy()
+                for j in range(1, w):
+                    z[:-j] += sums[j:, at + j * FILTERS : at + (j + 1) * FILTERS]
+                at += w * FILTERS
+                own = slice(k * FILTERS, (k + 1) * FILTERS)
+                for i in docs:
+                    part = z[max(0, starts[i] - low) : min(ends[i], high) - low]
+                    where = part.argmax(axis=0)
+                    value = part[where, np.arange(FILTERS)]
+                    more = value > best[i, own]
+                    place[i, own] = np.where(more, max(starts[i], low) + where, place[i, own])
+                    best[i, own] = np.where(more, value, best[i, own])
+        return np.maximum(best + np.concatenate([self.p[f"b{w}"] for w in WIDTHS]), 0), place
+
     def logits(self, e: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return (self.pool(e, starts)[0] @ self.p["out"] + self.p["bias"][0] + self.shift).astype(np.float64)
 
@@ -115,15 +139,14 @@ class TextCnn:
                 words, seq = np.unique(np.concatenate([[0], *[docs[i] for i in pick]]), return_inverse=True)
                 own = np.split(seq[1:], np.cumsum([len(docs[i]) for i in pick])[:-1])
                 seq, starts = _padded(own)
-                h, full = self.pool(self.emb[parts[words]].sum(axis=1)[seq], starts)
+                h, places = self.maxima(self.emb[parts[words]].sum(axis=1), seq, starts)
                 d = ((_sigmoid(h @ self.p["out"] + self.p["bias"][0]) - y[pick]) / len(pick)).astype(np.float32)
                 grad = {"out": h.T @ d + 1e-4 * self.p["out"], "bias": np.array([d.sum()], np.float32)}
                 gh = d[:, None] * self.p["out"] * (h > 0)
                 rows, moves = [], []
                 for i, w in enumerate(WIDTHS):
                     g = gh[:, i * FILTERS : (i + 1) * FILTERS]
-                    ends = [*starts[1:], len(seq)]
-                    place = np.stack([s + full[i][s:e].argmax(axis=0) for s, e in zip(starts, ends)])
+                    place = places[:, i * FILTERS : (i + 1) * FILTERS]
                     grad[f"b{w}"] = g.sum(axis=0)
                     grad[f"w{w}"] = np.empty_like(self.p[f"w{w}"])
                     for j in range(w):
@@ -202,7 +225,7 @@ def train(texts: list[str | None], y: np.ndarray, lang: list[str], least_docs: i
     if len(texts) < 8 or not 0 < y[~back].sum() < (~back).sum():
         back = np.zeros(len(texts), bool)
     number: dict[bytes, int] = {}
-    docs = [np.array([number.setdefault(w, len(number) + 1) for w in words_of(t)[:TRAIN_WORDS]], np.int64) for t in texts]
+    docs = [np.array([number.setdefault(w, len(number) + 1) for w in words_of(t)], np.int64) for t in texts]
     hashed = np.array([[0] * PARTS, *map(buckets, number)], np.int64)
     seen = np.zeros(1 << BUCKET_BITS, np.int32)
     for d, b in zip(docs, back):

@@ -157,3 +157,26 @@ def test_images_that_the_first_round_misses_are_linked(spark, monkeypatch):
     rows = [(i, media.encode_pgm(im)) for i, im in enumerate(images)] + [(10 + 3 * i + k, media.encode_pgm(media.edited(im, k))) for i, im in enumerate(images[:3]) for k in range(3)]
     of = {r["media_id"]: r["component_id"] for r in media.image_copies(spark.createDataFrame(rows, "media_id long, data binary")).collect()}
     assert of == {i: i if i < 10 else (i - 10) // 3 for i, _ in rows}
+
+
+def test_toxicity_learns_from_words_late_in_long_texts():
+    rng = random.Random(4)
+    texts, y = [], []
+    for i in range(64):
+        w = [rng.choice(["there", "inner", "onset", "reread"]) for _ in range(4100)]
+        texts.append(" ".join(w + (["scumbag"] if i % 2 else ["neighbour"])))
+        y.append(i % 2)
+    model = toxicity.train(texts, np.array(y), ["en"] * 64)
+    score = toxicity.Scorer(model).scores(["there inner scumbag", "there inner neighbour"])
+    assert score[0] >= 0.3 > score[1]
+
+
+def test_maxima_in_blocks_equal_those_at_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    model = toxicity.TextCnn(np.zeros(1, np.int32), 50)
+    seq, starts = toxicity._padded([rng.integers(1, 50, n) for n in (0, 1, 300, 7, 45, 2)])
+    h, _ = model.pool(model.emb[seq], starts)
+    monkeypatch.setattr(toxicity, "BLOCK_WORDS", 10)
+    blocked, place = model.maxima(model.emb, seq, starts)
+    assert np.allclose(h, blocked, atol=1e-5)
+    assert (place >= starts[:, None]).all() and (place < np.append(starts[1:], len(seq))[:, None]).all()

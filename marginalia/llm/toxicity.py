@@ -79,6 +79,7 @@ class TextCnn:
             self.p[f"b{w}"] = np.zeros(FILTERS, np.float32)
         self.shift = 0.0
         self.by_lang: dict[str, float] = {}
+        self.trained = False
 
     def kernel(self) -> np.ndarray:
         """All filters side by side: a block of FILTERS for each width and place in it."""
@@ -237,6 +238,7 @@ def train(texts: list[str | None], y: np.ndarray, lang: list[str], least_docs: i
     model = TextCnn(rows, len(known) + 1)
     if not len(docs):
         return model
+    model.trained = True
     parts = rows[hashed]
     parts[0] = 0
     model.fit([d for d, b in zip(docs, back) if not b], parts, y[~back].astype(np.float32))
@@ -271,7 +273,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     language (0.3 for a language without labels, or null). A null text is empty
     and is scored like one. Labels may lack rows, repeat or be null; a null id is
     scored, too. Repeated rows give repeated rows. Without any usable label all
-    scores are those of the untrained model.
+    scores are those of the untrained model, and nothing is flagged.
     """
     model = train(*training_rows(docs, labels, id_col, text_col, label_col, lang_col, train_rows))
     cast = docs.sparkSession.sparkContext.broadcast(model)  # about 6 MB, bounded by the training sample
@@ -281,7 +283,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         for b in text_batches(batches, 1, 1_000_000):
             s = scorer.scores(b.column(1).to_pylist())
             cut = np.array([cast.value.by_lang.get(x or "", THRESHOLD) for x in b.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(s >= cut)], names=["id", "held_out", "score", "predicted", "flagged"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array((s >= cut) & cast.value.trained)], names=["id", "held_out", "score", "predicted", "flagged"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     lang = docs[lang_col] if lang_col in docs.columns else F.lit("")

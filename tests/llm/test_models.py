@@ -180,3 +180,9 @@ def test_maxima_in_blocks_equal_those_at_once(monkeypatch):
     blocked, place = model.maxima(model.emb, seq, starts)
     assert np.allclose(h, blocked, atol=1e-5)
     assert (place >= starts[:, None]).all() and (place < np.append(starts[1:], len(seq))[:, None]).all()
+
+
+def test_nothing_is_dropped_without_usable_labels(labelled):
+    docs, labels = labelled
+    some = docs.where("doc_id < 5 or doc_id is null")
+    assert toxicity.drop_toxic(some, labels.limit(0)).count() == some.count() == 6

@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import pack, unpack
 from .common import text_batches, text_of, words_of
 
 BUCKET_BITS = 20
@@ -30,7 +31,7 @@ FILTERS = 16
 DIM = 16
 PREFIXES = (4, 5, 6)
 PARTS = 1 + len(PREFIXES)
-#: At most about so many labelled rows are collected to train on (about 3 KB each here).
+#: At most about so many labelled rows are trained on; the driver gets the numbers of their words, not the texts.
 TRAIN_ROWS = 6000
 #: Words of training texts that go through the filters at once.
 BLOCK_WORDS = 100_000
@@ -57,7 +58,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def _padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers of all texts in one array, each followed by padding (0), and where each begins."""
-    size = np.array([max(1, len(d)) + _PAD for d in docs])
+    size = np.array([max(1, len(d)) + _PAD for d in docs], np.int64)
     starts = np.cumsum(size) - size
     seq = np.zeros(int(size.sum()), np.int64)
     for s, d in zip(starts, docs):
@@ -121,8 +122,13 @@ class TextCnn:
                     best[i, own] = np.where(more, value, best[i, own])
         return np.maximum(best + np.concatenate([self.p[f"b{w}"] for w in WIDTHS]), 0), place
 
-    def logits(self, e: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return (self.pool(e, starts)[0] @ self.p["out"] + self.p["bias"][0] + self.shift).astype(np.float64)
+    def logits(self, embedded: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
+        """Of texts given as rows of ``embedded``, which holds zeros in row 0."""
+        if not docs:
+            return np.zeros(0)
+        seq, starts = _padded(docs)
+        h = self.pool(embedded[seq], starts)[0] if len(seq) <= BLOCK_WORDS else self.maxima(embedded, seq, starts)[0]
+        return (h @ self.p["out"] + self.p["bias"][0] + self.shift).astype(np.float64)
 
     def fit(self, docs: list[np.ndarray], parts: np.ndarray, y: np.ndarray, epochs: int | None = None, batch: int = 64, rate: float = 5e-3, seed: int = 11) -> None:
         """``docs`` hold word numbers, ``parts`` the embedding rows of each word. Adam; embeddings are moved where touched."""
@@ -203,8 +209,7 @@ class Scorer:
             parts = self.model.rows[np.array([buckets(w) for w in new])]
             self.embedded = np.concatenate([self.embedded, self.model.emb[parts].sum(axis=1)])
         get = self.number.__getitem__
-        seq, starts = _padded([np.fromiter(map(get, d), np.int64, len(d)) for d in docs])
-        return _sigmoid(self.model.logits(self.embedded[seq], starts))
+        return _sigmoid(self.model.logits(self.embedded, [np.fromiter(map(get, d), np.int64, len(d)) for d in docs]))
 
 
 def best_cut(z: np.ndarray, y: np.ndarray) -> float:
@@ -220,14 +225,18 @@ def best_cut(z: np.ndarray, y: np.ndarray) -> float:
     return float((zs[k] + zs[k + 1]) / 2)
 
 
-def train(texts: list[str | None], y: np.ndarray, lang: list[str], least_docs: int = 4) -> TextCnn:
-    """Fits on three quarters of the rows, calibrates on the rest."""
-    back = np.arange(len(texts)) % 4 == 3
-    if len(texts) < 8 or not 0 < y[~back].sum() < (~back).sum():
-        back = np.zeros(len(texts), bool)
+def numbered(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each text as numbers of its words, from 1, and the buckets of each word; number 0 is no word."""
     number: dict[bytes, int] = {}
-    docs = [np.array([number.setdefault(w, len(number) + 1) for w in words_of(t)], np.int64) for t in texts]
-    hashed = np.array([[0] * PARTS, *map(buckets, number)], np.int64)
+    docs = [np.array([number.setdefault(w, len(number) + 1) for w in words_of(t)], np.int32) for t in texts]
+    return docs, np.array([[0] * PARTS, *map(buckets, number)], np.int32)
+
+
+def train(docs: list[np.ndarray], hashed: np.ndarray, y: np.ndarray, lang: list[str], least_docs: int = 4) -> TextCnn:
+    """Fits on three quarters of the rows (texts as numbered() gives them), calibrates on the rest."""
+    back = np.arange(len(docs)) % 4 == 3
+    if len(docs) < 8 or not 0 < y[~back].sum() < (~back).sum():
+        back = np.zeros(len(docs), bool)
     seen = np.zeros(1 << BUCKET_BITS, np.int32)
     for d, b in zip(docs, back):
         if not b and len(d):
@@ -243,9 +252,9 @@ def train(texts: list[str | None], y: np.ndarray, lang: list[str], least_docs: i
     parts[0] = 0
     model.fit([d for d, b in zip(docs, back) if not b], parts, y[~back].astype(np.float32))
     if back.any() and 0 < y[back].sum() < back.sum():
-        z = Scorer(model)
-        scores = np.concatenate([z.scores([t for t, b in zip(texts[at : at + 200], back[at : at + 200]) if b]) for at in range(0, len(texts), 200)])
-        model.calibrate(np.log(np.clip(scores, 1e-12, 1 - 1e-12) / np.clip(1 - scores, 1e-12, 1)), y[back].astype(np.float64), [x for x, b in zip(lang, back) if b])
+        held, embedded = [d for d, b in zip(docs, back) if b], model.emb[parts].sum(axis=1)
+        z = np.concatenate([model.logits(embedded, held[at : at + 50]) for at in range(0, len(held), 50)])
+        model.calibrate(np.clip(z, -27, 27), y[back].astype(np.float64), [x for x, b in zip(lang, back) if b])
     return model
 
 
@@ -254,16 +263,47 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, lang_col: str, most: int) -> tuple[list, np.ndarray, list]:
-    """About ``most`` labelled rows at most, by a hash of the id; never a held-out one."""
-    own = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).where(f"y is not null and i is not null").where(~held_out("i")).dropDuplicates(["i"])
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, lang_col: str, most: int) -> tuple[list, np.ndarray, np.ndarray, list]:
+    """About ``most`` labelled rows at most, by a hash of the id; never a held-out one. Of labels that contradict each other the greatest counts.
+
+    Texts are cut into words where they are read; what comes back is, for each
+    batch, its rows as numbers of words and the buckets of each word.
+    """
+    own = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).where("y is not null and i is not null").where(~held_out("i")).groupBy("i").agg(F.max("y").alias("y"))
     share = most / max(1, own.count())
     if share < 1:
         own = own.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < int(share * (1 << 20)))
     d = docs.select(F.col(id_col).alias("i"), text_of(text_col).alias("t"), F.col(lang_col).alias("l") if lang_col in docs.columns else F.lit("").alias("l"))
-    rows = d.join(F.broadcast(own), "i").select("i", "t", "l", "y").collect()
-    rows.sort(key=lambda r: r["i"])
-    return [r["t"] for r in rows], np.array([int(r["y"]) for r in rows], np.int64), [r["l"] for r in rows]
+    rows = d.join(F.broadcast(own), "i").select(F.col("i").cast("string").alias("i"), "t", "l", F.col("y").cast("int").alias("y"))  # at most ``most`` ids and labels
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_batches(batches, 1):
+            own, hashed = numbered(b.column(1).to_pylist())
+            block = pack(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), own, hashed)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.binary())], names=["block"])
+
+    found, tables, first = [], [np.zeros((1, PARTS), np.int32)], 1
+    for block in rows.mapInArrow(number, "block binary").collect():
+        ids, langs, ys, own, hashed = unpack(block[0])
+        found += [(i, d + np.int32(first - 1), x, l) for i, d, x, l in zip(ids, own, ys, langs)]
+        tables.append(hashed[1:])
+        first += len(hashed) - 1
+    hashed, place = np.unique(np.concatenate(tables), axis=0, return_inverse=True)  # words with the same buckets are one
+    none = int(place.ravel()[0])
+    number_of = np.where(place.ravel() == none, 0, place.ravel() + 1).astype(np.int32)
+    hashed = np.concatenate([np.zeros((1, PARTS), np.int32), hashed])
+    found = sorted(((i, number_of[d], x, l) for i, d, x, l in found), key=lambda r: (r[0], r[3] or "", r[1].tobytes()))
+    return [r[1] for r in found], hashed, np.array([r[2] for r in found], np.int64), [r[3] for r in found]
+
+
+def _scored(batches: Iterator[pa.RecordBatch], model: TextCnn, text: int, lang: int | None):
+    """Batches again, with the score of each row, and whether the threshold of its language flags it."""
+    scorer = Scorer(model)
+    for b in text_batches(batches, text, 1_000_000):
+        s = scorer.scores(b.column(text).to_pylist())
+        langs = b.column(lang).to_pylist() if lang is not None else [""] * len(b)
+        cut = np.array([model.by_lang.get(x or "", THRESHOLD) for x in langs])
+        yield b, s, (s >= cut) & model.trained
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -271,19 +311,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     predicted is score >= 0.3; flagged compares with the threshold of the row's
     language (0.3 for a language without labels, or null). A null text is empty
-    and is scored like one. Labels may lack rows, repeat or be null; a null id is
-    scored, too. Repeated rows give repeated rows. Without any usable label all
-    scores are those of the untrained model, and nothing is flagged.
+    and is scored like one; a very long one goes through the filters in blocks.
+    Labels may lack rows, repeat or be null; of several for one id the greatest
+    counts. A null id is scored, too. Repeated rows give repeated rows with equal
+    scores, and so do equal texts. Without any usable label all scores are those of
+    the untrained model, and nothing is flagged. Columns other than the id, the text
+    and the language are not read, whatever their names. An empty table gives an
+    empty one.
     """
     model = train(*training_rows(docs, labels, id_col, text_col, label_col, lang_col, train_rows))
     cast = docs.sparkSession.sparkContext.broadcast(model)  # about 6 MB, bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(cast.value)
-        for b in text_batches(batches, 1, 1_000_000):
-            s = scorer.scores(b.column(1).to_pylist())
-            cut = np.array([cast.value.by_lang.get(x or "", THRESHOLD) for x in b.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array((s >= cut) & cast.value.trained)], names=["id", "held_out", "score", "predicted", "flagged"])
+        for b, s, flagged in _scored(batches, cast.value, 1, 2):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(flagged)], names=["id", "held_out", "score", "predicted", "flagged"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     lang = docs[lang_col] if lang_col in docs.columns else F.lit("")
@@ -292,6 +333,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with all their columns. Rows with a null id stay."""
-    gone = score_toxicity(docs, labels, id_col, text_col, label_col, lang_col, train_rows).where("flagged").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of ``docs`` that the classifier does not reject, with all their columns.
+
+    Each row is judged by its own text where it is read, so nothing is joined:
+    rows that repeat an id, or have none, stand or fall alone. Everything else is
+    as in score_toxicity.
+    """
+    model = train(*training_rows(docs, labels, id_col, text_col, label_col, lang_col, train_rows))
+    cast = docs.sparkSession.sparkContext.broadcast(model)
+    text, lang = docs.columns.index(text_col), docs.columns.index(lang_col) if lang_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, _, flagged in _scored(batches, cast.value, text, lang):
+            yield b.filter(pa.array(~flagged))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -166,7 +166,7 @@ def test_toxicity_learns_from_words_late_in_long_texts():
         w = [rng.choice(["there", "inner", "onset", "reread"]) for _ in range(4100)]
         texts.append(" ".join(w + (["scumbag"] if i % 2 else ["neighbour"])))
         y.append(i % 2)
-    model = toxicity.train(texts, np.array(y), ["en"] * 64)
+    model = toxicity.train(*toxicity.numbered(texts), np.array(y), ["en"] * 64)
     score = toxicity.Scorer(model).scores(["there inner scumbag", "there inner neighbour"])
     assert score[0] >= 0.3 > score[1]
 
@@ -186,3 +186,35 @@ def test_nothing_is_dropped_without_usable_labels(labelled):
     docs, labels = labelled
     some = docs.where("doc_id < 5 or doc_id is null")
     assert toxicity.drop_toxic(some, labels.limit(0)).count() == some.count() == 6
+
+
+@pytest.mark.parametrize("n", [1, 7, 8, 9, 11, 199, 200, 201, 202, 203, 204])
+def test_training_stands_any_number_of_rows(n):
+    texts = [None if i % 7 == 0 else "" if i % 11 == 0 else f"word{i % 5} " + ("scumbag" if i % 2 else "neighbour") for i in range(n)]
+    docs, hashed = toxicity.numbered(texts)
+    model = toxicity.train(docs, hashed, np.arange(n) % 2, ["en", None][: 1 + n % 2] * n)
+    assert np.isfinite(toxicity.Scorer(model).scores(["word1 scumbag", "", None])).all()
+    assert len(toxicity.Scorer(model).scores([])) == 0
+
+
+def test_contradicting_labels_count_as_the_greatest(spark):
+    docs = spark.createDataFrame([(1, "a b", "en"), (3, "c", None), (5, None, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (3, 0), (3, None), (5, 1), (5, 0)], "doc_id long, toxic int")
+    rows, hashed, y, lang = toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", "lang", 6000)
+    held = [i for i in (1, 3, 5) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert y.tolist() == [v for i, v in ((1, 1), (3, 0), (5, 1)) if i not in held]
+    assert [len(r) for r in rows] == [n for i, n in ((1, 2), (3, 1), (5, 0)) if i not in held] and len(hashed) >= 1
+    again = toxicity.training_rows(docs.repartition(3), labels.repartition(2), "doc_id", "text", "toxic", "lang", 6000)
+    assert [sorted(map(tuple, hashed[r])) for r in rows] == [sorted(map(tuple, again[1][r])) for r in again[0]]
+
+
+def test_toxic_rows_go_by_their_own_text(labelled):
+    """Repeated and null ids, and columns whose names clash with the operator's own."""
+    docs, labels = labelled
+    spark = docs.sparkSession
+    rows = [(7001, "scumbag idiotic", "en", 0.5, 1), (7001, "there in on", "en", 0.5, 2), (None, "idiotic scumbag", None, 0.5, 3), (None, "there in on", None, 0.5, 4), (7001, "scumbag idiotic", "en", 0.5, 5), (7009, None, "en", 0.5, 6), (7009, "", "en", 0.5, 7)]
+    some = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, flagged int")
+    both = docs.selectExpr("doc_id", "text", "lang", "0.5D AS score", "0 AS flagged").unionByName(some)
+    kept = toxicity.drop_toxic(both, labels)
+    assert kept.columns == both.columns
+    assert sorted(r["flagged"] for r in kept.collect() if r["flagged"]) == [2, 4, 6, 7]

@@ -8,9 +8,10 @@ windows choose equal suffixes wherever they stand. Neighbouring windows with the
 same choice form a segment, about one for every seventeen bytes.
 
 1. Each segment sends four bytes of hash and its place to the bucket of its
-   suffix. Buckets are ranges of the suffix's first eight bytes, cut by sampled
-   splitters, so that suffixes with equal beginnings never straddle two buckets.
-   Segments whose prefix stands in one document only are done.
+   suffix. Buckets are ranges of the suffix's first PREFIX bytes, cut by sampled
+   splitters. Suffixes that agree in these bytes never straddle two buckets, so
+   whatever could match across a boundary is on one side of it. Segments whose
+   prefix stands in one document only are done.
 2. The others meet their texts again and send their bytes, equal ones of a batch
    once, with where they stand, to the same buckets.
 3. A bucket sorts the windows of its segments by multikey quicksort, with eight
@@ -18,6 +19,9 @@ same choice form a segment, about one for every seventeen bytes.
    the next character. Of equal windows the smallest document keeps its own.
 4. Removed ranges meet their texts once more.
 
+A document is an id together with a hash of its text, so rows that repeat an id
+with another text stay apart; which document came first is told by the ids alone.
+
 Texts and segments travel as compressed blocks of many rows. The number of
 buckets follows the bytes of the input. Equal texts in a batch are sent once,
 and so are equal segments in steps 2 and 3: a passage that is in very many
@@ -60,7 +64,7 @@ def words8(buf: np.ndarray) -> np.ndarray:
 
 
 class Segments:
-    """Runs of windows of one buffer that choose equal prefixes: start, number of windows, choice, first eight bytes of the suffix."""
+    """Runs of windows of one buffer that choose equal prefixes: start, number of windows, choice, first PREFIX bytes of the suffix as two words."""
 
     def __init__(self, buf: np.ndarray, ends: np.ndarray, match: int):
         """``ends``: where each text in ``buf`` ends; windows stay within one."""
@@ -76,7 +80,7 @@ class Segments:
         n = len(buf) - match + 1
         if n <= 0:
             self.start = self.count = np.zeros(0, np.int64)
-            self.choice = self.lead = np.zeros(0, U64)
+            self.choice, self.lead = np.zeros(0, U64), np.zeros((0, 2), U64)
             return
         least, have = h, 1
         while 2 * have <= width:
@@ -99,7 +103,7 @@ class Segments:
             todo = todo[~hit]
             if not len(todo):
                 break
-        self.lead = g[at]
+        self.lead = np.stack([g[at], g[at + 8]], axis=1)
 
 
 def _parts(texts: list[bytes], match: int):
@@ -131,24 +135,55 @@ def segments_of(texts: list[bytes], match: int):
         rows.append((which[k], s.start - begin[k] + offset[k], s.count, s.choice, s.lead))
     if not rows:
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(U64), z.astype(U64)
+        return z, z, z, z.astype(U64), np.zeros((0, 2), U64)
     return tuple(np.concatenate(x) for x in zip(*rows))
 
 
+def _bucket(lead: np.ndarray, splitters: np.ndarray) -> np.ndarray:
+    """How many of the sorted splitters are not above each lead; both are rows of two words."""
+    out = np.searchsorted(splitters[:, 0], lead[:, 0], side="right")
+    low = np.searchsorted(splitters[:, 0], lead[:, 0], side="left")
+    for r in np.flatnonzero(np.r_[True, splitters[1:, 0] != splitters[:-1, 0]][: len(splitters)]).tolist():  # leads that tie with splitters in the first word
+        some = np.flatnonzero((low == r) & (out > r))
+        if len(some):
+            out[some] = r + np.searchsorted(splitters[r : int(out[some[0]]), 1], lead[some, 1], side="right")
+    return out
+
+
+def _tag(text: bytes) -> int:
+    """The hash that Spark's xxhash64 gives for the text, as unsigned."""
+    return xxhash.xxh64_intdigest(text, 42)
+
+
+def _runs(ids: np.ndarray, tags: np.ndarray, *then: np.ndarray):
+    """Rows sorted by document and ``then``: ids, tags and number of rows of each document, and the columns of ``then`` in that order."""
+    order = np.lexsort((*reversed(then), tags, ids))
+    i, t = ids[order], tags[order]
+    first = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (t[1:] != t[:-1])])
+    return i[first], t[first], np.diff(np.r_[first, len(i)]).astype(np.uint32), *(x[order].astype(np.uint32) for x in then)
+
+
+def _document_number(ids: np.ndarray, tags: np.ndarray, other_ids: np.ndarray, other_tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal numbers for equal (id, tag), in both lists."""
+    both = np.stack([np.concatenate([ids, other_ids]).view(U64), np.concatenate([tags, other_tags])], axis=1)
+    number = np.unique(both, axis=0, return_inverse=True)[1].ravel()
+    return number[: len(ids)], number[len(ids) :]
+
+
 def _gathered(batches: Iterator[pa.RecordBatch], match: int):
-    """Ids and texts of about GATHER_BYTES at a time; too short ones are left out, equal ones keep the smallest id."""
-    best: dict[bytes, tuple[int, bytes]] = {}
+    """Ids, tags and texts of about GATHER_BYTES at a time; too short ones are left out, equal ones keep the smallest id."""
+    best: dict[int, tuple[int, bytes]] = {}
     size = 0
 
     def out():
-        return np.array([i for i, _ in best.values()], np.int64), [t for _, t in best.values()]
+        return np.array([i for i, _ in best.values()], np.int64), np.array(list(best), U64), [t for _, t in best.values()]
 
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1)):
             t = t.as_buffer().to_pybytes()
             if i is None or len(t) < match:
                 continue
-            key = xxhash.xxh3_128_digest(t)
+            key = _tag(t)
             had = best.get(key)
             if had is None:
                 size += len(t)
@@ -161,8 +196,8 @@ def _gathered(batches: Iterator[pa.RecordBatch], match: int):
         yield out()
 
 
-def _group_of(ids: np.ndarray, groups: int) -> np.ndarray:
-    x = ids.astype(np.int64).view(U64) * U64(0x9E3779B97F4A7C15)
+def _group_of(ids: np.ndarray, tags: np.ndarray, groups: int) -> np.ndarray:
+    x = (ids.view(U64) ^ tags) * U64(0x9E3779B97F4A7C15)
     x ^= x >> U64(32)
     return ((x * U64(0xBF58476D1CE4E5B9)) >> U64(33)).astype(np.int64) % groups
 
@@ -171,18 +206,20 @@ def _sampled_splitters(narrow: DataFrame, n_docs: int, buckets: int, match: int)
     every = max(1, n_docs // SAMPLE_DOCS)
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _gathered(batches, match):
+        for _, _, texts in _gathered(batches, match):
             out = []
             for t in texts:
                 lead = segments_of([t[:PART]], match)[4]
                 out.append(lead[:: max(1, -(-len(lead) // SAMPLE_SUFFIXES))])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], names=["lead"])
+            lead = np.concatenate(out).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(lead[:, 0]), pa.array(lead[:, 1])], names=["a", "b"])
 
-    some = narrow.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).mapInArrow(leads, "lead long").toArrow()
-    lead = np.sort(some.column(0).to_numpy().view(U64))
-    if not len(lead):
-        return np.zeros(0, U64)
-    return np.unique(lead[(np.arange(1, buckets) * len(lead)) // buckets])
+    some = narrow.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).mapInArrow(leads, "a long, b long").toArrow()
+    a, b = (some.column(k).to_numpy().view(U64) for k in range(2))
+    if not len(a):
+        return np.zeros((0, 2), U64)
+    order = np.lexsort((b, a))[(np.arange(1, buckets) * len(a)) // buckets]
+    return np.unique(np.stack([a[order], b[order]], axis=1), axis=0)
 
 
 def _sort_windows(word: np.ndarray, at: np.ndarray, group: np.ndarray, match: int) -> tuple[np.ndarray, np.ndarray]:
@@ -252,75 +289,78 @@ def _merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _removed(docs: DataFrame, id_col: str, text_col: str, match: int, with_text: bool) -> DataFrame:
-    """(id, n_removed, n_spans, kept_sha256, kept) of documents that lose something, equal texts aside."""
+    """(id, tag, n_removed, n_spans, kept_sha256, kept) of documents that lose something, equal texts aside."""
     narrow = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("id"), text_of(text_col).alias("text"))
     n_docs, size = total_bytes(docs, text_col)
     groups = max(4, -(-size // BUCKET_BYTES))
     splitters = _sampled_splitters(narrow, n_docs, groups, match)
 
     def send_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _gathered(batches, match):
+        for ids, tags, texts in _gathered(batches, match):
             which, start, _, choice, lead = segments_of(texts, match)
-            part = np.searchsorted(splitters, lead, side="right")
-            yield rows_of([(p, pack(ids, which[r].astype(np.int32), np.diff(start[r], prepend=0).astype(np.int32), (choice[r] >> U64(32)).astype(np.uint32))) for p, r in by(part)])
+            yield rows_of([(p, pack(ids, tags, which[r].astype(np.int32), np.diff(start[r], prepend=0).astype(np.int32), (choice[r] >> U64(32)).astype(np.uint32))) for p, r in by(_bucket(lead, splitters))])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blocks in whole(batches):
-            ids, start, hashes = [], [], []
-            for own, which, steps, h in map(unpack, blocks):
+            ids, tags, start, hashes = [], [], [], []
+            for own, own_tags, which, steps, h in map(unpack, blocks):
                 ids.append(own[which])
+                tags.append(own_tags[which])
                 start.append(np.cumsum(steps.astype(np.int64)))
                 hashes.append(h)
-            ids, start, hashes = map(np.concatenate, (ids, start, hashes))
+            ids, tags, start, hashes = map(np.concatenate, (ids, tags, start, hashes))
             order = np.argsort(hashes, kind="stable")
             cuts = np.flatnonzero(np.r_[True, hashes[order][1:] != hashes[order][:-1]])
             lengths = np.diff(np.r_[cuts, len(order)])
             low, high = np.minimum.reduceat(ids[order], cuts), np.maximum.reduceat(ids[order], cuts)
             order = order[np.repeat(low < high, lengths)]
-            ids, start = ids[order], start[order]
-            out = []
-            for p, r in by(_group_of(ids, groups)):
-                r = r[np.lexsort((start[r], ids[r]))]
-                out.append((p, pack(np.diff(ids[r], prepend=0), start[r].astype(np.uint32))))
+            ids, tags, start = ids[order], tags[order], start[order]
+            out = [(p, pack(*_runs(ids[r], tags[r], start[r]))) for p, r in by(_group_of(ids, tags, groups))]
             if out:
                 yield rows_of(out)
 
     def send_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _gathered(batches, match):
-            yield rows_of([(p, pack(ids[r], np.array([len(texts[i]) for i in r]), b"".join([texts[i] for i in r]))) for p, r in by(_group_of(ids, groups))])
+        for ids, tags, texts in _gathered(batches, match):
+            yield rows_of([(p, pack(ids[r], tags[r], np.array([len(texts[i]) for i in r]), b"".join([texts[i] for i in r]))) for p, r in by(_group_of(ids, tags, groups))])
 
-    def texts_in(blocks) -> tuple[np.ndarray, list[bytes]]:
-        ids, texts = [], []
-        for own, sizes, joined in map(unpack, blocks):
+    def texts_in(blocks) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        ids, tags, texts = [], [], []
+        for own, own_tags, sizes, joined in map(unpack, blocks):
             ends = np.cumsum(sizes).tolist()
             ids.append(own)
+            tags.append(own_tags)
             texts += [joined[e - n : e] for e, n in zip(ends, sizes.tolist())]
-        return np.concatenate(ids), texts
+        return np.concatenate(ids), np.concatenate(tags), texts
+
+    def marked(blocks):
+        """Blocks of _runs() as columns with a row each: id, tag and the others."""
+        cols = [(np.repeat(i, n), np.repeat(t, n), *(x.astype(np.int64) for x in then)) for i, t, n, *then in map(unpack, blocks)]
+        return [np.concatenate(c) for c in zip(*cols)]
 
     def send_segments(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return _table([])
-        ids, texts = texts_in(left.column("block").to_pylist())
-        wanted = [(np.cumsum(i), s.astype(np.int64)) for i, s in map(unpack, right.column("block").to_pylist())]
-        want_id, want_at = np.concatenate([w[0] for w in wanted]), np.concatenate([w[1] for w in wanted])
+        ids, tags, texts = texts_in(left.column("block").to_pylist())
+        want_id, want_tag, want_at = marked(right.column("block").to_pylist())
         which, start, count, choice, lead = segments_of(texts, match)
-        _, code = np.unique(np.concatenate([ids, want_id]), return_inverse=True)
-        keep = np.isin(code[: len(ids)][which] << 32 | start, code[len(ids) :] << 32 | want_at)
+        mine, wanted = _document_number(ids, tags, want_id, want_tag)
+        keep = np.isin(mine[which] << 32 | start, wanted << 32 | want_at)
         which, start, count, choice, lead = which[keep], start[keep], count[keep], choice[keep], lead[keep]
         out = []
-        for p, r in by(np.searchsorted(splitters, lead, side="right")):
+        for p, r in by(_bucket(lead, splitters)):
             seen: dict[bytes, int] = {}
             of = np.array([seen.setdefault(texts[i][a : a + c + match - 1], len(seen)) for i, a, c in zip(which[r].tolist(), start[r].tolist(), count[r].tolist())])
             picks = np.zeros(len(seen), U64)
             picks[of] = choice[r]
-            out.append((p, pack(ids[which[r]], start[r].astype(np.uint32), of.astype(np.uint32), picks, np.array([len(s) for s in seen]), b"".join(seen))))
+            own, place = np.unique(which[r], return_inverse=True)
+            out.append((p, pack(ids[own], tags[own], place.astype(np.uint32), start[r].astype(np.uint32), of.astype(np.uint32), picks, np.array([len(s) for s in seen]), b"".join(seen))))
         return _table(out)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blocks in whole(batches):
             seen: dict[bytes, int] = {}
-            choice, ids, start, of = [], [], [], []
-            for own, at, which, picks, sizes, joined in map(unpack, blocks):
+            choice, ids, tags, start, of = [], [], [], [], []
+            for own, own_tags, place, at, which, picks, sizes, joined in map(unpack, blocks):
                 ends = np.cumsum(sizes).tolist()
                 number = np.empty(len(sizes), np.int64)
                 for k, (e, n) in enumerate(zip(ends, sizes.tolist())):
@@ -328,46 +368,42 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, match: int, with_text:
                     number[k] = seen.setdefault(joined[e - n : e], before)
                     if number[k] == before:
                         choice.append(picks[k])
-                ids.append(own)
+                ids.append(own[place])
+                tags.append(own_tags[place])
                 start.append(at.astype(np.int64))
                 of.append(number[which])
-            ids, start, of = map(np.concatenate, (ids, start, of))
+            ids, tags, start, of = map(np.concatenate, (ids, tags, start, of))
             found = list(_resolve(list(seen), np.array(choice, U64), ids, of, match))
             row, lo, hi = (np.concatenate([f[k] for f in found]) for k in range(3))
-            ids, lo, hi = ids[row], start[row] + lo, start[row] + hi
-            out = []
-            for p, r in by(_group_of(ids, groups)):
-                r = r[np.lexsort((lo[r], ids[r]))]
-                out.append((p, pack(np.diff(ids[r], prepend=0), lo[r].astype(np.uint32), (hi[r] - lo[r]).astype(np.uint32))))
+            ids, tags, lo, hi = ids[row], tags[row], start[row] + lo, start[row] + hi
+            out = [(p, pack(*_runs(ids[r], tags[r], lo[r], (hi - lo)[r]))) for p, r in by(_group_of(ids, tags, groups))]
             if out:
                 yield rows_of(out)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if len(left) and len(right):
-            ids, texts = texts_in(left.column("block").to_pylist())
-            marks = [(np.cumsum(i), lo.astype(np.int64), n.astype(np.int64)) for i, lo, n in map(unpack, right.column("block").to_pylist())]
-            mid, lo, n = (np.concatenate([m[k] for m in marks]) for k in range(3))
-            mine = dict(by(mid))
-            done = set()
-            for i, t in zip(ids.tolist(), texts):
-                if i not in mine or i in done:
+            ids, tags, texts = texts_in(left.column("block").to_pylist())
+            mid, mtag, lo, n = marked(right.column("block").to_pylist())
+            mine, theirs = _document_number(ids, tags, mid, mtag)
+            marks = dict(by(theirs))
+            for k, i, tag, t in zip(mine.tolist(), ids.tolist(), tags.view(np.int64).tolist(), texts):
+                r = marks.pop(k, None)  # a repeated row once
+                if r is None:
                     continue
-                done.add(i)
-                r = mine[i]
                 a, z = _merge(lo[r], lo[r] + n[r])
                 kept = b"".join([t[x:y] for x, y in zip([0, *z.tolist()], [*a.tolist(), len(t)])])
-                rows.append((i, int((z - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
-        cols = list(zip(*rows)) if rows else [()] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.table({c: pa.array(x, k) for c, x, k in zip(("id", "n_removed", "n_spans", "kept_sha256", "kept"), cols, kinds)})
+                rows.append((i, tag, int((z - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
+        cols = list(zip(*rows)) if rows else [()] * 6
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        return pa.table({c: pa.array(x, k) for c, x, k in zip(("id", "tag", "n_removed", "n_spans", "kept_sha256", "kept"), cols, kinds)})
 
     block = "part long, block binary"
     texts = narrow.mapInArrow(send_texts, block)
     pieces = narrow.mapInArrow(send_hashes, block).repartition(groups, "part").mapInArrow(shared, block)
     segments = texts.groupBy("part").cogroup(pieces.groupBy("part")).applyInArrow(send_segments, block)
     marks = segments.repartition(groups, "part").mapInArrow(compare, block)
-    return texts.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(cut, "id long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return texts.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(cut, "id long, tag long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def _table(rows: list[tuple[int, bytes]]) -> pa.Table:
@@ -379,33 +415,45 @@ def repeated_passages(docs: DataFrame, match: int = 50, id_col: str = "doc_id",
 
     Ids must be integers. A null text is empty. Texts shorter than ``match`` bytes
     lose nothing; a text equal to that of a smaller id and not shorter loses all.
-    Rows that repeat an id are one document and get the same result where their
-    texts agree. A row with a null id loses nothing and takes nothing from others.
-    kept_text leaves out bytes of characters that were cut in two. Other columns
-    are not read. An empty table gives an empty one.
+    Rows that repeat an id take nothing from each other: with the same text they get
+    the same result, with another text each its own. A row with a null id loses
+    nothing and takes nothing from others. kept_text leaves out bytes of characters
+    that were cut in two. Other columns, whatever their names, are not read. An empty
+    table gives an empty one.
     """
+    out = _passages(docs, match, id_col, text_col, with_text).withColumnRenamed("i", id_col).drop("t")
+    return out if with_text else out.drop("kept_text")
+
+
+def _passages(docs: DataFrame, match: int, id_col: str, text_col: str, with_text: bool) -> DataFrame:
+    """i, t (a hash of the text), n_bytes, n_removed, n_spans, kept_sha256, kept_text (null where nothing is cut) of each row."""
     if match < PREFIX + 8:
         raise ValueError(f"match must be {PREFIX + 8} bytes or more")
     text = text_of(text_col)
-    rows = materialise(docs.select(docs[id_col].alias("i"), F.octet_length(text).cast("long").alias("n"), F.sha2(text, 256).alias("h")))
+    rows = materialise(docs.select(docs[id_col].alias("i"), F.xxhash64(text).alias("t"), F.octet_length(text).cast("long").alias("n"), F.sha2(text, 256).alias("h")))
     classes = rows.where(f"i is not null and n >= {match}").groupBy("h").agg(F.min("i").alias("k"), F.count(F.lit(1)).alias("c")).where("c > 1")
     out = spread_join(rows, materialise(classes), "h", "c", rows.count())
-    cut = _removed(docs, id_col, text_col, match, with_text).withColumnRenamed("id", "i")
-    out = out.join(cut, "i", "left")
+    cut = _removed(docs, id_col, text_col, match, with_text).withColumnRenamed("id", "i").withColumnRenamed("tag", "t")
+    out = out.join(cut, ["i", "t"], "left")
     copy = F.coalesce(F.col("i") > F.col("k"), F.lit(False))
-    cols = [
-        F.col("i").alias(id_col),
+    return out.select(
+        "i",
+        "t",
         F.col("n").alias("n_bytes"),
         F.when(copy, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "h")).alias("kept_sha256"),
-    ]
-    return out.select(*cols, *([F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept_text")] if with_text else []))
+        F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept_text"),
+    )
 
 
 def drop_repeated_passages(docs: DataFrame, match: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated passages cut out of the texts; no row goes, and other columns stay as they are."""
-    cut = repeated_passages(docs, match, id_col, text_col, with_text=True).where("n_removed > 0")
-    cut = cut.select(F.col(id_col).alias("__i"), F.col("kept_text").alias("__t")).dropDuplicates(["__i"])
-    out = docs.join(cut, docs[id_col] == cut["__i"], "left")
-    return out.select(*[F.coalesce("__t", docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    """``docs`` with the repeated passages cut out of the texts; no row goes, and other columns stay as they are.
+
+    What is cut holds for an id and a text together, so each of the rows that repeat
+    an id with different texts keeps its own. Rows without an id stay as they are.
+    """
+    cut = _passages(docs, match, id_col, text_col, with_text=True).where("n_removed > 0")
+    cut = cut.select(F.col("i").alias("__i"), F.col("t").alias("__t"), F.col("kept_text").alias("__kept")).dropDuplicates(["__i", "__t"])
+    out = docs.join(cut, (docs[id_col] == cut["__i"]) & (F.xxhash64(text_of(docs[text_col])) == cut["__t"]), "left")
+    return out.select(*[F.coalesce("__kept", docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])

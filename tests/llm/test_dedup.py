@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -7,7 +8,8 @@ import pytest
 
 from marginalia.llm.components import connected_components
 from marginalia.llm.exact_dedup import drop_exact_copies, exact_dedup
-from marginalia.llm.near_dedup import bucket_keys, drop_near_copies, near_duplicates, shingles, signatures
+from marginalia.llm import near_dedup
+from marginalia.llm.near_dedup import bucket_keys, drop_near_copies, most_apart, near_duplicates, shingles, signatures
 from marginalia.llm.suffix_dedup import Segments, drop_repeated_passages, repeated_passages
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
@@ -152,3 +154,102 @@ def test_pipeline_drops_near_copies_from_080(spark):
     kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
     assert sorted(r["doc_id"] for r in kept) == list(range(0, 80, 2))
     assert drop_near_copies(docs).count() == 80
+
+
+@pytest.mark.parametrize("percent", [70, 80, 85, 95])
+def test_every_pair_within_the_threshold_shares_a_key(percent):
+    """Also where the differences are dealt out as unkindly as can be: evenly over the chunks."""
+    rng = np.random.default_rng(percent)
+    bounds = near_dedup.chunk_bounds(percent)
+    assert most_apart(percent) < 2 * (len(bounds) - 1)
+    for k in range(200):
+        a = rng.integers(0, 1 << 16, near_dedup.SYMBOLS).astype(np.uint16)
+        b = a.copy()
+        if k % 2:
+            at = rng.choice(near_dedup.SYMBOLS, most_apart(percent), replace=False)
+        else:
+            at = np.concatenate([rng.choice(np.arange(x, y), min(2, y - x), replace=False) for x, y in rng.permutation(np.stack([bounds[:-1], bounds[1:]], axis=1))])[: most_apart(percent)]
+        b[at] ^= rng.integers(1, 1 << 16, len(at)).astype(np.uint16)
+        keys = bucket_keys(np.stack([a, b]), percent)
+        assert (keys[0] == keys[1]).any()
+
+
+def rows_with_repeated_ids():
+    """(id, text): ids that repeat with the same and other texts, null ids, nulls, empties, ties."""
+    rng = random.Random(8)
+    w = lambda n: " ".join("".join(rng.choice(["ka", "lo", "mi", "ne", "ru"]) for _ in range(3)) for _ in range(n))
+    a, b, c, passage = w(60), w(60), w(60), w(20)
+    near = a.split()
+    near[30] = "other"
+    cut1, cut2 = w(12) + " " + passage + " " + w(5), w(9) + " " + passage + " " + w(7)
+    return [
+        (3, "same text"), (5, "same text"), (5, "unique words are here"), (None, "same text"), (None, "unique words there"), (None, "twice"), (None, "twice"),
+        (7, a), (7, b), (7, b), (9, " ".join(near)), (9, c), (2, c), (None, a), (11, None), (11, ""), (12, " "), (4, cut1), (8, cut2), (8, w(30)), (8, cut1), (6, passage), (6, w(40)), (-1, w(25)),
+    ]
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    rows = rows_with_repeated_ids()
+    return rows, spark.createDataFrame([(i, t, k, k, "h", "t", 1) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int, component long, h string, t string, __s int")
+
+
+def test_exact_copies_go_by_id_and_text(repeated):
+    rows, docs = repeated
+    norm = [(i, WS.sub(" ", t or "")) for i, t in rows]
+    stay = [k for k, (i, t) in enumerate(norm) if i == min((x for x, y in norm if y == t and x is not None), default=None)]
+    kept = drop_exact_copies(docs)
+    assert kept.columns == docs.columns and sorted(r["n"] for r in kept.collect()) == stay
+
+
+def test_near_copies_go_by_id_and_text(repeated):
+    rows, docs = repeated
+    sets = []
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets.append(frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset())
+    up = list(range(len(rows)))
+    for _ in rows:
+        for x in range(len(rows)):
+            for y in range(len(rows)):
+                if rows[x][0] is not None and rows[y][0] is not None and sets[x] and 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y]):
+                    up[x] = up[y] = min(up[x], up[y])
+    least = [None if i is None else min(rows[y][0] for y in range(len(rows)) if up[y] == up[x] and rows[y][0] is not None) for x, (i, _) in enumerate(rows)]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in near_duplicates(docs).collect())
+    assert got == sorted((str(i), len(s), str(c), i == c) for (i, _), s, c in zip(rows, sets, least))
+    kept = drop_near_copies(docs)
+    assert kept.columns == docs.columns and sorted(r["n"] for r in kept.collect()) == [k for k, (i, _) in enumerate(rows) if i == least[k]]
+
+
+def test_passages_go_by_id_and_text(repeated):
+    rows, docs = repeated
+    got = {}
+    for r in repeated_passages(docs).collect():
+        got.setdefault(str(r["doc_id"]), []).append((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]))
+    want = brute_passages(rows)
+    assert {k: sorted(v) for k, v in got.items()} == want
+    cut = drop_repeated_passages(docs)
+    assert cut.columns == docs.columns
+    own = {}
+    for r in cut.collect():
+        own.setdefault(str(r["doc_id"]), []).append(hashlib.sha256((r["text"] or "").encode()).hexdigest())
+    assert {k: sorted(v) for k, v in own.items()} == {k: sorted(x[3] for x in v) for k, v in want.items()}
+
+
+def test_blocks_and_salts_change_nothing(spark, docs, texts, monkeypatch):
+    """Small blocks, so that buckets, groups and pairs are cut into many, and keys count as common."""
+    monkeypatch.setattr(near_dedup, "BLOCK_OF_GROUP", 4)
+    monkeypatch.setattr(near_dedup, "LOOK_BACK", 1)
+    got = near_duplicates(docs).collect()
+    assert sorted((str(r[0]), r[1], str(r[2]), r[3]) for r in got) == sorted(brute_links(texts))
+
+
+def test_splitters_of_two_words():
+    from marginalia.llm.suffix_dedup import _bucket
+
+    rng = np.random.default_rng(5)
+    split = np.unique(rng.integers(0, 4, (9, 2)).astype(np.uint64), axis=0)
+    lead = rng.integers(0, 5, (300, 2)).astype(np.uint64)
+    want = [sum(tuple(s) <= tuple(x) for s in split.tolist()) for x in lead.tolist()]
+    assert _bucket(lead, split).tolist() == want
+    assert _bucket(lead, split[:0]).tolist() == [0] * 300

@@ -8,9 +8,13 @@ counts only, so the tree is built bottom-up from the counts of all
 (DEPTH + 1)-byte strings, gathered over all training texts.
 
 The model gives each string that occurs anywhere the probability of its last
-byte after the others: from the deepest context seen in training upwards, each
-node mixes its estimate and its child's by its posterior weight. A context never
-seen in training is left to its parent, which then answers by its own estimate.
+byte after the others: for each bit the ratio of the weighted probabilities with
+and without it, which is each node's estimate and its child's mixed by the node's
+posterior weight. A node never seen in training answers 1/2, as its estimate from
+no counts and all below it do.
+
+DEPTH is 5: the distinct (DEPTH + 1)-byte strings of each batch are what is
+shuffled and broadcast, and their number grows with every byte of context.
 
 Trees are split by the last two bytes of context; only the nodes above, of
 which there are at most 257 * 255, are finished on the driver. The table of
@@ -137,7 +141,7 @@ def log10_of(codes: np.ndarray, nodes: dict[int, tuple]) -> np.ndarray:
     """log10 of the probability of each code's last byte after the others, by nodes of all depths from 0."""
     out = np.zeros(len(codes))
     for prefix, bit in _decisions(codes):
-        p = np.full(len(codes), -1.0)
+        p = np.full(len(codes), 0.5)
         for d in range(DEPTH, -1, -1):
             keys, n0, n1, _, weight = nodes[d]
             if not len(keys):
@@ -148,8 +152,8 @@ def log10_of(codes: np.ndarray, nodes: dict[int, tuple]) -> np.ndarray:
             found = keys[at] == k
             one = (n1[at] + 0.5) / (n0[at] + n1[at] + 1)
             own = np.where(bit == 1, one, 1 - one)
-            p = np.where(found, np.where(p >= 0, weight[at] * own + (1 - weight[at]) * p, own), p)
-        out += np.log10(np.where(p >= 0, p, 0.5))
+            p = np.where(found, weight[at] * own + (1 - weight[at]) * p, 0.5)
+        out += np.log10(p)
     return out
 
 

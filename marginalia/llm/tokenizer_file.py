@@ -10,7 +10,7 @@ pieces of a corpus repeat.
 from __future__ import annotations
 
 import json
-import unicodedata
+import os
 
 import numpy as np
 import regex
@@ -55,6 +55,8 @@ class TokenizerFile:
         self.pattern = regex.compile(pattern)
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
+        self.library = library(path)
+        self._byte_of = {ord(c): b for b, c in enumerate(byte_chars())}
 
     def parts(self, text: str):
         """(special token's id, None) and (None, ordinary text) in turn."""
@@ -81,15 +83,27 @@ class TokenizerFile:
         return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
     def words(self, piece: str) -> list[bytes]:
-        """The words of a piece, within which merges happen."""
-        if self.by_word:
-            if not piece.isascii():
-                piece = unicodedata.normalize("NFC", piece)
-            # the library lower-cases character by character, without the rule for a final sigma
-            piece = piece.lower() if "Σ" not in piece else "".join(c.lower() for c in piece)
-        if piece.isalpha() or not self.by_word and piece[:1] == " " and piece[1:].isalpha():
-            return [piece.encode("utf-8", "surrogatepass")]  # letters only: one word by any of the patterns
-        return [w.encode("utf-8", "surrogatepass") for w in self.pattern.findall(piece)]
+        """The words of a piece, within which merges happen. Beyond ASCII the library's own character tables decide."""
+        if piece.isascii():
+            if self.by_word:
+                piece = piece.lower()
+            if piece.isalpha() or not self.by_word and piece[:1] == " " and piece[1:].isalpha():
+                return [piece.encode()]  # letters only: one word by any of the patterns
+            return [w.encode() for w in self.pattern.findall(piece)]
+        if self.library.normalizer is not None:
+            piece = self.library.normalizer.normalize_str(piece)
+        return [w.translate(self._byte_of).encode("latin-1") for w, _ in self.library.pre_tokenizer.pre_tokenize_str(piece)]
+
+
+def library(path: str):
+    """The tokenizers library's reading of the file, without truncation or padding, on one thread."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.no_padding()
+    t.no_truncation()
+    return t
 
 
 class PieceCache:
@@ -189,12 +203,4 @@ def library_encoder(path: str):
         special = set(file.specials)
         ranks = {bytes(chars[c] for c in t): i for t, i in file.vocab.items() if t not in special}
         return file, tiktoken.Encoding("file", pat_str=file.pattern.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.no_padding()
-    t.no_truncation()
-    return file, lambda piece: t.encode(piece, add_special_tokens=False).ids
+    return file, lambda piece: file.library.encode(piece, add_special_tokens=False).ids

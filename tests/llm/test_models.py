@@ -38,6 +38,37 @@ def test_tree_weighting_equals_the_recursion():
     assert ((weight >= 0) & (weight <= 1)).all()
 
 
+@pytest.mark.parametrize("text", [b"abra", b"cadab", b"zzz qqq", b"abrz", b"\xc3\xa9a"])
+def test_scores_equal_the_ratio_of_weighted_probabilities(text):
+    """For each bit of a text: the tree's probability with that bit added over that without it; contexts seen and unseen."""
+    codes, _ = lm_score.strings([b"abracadabra abracadabra".split()])
+    codes, counts = lm_score._summed(codes, np.ones(len(codes), np.int64))
+    nodes = lm_score.build(codes, counts, top=0)
+    seen = []  # (depth-5 context, bits before, bit, count)
+    for code, c in zip(codes.tolist(), counts.tolist()):
+        seen += [(code >> 8, 1 << j | (code & 255) >> (8 - j), (code >> (7 - j)) & 1, c) for j in range(8)]
+
+    def log_weighted(rows, depth):
+        n1 = sum(c for _, b, c in rows if b)
+        n0 = sum(c for _, b, c in rows if not b)
+        own = math.lgamma(n0 + 0.5) + math.lgamma(n1 + 0.5) - math.lgamma(n0 + n1 + 1) - math.log(math.pi)
+        if depth == lm_score.DEPTH or not rows:
+            return own
+        parts = {}
+        for x, b, c in rows:
+            parts.setdefault((x >> 8 * depth) & 255, []).append((x, b, c))
+        return np.logaddexp(own, sum(log_weighted(p, depth + 1) for p in parts.values())) - math.log(2)
+
+    asked, _ = lm_score.strings([text.split()])
+    for code, got in zip(asked.tolist(), lm_score.log10_of(asked, nodes)):
+        want = 0.0
+        for j in range(8):
+            prefix, bit = 1 << j | (code & 255) >> (8 - j), (code >> (7 - j)) & 1
+            rows = [(x, b, c) for x, p, b, c in seen if p == prefix]
+            want += log_weighted([*rows, (code >> 8, bit, 1)], 0) - log_weighted(rows, 0)
+        assert got == pytest.approx(want / math.log(10))
+
+
 def test_byte_probabilities_add_up_to_one():
     codes, _ = lm_score.strings([b"the cat sat on the mat".split()])
     u, c = lm_score._summed(codes, np.ones(len(codes), np.int64))
@@ -209,12 +240,16 @@ def test_contradicting_labels_count_as_the_greatest(spark):
 
 
 def test_toxic_rows_go_by_their_own_text(labelled):
-    """Repeated and null ids, and columns whose names clash with the operator's own."""
+    """Repeated and null ids, and columns whose names clash with the operator's own: each row goes as its text is flagged alone."""
     docs, labels = labelled
     spark = docs.sparkSession
-    rows = [(7001, "scumbag idiotic", "en", 0.5, 1), (7001, "there in on", "en", 0.5, 2), (None, "idiotic scumbag", None, 0.5, 3), (None, "there in on", None, 0.5, 4), (7001, "scumbag idiotic", "en", 0.5, 5), (7009, None, "en", 0.5, 6), (7009, "", "en", 0.5, 7)]
-    some = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, flagged int")
-    both = docs.selectExpr("doc_id", "text", "lang", "0.5D AS score", "0 AS flagged").unionByName(some)
+    clean, bad = (next(r["text"] for r in docs.where(f"doc_id % 4 {c} 0 and length(text) > 300").orderBy("doc_id").take(40) if ("scumbag" in r["text"]) == (c == "=")) for c in ("<>", "="))
+    texts = [bad, clean, bad, clean, bad, None, ""]
+    ids = [7001, 7001, None, None, 7001, 7009, 7009]
+    some = spark.createDataFrame([(i, t, "en", 0.5, k) for k, (i, t) in enumerate(zip(ids, texts))], "doc_id long, text string, lang string, score double, flagged int")
+    both = docs.selectExpr("doc_id", "text", "lang", "0.5D AS score", "-1 AS flagged").unionByName(some)
+    alone = toxicity.score_toxicity(docs.unionByName(some.selectExpr("10000L + flagged AS doc_id", "text", "lang")), labels).where("doc_id >= 10000 and not flagged").collect()
     kept = toxicity.drop_toxic(both, labels)
     assert kept.columns == both.columns
-    assert sorted(r["flagged"] for r in kept.collect() if r["flagged"]) == [2, 4, 6, 7]
+    stay = sorted(r["flagged"] for r in kept.collect() if r["flagged"] >= 0)
+    assert stay == sorted(r["doc_id"] - 10000 for r in alone) and {1, 3} <= set(stay) and not {0, 2, 4} & set(stay)

@@ -131,3 +131,28 @@ def test_pack_documents(docs, none, texts, libs):
     total = sum(r["length"] for r in got)
     assert len(seqs) <= 1.03 * total / 256 + 2
     assert pack_documents(none, BYTE).count() == 0
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_every_code_point_is_classed_as_the_library_does(libs, path):
+    """Each code point of the planes in use, and one in 97 of the others, between a letter, a digit and a sign."""
+    points = [c for c in [*range(0x30000), *range(0x30000, 0x110000, 97), *range(0xE0000, 0xE0200)] if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}1{c}!" for c in map(chr, points[k : k + 50])) for k in range(0, len(points), 50)]
+    bpe = NumpyBpe(path)
+    for at in range(0, len(texts), 800):
+        for text, a, b in zip(texts[at : at + 800], bpe.encode(texts[at : at + 800]), libs[path].encode_batch_fast(texts[at : at + 800], add_special_tokens=False)):
+            assert np.frombuffer(a, "<u4").tolist() == b.ids, repr(text)
+
+
+def test_segments_of_piece_models_change_no_count(monkeypatch):
+    import sentencepiece
+
+    from marginalia.llm import token_counts as module
+
+    monkeypatch.setattr(module, "SEGMENT", 20)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    counter, model = module.ModelCounter(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["a", "b1", " ", "  ", "\n", "the", "é", ".", "\u0301", "ж", " x "]) for _ in range(rng.randrange(200))) for _ in range(400)]
+    assert counter.cuts and max(len(counter.segments(t)) for t in texts) > 3
+    assert counter.count(texts) == [len(model.encode(t)) for t in texts]

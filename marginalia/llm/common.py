@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -23,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share; a temporary one only where the session names none (tests)."""
+    """The folder all machines share, as spark.checkpoint.dir names it. Only where everything runs in one process may it be a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marginalia-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="marginalia-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -93,12 +97,12 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def text_batches(batches, text: int | str, most_bytes: int = 4_000_000):
-    """Arrow batches again, each of about ``most_bytes`` of text or one row."""
+    """Arrow batches again, each of about ``most_bytes`` of text (or binary data) or one row."""
     for b in batches:
         col = b.column(text)
         if not len(b):
             continue
-        wide = col.cast(pa.large_string())
+        wide = col.cast(pa.large_binary() if pa.types.is_binary(col.type) else pa.large_string())
         size = np.diff(np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(b) + 1])
         at = np.cumsum(size)
         start = 0

@@ -1,19 +1,23 @@
 """Cropped and edited copies of images by local descriptors.
 
-Corners are found at several scales; around each, pairs of pixels of a pattern
-turned by the corner's own orientation are compared, one bit a pair. Images
-with equal descriptor chunks meet in hash tables (an equi-join on each chunk, so
-that descriptors with fewer errors than chunks surely meet), the matched corners
-vote for a shift, turn and scale, and images with enough corners that agree are
-linked. Groups of copies are the connected components of the links.
-
-Equal files are one class before anything else. In the first round each entry
-of a table is matched with the first and the one before it in order of id, which
-is linear. One corner alone looks like many others, so images still apart after
-that are looked for by two neighbouring corners and how they lie to each other:
-all that share such a key with an image of another component form groups, and
-in these every pair of images from different components is compared by all its
-corners, in blocks; only links that join two components come out.
+Corners are found at several scales, one in each neighbourhood, so that their
+number follows the area and a crop keeps those of its part. Around each, pairs of
+pixels of a pattern turned by the corner's own orientation are compared, one bit a
+pair. Images with equal descriptor chunks meet in hash tables (an equi-join on each
+chunk, so that descriptors with fewer errors than chunks surely meet); those that
+meet often enough are compared by all their corners, the matched corners vote for a
+shift, turn and scale, and images with enough corners that agree are linked. Groups
+of copies are the connected components of the links.
+
+Equal files are one class before anything else, and only descriptors are shuffled,
+never images. In the first round each entry of a table is matched with the first
+and the one before it in order of id, which is linear; entries of very common
+chunks are dealt to several tables. Then, where a table still holds images of
+different components, its corners are joined with their nearest such ones into
+keys of two corners and how they lie to each other. All images that share such a
+key with an image of another component form groups, and in these every pair of
+images from different components is compared by all its corners, in blocks; only
+links that join two components come out.
 """
 
 from __future__ import annotations
@@ -24,29 +28,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialise, mix, spread_join
+from .common import U64, materialise, mix, spread_join, text_batches
 from .components import connected_components
-from .near_dedup import _groups, _pairs, _shared_only
+from .near_dedup import BLOCK_OF_GROUP, _by_blocks, _grouped, _groups, _pairs, _shared_only, common_keys, salts
 
 SCALES = (1.0, 0.75, 0.5)
-POINTS = 24
+#: A corner is the strongest within so many pixels, at each scale.
+REACH = 6
 BITS, CHUNKS = 128, 4
 RADIUS = 9
 TURNS = 24
 #: Corners that must agree on one shift, turn and scale.
 AGREE = 5
-#: Bits that may differ between two corners of images compared in a group.
-NEAR = 8
+#: Chunks two images must share to be compared in the first round.
+MEET = 2
+#: Bits that may differ between two corners of images that are compared.
+NEAR = 12
 #: Nearest corners of the same scale that each corner is paired with in the keys of groups.
 PARTNERS = 3
-#: Images of a group that are compared in one task; larger groups are cut into blocks, and pairs of blocks.
-BLOCK_OF_GROUP = 500
+#: Bytes of corners of a group that are compared in one task; larger groups are cut into blocks, and pairs of blocks.
+BLOCK_BYTES = 8_000_000
+#: Pairs of corners compared at once.
+CORNER_PAIRS = 4_000_000
 
 _rng = np.random.default_rng(20240229)
-_PATTERN = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS + 1, RADIUS - 1)
+#: Pairs of places (x, y) in the corner's own direction x. Those of a pair lie across it, for along it the brightness always rises, and such a bit says little.
+_PATTERN = _rng.uniform(-RADIUS + 1, RADIUS - 1, (BITS, 2, 2))
+_PATTERN[:, 1, 0] = _PATTERN[:, 0, 0]
 _ANGLES = np.arange(TURNS) * 2 * np.pi / TURNS
 _TURNED = np.stack([np.rint(_PATTERN @ np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]])).astype(np.int64) for a in _ANGLES])
 _DISC = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if x * x + y * y <= RADIUS * RADIUS])
@@ -110,6 +121,8 @@ def _decode_png(data: bytes) -> np.ndarray:
         f = raw[y, 0]
         if f == 0:
             out[y] = line
+        elif f == 1:
+            out[y] = (line.reshape(w, channels).cumsum(axis=0) & 255).ravel()
         elif f == 2:
             out[y] = (line + up) & 255
         else:
@@ -117,9 +130,7 @@ def _decode_png(data: bytes) -> np.ndarray:
             for x in range(w * channels):
                 left = row[x - channels] if x >= channels else 0
                 corner = up[x - channels] if x >= channels else 0
-                if f == 1:
-                    guess = left
-                elif f == 3:
+                if f == 3:
                     guess = (left + up[x]) // 2
                 else:
                     p = left + up[x] - corner
@@ -148,33 +159,37 @@ def _resized(a: np.ndarray, scale: float) -> np.ndarray:
     return b
 
 
+def _highest(a: np.ndarray, r: int) -> np.ndarray:
+    """The maximum over a square of side 2 r + 1."""
+    for axis in (0, 1):
+        p = np.pad(a, [(r, r) if k == axis else (0, 0) for k in (0, 1)], constant_values=-np.inf)
+        n, have = a.shape[axis], 1
+        while 2 * have <= 2 * r + 1:
+            p = np.maximum(p[:-have] if axis == 0 else p[:, :-have], p[have:] if axis == 0 else p[:, have:])
+            have *= 2
+        rest = 2 * r + 1 - have
+        a = np.maximum(p[:n], p[rest : rest + n]) if axis == 0 else np.maximum(p[:, :n], p[:, rest : rest + n])
+    return a
+
+
 def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y, turn, scale) in image pixels, and packed bits, of the strongest corners at each scale."""
+    """(x, y, turn, scale) in image pixels, and packed bits, of the corners at each scale."""
     points, bits = [], []
     for s in SCALES:
-        a = _box(_resized(image, s), 1)
-        if min(a.shape) <= 2 * _EDGE + 2:
+        if min(image.shape) * s <= 2 * _EDGE + 2:
             continue
+        a = _box(_resized(image, s), 1)
         gy, gx = np.gradient(a)
         xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
         r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        core = r[1:-1, 1:-1]
-        top = np.ones(core.shape, bool)
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                if dy or dx:
-                    top &= core >= r[1 + dy : r.shape[0] - 1 + dy, 1 + dx : r.shape[1] - 1 + dx]
-        ys, xs = np.nonzero(top & (core > 1e-3))
-        ys, xs = ys + 1, xs + 1
-        inside = (ys >= _EDGE) & (xs >= _EDGE) & (ys < a.shape[0] - _EDGE) & (xs < a.shape[1] - _EDGE)
-        ys, xs = ys[inside], xs[inside]
-        best = np.argsort(-r[ys, xs], kind="stable")[:POINTS]
-        ys, xs = ys[best], xs[best]
+        inner = r[_EDGE:-_EDGE, _EDGE:-_EDGE]
+        ys, xs = np.nonzero((inner > 1e-3) & (inner >= _highest(r, REACH)[_EDGE:-_EDGE, _EDGE:-_EDGE]))
+        ys, xs = ys + _EDGE, xs + _EDGE
         if not len(ys):
             continue
         disc = a[ys[:, None] + _DISC[:, 0], xs[:, None] + _DISC[:, 1]]
         disc = disc - disc.mean(axis=1, keepdims=True)
-        angle = np.arctan2((disc * _DISC[:, 0]).sum(axis=1), (disc * _DISC[:, 1]).sum(axis=1))
+        angle = np.arctan2(disc @ _DISC[:, 0], disc @ _DISC[:, 1])
         turn = np.rint(angle * TURNS / (2 * np.pi)).astype(np.int64) % TURNS
         at = _TURNED[turn]
         smooth = _box(a, 1)
@@ -205,6 +220,28 @@ def agreeing(p: np.ndarray, q: np.ndarray) -> int:
     return most
 
 
+def _points(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.float32).reshape(-1, 4).astype(float)
+
+
+def _words(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, U64).reshape(-1, BITS // 64)
+
+
+def matched(d: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of 64-bit words that differ in at most NEAR bits, in blocks."""
+    step = max(1, CORNER_PAIRS // max(1, len(e)))
+    found = [np.nonzero(sum(np.bitwise_count(d[at : at + step, None, k] ^ e[None, :, k]) for k in range(d.shape[1])) <= NEAR) for at in range(0, len(d), step)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([i + k * step for k, (i, _) in enumerate(found)]), np.concatenate([j for _, j in found])
+
+
+def chunk_keys(d: np.ndarray) -> np.ndarray:
+    """A row of CHUNKS table keys for each corner's packed bits."""
+    return np.ascontiguousarray(d).view(">u4").reshape(-1, CHUNKS).astype(np.int64) * CHUNKS + np.arange(CHUNKS)
+
+
 def pair_keys(p: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Distinct keys of corners with their nearest ones of the same scale: two chunks of both, their turns, and how they lie; unchanged by shift and turn."""
     chunks = np.ascontiguousarray(d).view(">u4").reshape(-1, CHUNKS).astype(U64)
@@ -214,13 +251,19 @@ def pair_keys(p: np.ndarray, d: np.ndarray) -> np.ndarray:
         if len(at) < 2:
             continue
         x, y, turn = p[at, 0] * s, p[at, 1] * s, p[at, 2].astype(np.int64)
-        far = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2
-        np.fill_diagonal(far, np.inf)
-        j = np.argsort(far, axis=1, kind="stable")[:, : min(PARTNERS, len(at) - 1)]
-        i = np.repeat(np.arange(len(at)), j.shape[1])
-        j = j.ravel()
+        near = min(PARTNERS, len(at) - 1)
+        i, j, apart = [], [], []
+        step = max(1, CORNER_PAIRS // len(at))
+        for k in range(0, len(at), step):
+            far = (x[k : k + step, None] - x) ** 2 + (y[k : k + step, None] - y) ** 2
+            far[np.arange(len(far)), k + np.arange(len(far))] = np.inf
+            own = np.argsort(far, axis=1, kind="stable")[:, :near]
+            i.append(np.repeat(k + np.arange(len(far)), near))
+            j.append(own.ravel())
+            apart.append(np.take_along_axis(far, own, axis=1).ravel())
+        i, j, apart = map(np.concatenate, (i, j, apart))
         lie = np.rint(np.arctan2(y[j] - y[i], x[j] - x[i]) * TURNS / (2 * np.pi)).astype(np.int64)
-        how = ((lie - turn[i]) % TURNS * TURNS + (turn[j] - turn[i]) % TURNS) * 1024 + np.minimum(np.rint(np.sqrt(far[i, j]) / 2), 1023).astype(np.int64)
+        how = ((lie - turn[i]) % TURNS * TURNS + (turn[j] - turn[i]) % TURNS) * 1024 + np.minimum(np.rint(np.sqrt(apart) / 2), 1023).astype(np.int64)
         for c in range(CHUNKS):
             k = how.astype(U64) * U64(CHUNKS) + U64(c)
             for e in (c, (c + 1) % CHUNKS):
@@ -229,32 +272,79 @@ def pair_keys(p: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
-def _pair_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, comp, points, bits): key, comp, id."""
-    for b in batches:
-        for s in range(0, len(b), 500):
-            part = b.slice(s, 500)
-            keys = [pair_keys(np.frombuffer(p, np.float32).reshape(-1, 4), np.frombuffer(d, np.uint8).reshape(-1, BITS // 8)) for p, d in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
-            at = pa.array(np.repeat(np.arange(len(part)), [len(k) for k in keys]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column(1).take(at), part.column(0).take(at)], names=["key", "comp", "id"])
+def _entries(hot: np.ndarray, parts: np.ndarray):
+    """Rows (node, bits): key, salt, node of the tables, each once an image."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_batches(batches, 1, 2_000_000):
+            keys = [np.unique(chunk_keys(np.frombuffer(d, np.uint8))) for d in b.column(1).to_pylist()]
+            nodes = np.repeat(b.column(0).to_numpy(), [len(k) for k in keys])
+            keys = np.concatenate(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(salts(keys, nodes, hot, parts)), pa.array(nodes)], names=["key", "salt", "node"])
+
+    return run
 
-def _unsettled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, comp, id) sorted by key and comp: where a key is in several components, its first image with each other."""
-    for g in _groups(batches):
-        if g.column(1)[0].as_py() != g.column(1)[len(g) - 1].as_py():
-            yield from _pairs([0] * (len(g) - 1), list(range(1, len(g))), g.column(2))
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, node) sorted by both: each node with the first of its bucket and with the one before it."""
+    last_key, first, before = None, 0, 0
+    for b in batches:
+        if not len(b):
+            continue
+        keys, nodes = b.column(0).to_numpy(), b.column(1).to_numpy()
+        new = np.r_[keys[0] != last_key, keys[1:] != keys[:-1]]
+        heads = np.where(new, np.arange(len(keys)), -1)
+        heads = np.maximum.accumulate(heads)
+        hub = np.where(heads >= 0, nodes[heads], first)
+        prev = np.r_[before, nodes[:-1]]
+        linked = ~new
+        far = linked & (hub != prev)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[prev[linked], hub[far]]), pa.array(np.r_[nodes[linked], nodes[far]])], names=["a", "b"])
+        last_key, first, before = keys[-1], int(hub[-1]), int(nodes[-1])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, node, points, bits) sorted by a, its own row first in each part: the pairs whose corners agree."""
+    own, p, d = None, np.zeros((0, 4)), np.zeros((0, BITS // 64), U64)
+    for b in batches:
+        a, nodes = b.column(0).to_pylist(), b.column(1).to_pylist()
+        out = []
+        for r in range(len(b)):
+            q, e = _points(b.column(2)[r].as_py()), _words(b.column(3)[r].as_py())
+            if nodes[r] == a[r]:
+                own, p, d = a[r], q, e
+            elif own == a[r] and copies(p, d, q, e):
+                out.append(r)
+        if out:
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(out)), b.column(1).take(pa.array(out))], names=["a", "b"])
+
+
+def copies(p: np.ndarray, d: np.ndarray, q: np.ndarray, e: np.ndarray) -> bool:
+    """Whether two images have enough matching corners that agree; by all corners of both."""
+    i, j = matched(d, e)
+    return len(i) >= AGREE and agreeing(p[i], q[j]) >= AGREE
+
+
+def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, comp, points, bits, open): pair keys of the corners with a chunk among the open ones."""
+    for b in text_batches(batches, 3, 1_000_000):
+        keys = []
+        for p, d, some in zip(*(b.column(k).to_pylist() for k in (2, 3, 4))):
+            d = np.frombuffer(d, np.uint8).reshape(-1, BITS // 8)
+            own = np.isin(chunk_keys(d), np.array(some, np.int64)).any(axis=1)
+            keys.append(pair_keys(_points(p)[own], d[own]))
+        at = pa.array(np.repeat(np.arange(len(b)), [len(k) for k in keys]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), b.column(1).take(at), b.column(0).take(at)], names=["key", "comp", "node"])
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, comp, part, points, bits) sorted by key: links that join components within a group, or between the two blocks of one."""
+    """Rows (bucket, node, comp, part, points, bits) sorted by bucket: links that join components within a group, or between the two blocks of one."""
     for g in _groups(batches):
-        comp, part = np.unique(g.column(2).to_numpy(zero_copy_only=False), return_inverse=True)[1], g.column(3).to_numpy()
-        points = [np.frombuffer(x, np.float32).reshape(-1, 4).astype(float) for x in g.column(4).to_pylist()]
+        comp, part = np.unique(g.column(2).to_numpy(), return_inverse=True)[1], g.column(3).to_numpy()
+        points, words = [_points(x) for x in g.column(4).to_pylist()], [_words(x) for x in g.column(5).to_pylist()]
         size = np.array([len(x) for x in points])
         starts = np.cumsum(size) - size
-        own = np.repeat(np.arange(len(g)), size)
-        bits = np.frombuffer(b"".join(g.column(5).to_pylist()), U64).reshape(-1, BITS // 64)
+        own, bits = np.repeat(np.arange(len(g)), size), np.concatenate(words)
         two = len(np.unique(part)) > 1
         a, b = [], []
         for x in range(1, len(g)):
@@ -264,9 +354,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = np.flatnonzero(other[own[: starts[x]]])
             if not len(rows):
                 continue
-            mine = bits[starts[x] : starts[x] + size[x]]
-            apart = sum(np.bitwise_count(mine[:, None, k] ^ bits[None, rows, k]) for k in range(BITS // 64))
-            i, j = np.nonzero(apart <= NEAR)
+            i, j = matched(words[x], bits[rows])
             j = rows[j]
             for y in np.flatnonzero(np.bincount(own[j], minlength=x) >= AGREE):
                 if comp[y] != comp[x]:
@@ -281,83 +369,76 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def image_copies(media: DataFrame, id_col: str = "media_id", data_col: str = "data") -> DataFrame:
     """``id_col``, n_points, component_id, kept of each row: images linked as copies share the smallest id reachable.
 
-    Data that is null, empty or not a readable image has no points; equal files
-    are still copies of each other, null or empty ones are not. Rows that repeat an
-    id are reported each. A null id is linked with nothing. An empty table gives an empty one.
+    Data that is null, empty or not a readable image has no points; equal files are
+    still copies of each other, null or empty ones are not. An image without
+    corners (of one grey, say, or of less than 33 pixels a side) is linked with
+    equal files only. Rows that repeat an id are reported each; with other data each
+    by its own. A null id is linked with nothing: its component_id is null and it is
+    kept. Images are decoded one at a time, whatever their size. Other columns,
+    whatever their names, are not read. An empty table gives an empty one.
     """
     kind = media.schema[id_col].dataType.simpleString()
-    rows = media.select(F.col(id_col).alias("id"), F.when(F.octet_length(data_col) > 0, F.sha2(F.col(data_col), 256)).alias("h"), F.col(data_col).alias("data"))
-    classes = rows.where("h is not null and id is not null").groupBy("h").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("c"), F.first("data").alias("data"))
+    rows = media.select(media[id_col].alias("id"), F.when(F.octet_length(media[data_col]) > 0, F.sha2(media[data_col], 256)).alias("h"), F.coalesce(media[data_col], F.lit(b"")).alias("data"))
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_batches(batches, 2, 2_000_000):
             found, bits = [], []
-            for data in b.column(3).to_pylist():
-                image = decode(data)
+            for r in range(len(b)):
+                image = decode(b.column(2)[r].as_py())
                 p, d = describe(image) if image is not None and image.ndim == 2 else (np.zeros((0, 4)), np.zeros((0, BITS // 8), np.uint8))
                 found.append(p.astype(np.float32).tobytes())
                 bits.append(d.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, pa.binary()), pa.array(bits, pa.binary())], names=["h", "id", "c", "points", "bits"])
-
-    known = materialise(classes.mapInArrow(points, f"h string, id {kind}, c long, points binary, bits binary"))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary()), pa.array(bits, pa.binary())], names=["id", "h", "points", "bits"])
+
+    light = materialise(rows.mapInArrow(points, f"id {kind}, h string, points binary, bits binary"))
+    classes = light.where("h is not null and id is not null").groupBy("h").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("c"), F.first("points").alias("points"), F.first("bits").alias("bits"))
+    known = materialise(classes.orderBy("id", "h").withColumn("node", F.monotonically_increasing_id()))
+    shown = known.where("octet_length(points) > 0").select("node", "points", "bits")
+
+    none, entry, pair = np.zeros(0, np.int64), "key long, salt int, node long", "a long, b long"
+    hot = common_keys(shown.select("node", "bits"), lambda some: some.mapInArrow(_entries(none, none), entry), known.count())
+    shared = shown.select("node", "bits").mapInArrow(_entries(*hot), entry).repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_shared_only, entry)
+    shared = materialise(shared)
+    tried = _grouped(shared.withColumn("bucket", F.xxhash64("key", "salt")), ["bucket", "node"], "node").mapInArrow(_neighbours, pair)
+    tried = materialise(tried.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= MEET).select("a", "b"))
+    of = materialise(tried.groupBy("a").agg(F.count(F.lit(1)).alias("c")))
+    dealt = spread_join(tried, of, "a", "c", tried.count()).withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / BLOCK_OF_GROUP)))
+    members = dealt.select("a", "salt", F.col("b").alias("node")).unionByName(dealt.select("a", "salt", F.col("a").alias("node")).distinct())
+    members = members.join(shown, "node").withColumn("other", F.col("a") != F.col("node"))
+    links = members.repartition("a", "salt").sortWithinPartitions("a", "salt", "other").select("a", "node", "points", "bits").mapInArrow(_verified, pair)
+    so_far = materialise(connected_components(materialise(links)))
+
+    placed = shared.select("key", "node").join(so_far, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("key", "size")
+    open_ = spread_join(placed, materialise(mixed), "key", "size", shared.count()).where("size is not null").groupBy("node", "comp").agg(F.collect_set("key").alias("open"))
+    keyed = open_.join(shown, "node").select("node", "comp", "points", "bits", "open").mapInArrow(_open_pairs, "key long, comp long, node long")
+    keyed = materialise(keyed)
+    meet = keyed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("node").alias("least"), F.count(F.lit(1)).alias("size")).where("x <> y").select("key", "least", "size")
+    edges = spread_join(keyed, materialise(meet), "key", "size", keyed.count()).where("size is not null").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    groups = materialise(connected_components(edges).join(shown, "node").select("node", "component", "points", "bits"))
+    size = materialise(groups.groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("points") + F.octet_length("bits")).alias("size")))
+    in_groups = spread_join(groups, size, "component", "c", groups.count()).join(so_far.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    more = _grouped(_by_blocks(in_groups, "component", "size", BLOCK_BYTES), ["bucket", "node", "comp", "part", "points", "bits"], "node").mapInArrow(_settle, pair)
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, key, point = [], [], []
-            for r, (p, d) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                p, d = np.frombuffer(p, np.float32).reshape(-1, 4), np.frombuffer(d, ">u4").reshape(-1, CHUNKS).astype(np.int64)
-                for c in range(CHUNKS):
-                    at += [r] * len(p)
-                    key.append(d[:, c] * CHUNKS + c)
-                    point += [x.tobytes() for x in p]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key) if key else np.zeros(0, np.int64)), b.column(0).take(pa.array(at, pa.int64())), pa.array(point, pa.binary())], names=["key", "id", "point"])
-
-    table = known.select("id", "points", "bits").mapInArrow(entries, f"key long, id {kind}, point binary").dropDuplicates(["key", "id"])
-    order = Window.partitionBy("key").orderBy("id")
-    # the first of each key by aggregation, the one before by lag
-    before = table.select("*", F.lag("id").over(order).alias("pid"), F.lag("point").over(order).alias("pp"), F.first("id").over(order).alias("fid"), F.first("point").over(order).alias("fp"))
-    near = before.where("pid is not null").select(F.col("pid").alias("a"), F.col("id").alias("b"), F.col("pp").alias("p"), F.col("point").alias("q"))
-    hub = before.where("pid is not null and fid <> pid").select(F.col("fid").alias("a"), F.col("id").alias("b"), F.col("fp").alias("p"), F.col("point").alias("q"))
-    pairs = near.unionByName(hub).groupBy("a", "b").agg(F.collect_list(F.struct("p", "q")).alias("m")).where(F.size("m") >= AGREE)
-
-    def consent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for r, m in enumerate(b.column(2).to_pylist()):
-                p, q = (np.frombuffer(b"".join([x[k] for x in m]), np.float32).reshape(-1, 4).astype(float) for k in ("p", "q"))
-                if agreeing(p, q) >= AGREE:
-                    keep.append(r)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
-
-    pair = f"a {kind}, b {kind}"
-    so_far = materialise(connected_components(pairs.mapInArrow(consent, pair)))
-    placed = known.join(so_far.withColumnRenamed("node", "id"), "id", "left").where("octet_length(points) > 0").select("id", F.coalesce("component", "id").alias("comp"), "points", "bits")
-    shape = f"key long, comp {kind}, id {kind}"
-    keyed = placed.mapInArrow(_pair_entries, shape).repartition("key").sortWithinPartitions("key", "comp").mapInArrow(_shared_only, shape)
-    open_ = materialise(connected_components(keyed.mapInArrow(_unsettled, pair).distinct()))
-    blocks = open_.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK_OF_GROUP).cast("int").alias("of"))
-    members = open_.join(blocks, "component").withColumnRenamed("node", "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
-    members = members.join(placed, "id").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-    key = F.concat_ws("/", "component", F.least("part", "x"), F.greatest("part", "x"))
-    more = members.select(key.alias("key"), "id", "comp", "part", "points", "bits").repartition("key").sortWithinPartitions("key").mapInArrow(_settle, pair)
     stars = so_far.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    groups = connected_components(stars.unionByName(more)).withColumnRenamed("node", "id")
-    of_class = known.select("h", "id", "c", (F.octet_length("points") / 16).cast("int").alias("n")).join(groups, "id", "left")
-    of_class = materialise(of_class.select("h", "c", "n", F.coalesce("component", "id").alias("component_id")))
-    light = materialise(rows.select("id", "h"))
-    out = spread_join(light, of_class, "h", "c", light.count())
+    final = materialise(connected_components(stars.unionByName(more)))
+    named = final.groupBy("component").agg(F.count(F.lit(1)).alias("size")).join(known.select(F.col("node").alias("component"), F.col("id").alias("least")), "component")
+    final = spread_join(final, materialise(named), "component", "size", final.count()).select("node", "least")
+    of_class = materialise(known.select("h", "id", "c", "node").join(final, "node", "left").select("h", "c", F.coalesce("least", "id").alias("component_id")))
+    out = spread_join(light.select("id", "h", (F.octet_length("points") / 16).cast("int").alias("n_points")), of_class, "h", "c", light.count())
     component = F.when(F.col("id").isNull() | F.col("component_id").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).alias("n_points"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_points", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def render(vector: list[float] | None, side: int = 96, seed: int = 1) -> np.ndarray:
-    """An image drawn from a vector: a smooth ground and patches whose places follow from the vector's bytes."""
+    """An image drawn from a vector: a smooth ground, texture of three grains, and patches whose places follow from the vector's bytes."""
     v = np.asarray([0.0 if x is None else x for x in (vector or [0.0])], np.float32)
     rng = np.random.default_rng(zlib.crc32(v.tobytes()) ^ seed)
     ground = np.resize(v, 64).reshape(8, 8)
-    ground = (ground - ground.min()) / (np.ptp(ground) + 1e-9)
-    image = 60 + 100 * np.kron(ground, np.ones((side // 8, side // 8)))
-    for _ in range(45):
+    image = 90 + 50 * np.kron((ground - ground.min()) / (np.ptp(ground) + 1e-9), np.ones((side // 8, side // 8)))
+    for grain, strength in ((12, 16), (6, 14), (3, 10)):
+        image += strength * np.kron(rng.normal(size=(side // grain, side // grain)), np.ones((grain, grain)))
+    for _ in range(12):
         y, x = rng.integers(0, side - 8, 2)
         h, w = rng.integers(4, 18, 2)
         image[y : y + h, x : x + w] = 0.5 * image[y : y + h, x : x + w] + rng.uniform(0, 128)

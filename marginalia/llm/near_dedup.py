@@ -140,29 +140,38 @@ def _key_rows(percent: int, hot: np.ndarray, parts: np.ndarray):
                 part = b.slice(at, 2000)
                 keys = bucket_keys(_matrix(part.column(1)), percent).ravel()
                 nodes = np.repeat(part.column(0).to_numpy(), SYMBOLS)
-                salt = np.zeros(len(keys), np.int32)
-                if len(hot):
-                    i = np.searchsorted(hot, keys)
-                    i[i == len(hot)] = 0
-                    r = np.flatnonzero(hot[i] == keys)
-                    salt[r] = 1 + (mix(nodes[r].view(U64)) % parts[i[r]].astype(U64)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(salt), pa.array(nodes)], names=["key", "salt", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(salts(keys, nodes, hot, parts)), pa.array(nodes)], names=["key", "salt", "node"])
 
     return run
 
 
 def _hot_keys(classes: DataFrame, percent: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys that one class in HOT_SHARE or more has, at most SYMBOLS * HOT_SHARE, and over how many buckets to deal each."""
-    every = max(1, n // SAMPLE_CLASSES)
-    some = classes.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("node", "sig")
     none = np.zeros(0, np.int64)
-    counts = some.mapInArrow(_key_rows(percent, none, none), "key long, salt int, node long").groupBy("key").agg((F.count(F.lit(1)) * every).alias("c"))
+    return common_keys(classes.select("node", "sig"), lambda some: some.mapInArrow(_key_rows(percent, none, none), "key long, salt int, node long"), n)
+
+
+def common_keys(nodes: DataFrame, keys_of, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of about SAMPLE_CLASSES of the ``n`` nodes: the keys that, by this sample, one in HOT_SHARE or more has, sorted, and over how many buckets to deal each."""
+    every = max(1, n // SAMPLE_CLASSES)
+    counts = keys_of(nodes.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0)).groupBy("key").agg((F.count(F.lit(1)) * every).alias("c"))
     rows = counts.where(F.col("c") >= max(BLOCK_OF_GROUP, n // HOT_SHARE)).toArrow()
     keys, c = rows.column(0).to_numpy(), rows.column(1).to_numpy()
     order = np.argsort(keys)
     return keys[order], -(-c[order] // BLOCK_OF_GROUP)
 
 
+def salts(keys: np.ndarray, nodes: np.ndarray, hot: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """0, but for the ``hot`` keys 1 to ``parts`` by the node."""
+    salt = np.zeros(len(keys), np.int32)
+    if len(hot):
+        i = np.searchsorted(hot, keys)
+        i[i == len(hot)] = 0
+        r = np.flatnonzero(hot[i] == keys)
+        salt[r] = 1 + (mix(nodes[r].view(U64)) % parts[i[r]].astype(U64)).astype(np.int32)
+    return salt
+
+
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (key, salt, ...) sorted by key those whose key comes more than once, and all of the common keys. The first row of a batch waits for no other but the next."""
     last: pa.RecordBatch | None = None  # the last row seen, and whether it is out
@@ -365,9 +374,9 @@ def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame, id_col: str,
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "other").select("a", "node", "set").mapInArrow(compare, "a long, b long")
 
 
-def _by_blocks(rows: DataFrame, key: str, size: str) -> DataFrame:
-    """Rows with their block (part) and a bucket for it and each other block of their key, of which ``size`` counts the rows."""
-    rows = rows.withColumn("of", F.ceil(F.col(size) / BLOCK_OF_GROUP).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
+def _by_blocks(rows: DataFrame, key: str, size: str, most: int) -> DataFrame:
+    """Rows with their block (part) and a bucket for it and each other block of their key, of which ``size`` is the whole and ``most`` what a block may hold."""
+    rows = rows.withColumn("of", F.ceil(F.col(size) / most).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
     rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     return rows.withColumn("bucket", F.concat_ws("/", key, F.least("part", "x"), F.greatest("part", "x")))
 
@@ -394,13 +403,13 @@ def _near(docs: DataFrame, percent: int, width: int, id_col: str, text_col: str)
     placed = shared.join(so_far, "node", "left").select("key", "node", "n", "sig", F.coalesce("component", "node").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y").select("key", "size")
     placed = spread_join(placed, materialise(mixed), "key", "size", shared.count()).where("size is not null")
-    open_ = _grouped(_by_blocks(placed, "key", "size"), ["bucket", "node", "n", "sig", "comp"], "comp").mapInArrow(_unsettled(percent), pair)
+    open_ = _grouped(_by_blocks(placed, "key", "size", BLOCK_OF_GROUP), ["bucket", "node", "n", "sig", "comp"], "comp").mapInArrow(_unsettled(percent), pair)
     groups = materialise(connected_components(materialise(open_.distinct())))
     size = materialise(groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
     members = spread_join(groups, size, "component", "size", groups.count()).join(classes.select("node", "id", "h", "n", "sig"), "node")
     members = members.join(so_far.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     members = members.join(_sets_of(docs, groups.select("node").join(classes.select("node", "id", "h"), "node"), id_col, text_col, width), "node")
-    more = _grouped(_by_blocks(members, "component", "size"), ["bucket", "node", "n", "sig", "comp", "part", "set"], "node").mapInArrow(_settle(percent), pair)
+    more = _grouped(_by_blocks(members, "component", "size", BLOCK_OF_GROUP), ["bucket", "node", "n", "sig", "comp", "part", "set"], "node").mapInArrow(_settle(percent), pair)
 
     stars = so_far.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = materialise(connected_components(stars.unionByName(more)))

@@ -181,8 +181,8 @@ def test_quarter_turn_is_found():
 
 
 def test_images_that_the_first_round_misses_are_linked(spark, monkeypatch):
-    """The bound of the first round is raised out of reach on the driver, so that only the groups can link."""
-    monkeypatch.setattr(media, "AGREE", 10**6)
+    """The first round is asked for more shared chunks than there are, so that only the groups can link."""
+    monkeypatch.setattr(media, "MEET", 10**6)
     rng = np.random.default_rng(21)
     images = [media.render(rng.normal(size=64).tolist()) for _ in range(4)]
     rows = [(i, media.encode_pgm(im)) for i, im in enumerate(images)] + [(10 + 3 * i + k, media.encode_pgm(media.edited(im, k))) for i, im in enumerate(images[:3]) for k in range(3)]
@@ -190,6 +190,58 @@ def test_images_that_the_first_round_misses_are_linked(spark, monkeypatch):
     assert of == {i: i if i < 10 else (i - 10) // 3 for i, _ in rows}
 
 
+@pytest.mark.parametrize("blocks", [False, True])
+def test_images_equal_brute_force_over_all_pairs(spark, monkeypatch, blocks):
+    """Edited, turned, strongly cropped and chained copies, one flat image of many sizes, a logo on many images; repeated ids, clashing columns."""
+    if blocks:
+        monkeypatch.setattr(media, "BLOCK_BYTES", 6000)
+        monkeypatch.setattr(media, "MEET", 60)
+    rng = np.random.default_rng(33)
+    draw = lambda side=96: media.render(rng.normal(size=64).tolist(), side, int(rng.integers(1 << 30)))
+    base, logo = [draw() for _ in range(10)], draw()[20:64, 20:64]
+    large = draw(240)
+    images = [*base, *(media.edited(im, k) for k, im in enumerate(base)), large, large[60:190, 80:200], np.rot90(base[0]).copy(), base[1][4:92, 6:90][:70]]
+    for _ in range(8):
+        im = draw()
+        im[26:70, 30:74] = logo
+        images.append(im)
+    images += [np.full((n, n), 90, np.uint8) for n in (20, 60, 90)]
+    seen = [media.describe(im.astype(np.float32)) for im in images]
+    up = list(range(len(images)))
+    for _ in range(4):
+        for x in range(len(images)):
+            for y in range(x):
+                p, d, q, e = *seen[x], *seen[y]
+                if up[x] != up[y] and media.copies(p, media._words(d.tobytes()), q, media._words(e.tobytes())):
+                    up = [min(up[x], up[y]) if u in (up[x], up[y]) else u for u in up]
+    rows = [(i, media.encode_pgm(im), i, "h") for i, im in enumerate(images)]
+    rows += [(5, media.encode_pgm(base[7]), 1000, "h"), (None, media.encode_pgm(base[7]), 1001, "h")]
+    got = media.image_copies(spark.createDataFrame(rows, "media_id long, data binary, node long, h string")).collect()
+    least = {u: min(x for x in range(len(images)) if up[x] == u) for u in up}
+    least[up[7]] = min(least[up[7]], 5)  # the row that repeats id 5 shows image 7
+    want = [(str(i), str(least[up[i]])) for i in range(len(images))] + [("5", "5"), ("None", "None")]
+    assert sorted((str(r["media_id"]), str(r["component_id"])) for r in got) == sorted(want)
+    assert up[21] == up[20] and all(up[10 + k] == up[k] for k in range(10))
+
+
+def test_png_filters_are_undone():
+    import struct
+    import zlib
+
+    image = np.random.default_rng(2).integers(0, 256, (5, 7, 3)).astype(np.int64)
+    raw = b""
+    for y, f in enumerate([0, 1, 2, 3, 4]):
+        row, up = image[y].ravel(), image[y - 1].ravel() if y else np.zeros(21, np.int64)
+        left, corner = np.r_[0, 0, 0, row[:-3]], np.r_[0, 0, 0, up[:-3]]
+        p = left + up - corner
+        far = np.abs(np.stack([p - left, p - up, p - corner]))
+        guess = [np.zeros(21, np.int64), left, up, (left + up) // 2, np.choose(far.argmin(axis=0), [left, up, corner])][f]
+        raw += bytes([f]) + ((row - guess) & 255).astype(np.uint8).tobytes()
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 5, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    assert np.allclose(media.decode(data), image.mean(axis=2))
+
+
 def test_toxicity_learns_from_words_late_in_long_texts():
     rng = random.Random(4)
     texts, y = [], []

@@ -8,6 +8,8 @@ volume is a running sum of steps, and the evidence a log-sum-exp.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,17 +144,43 @@ def combine_logz(a: Column, b: Column) -> Column:
 def bootstrap_evidence(points: DataFrame, boot: DataFrame) -> DataFrame:
     """(boot_id, point_id, logl, logw, logwt, ...) for each bootstrap, which holds some roots' trees.
 
-    boot: (boot_id, root_id). Points are copied once for each bootstrap that has
-    their root; all running sums are windows within a bootstrap."""
-    from pyspark.sql import Window
-
+    boot: (boot_id, root_id). Points are ranged by likelihood once and then copied
+    for each bootstrap that has their root; running sums are within a bootstrap and a
+    range, plus one offset for each, so no task holds a whole bootstrap."""
     children = points.where("parent_id is not null").groupBy(F.col("parent_id").alias("point_id")).agg(F.count(F.lit(1)).alias("nchild"))
-    p = points.join(children, "point_id", "left").withColumn("nchild", F.coalesce("nchild", F.lit(0).cast("long"))).join(F.broadcast(boot), "root_id")
+    p = range_partitioned(points.join(children, "point_id", "left").withColumn("nchild", F.coalesce("nchild", F.lit(0).cast("long"))), *ORDER)
     roots = boot.groupBy("boot_id").agg(F.count(F.lit(1)).alias("__roots"))
-    before = Window.partitionBy("boot_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    p = p.join(F.broadcast(roots), "boot_id").withColumn("nlive", F.col("__roots") + F.coalesce(F.sum(F.col("nchild") - 1).over(before), F.lit(0)))
-    p = p.withColumn("logvol", F.coalesce(F.sum(step()).over(before), F.lit(0.0))).withColumn("logw", log_weight())
-    return p.withColumn("logwt", F.col("logw") + F.col("logl")).drop("__roots")
+    p = p.join(boot, "root_id").join(F.broadcast(roots), "boot_id")  # one row for each bootstrap
+    p = running_sum(p, F.col("nchild") - 1, "__change", *ORDER, exclusive=True, by=("boot_id",))
+    p = running_sum(p.withColumn("nlive", F.col("__roots") + F.col("__change")), step(), "logvol", *ORDER, exclusive=True, by=("boot_id",))
+    return p.withColumn("logw", log_weight()).withColumn("logwt", F.col("logw") + F.col("logl")).drop("__roots", "__change")
+
+
+def bootstrap_information(b: DataFrame) -> DataFrame:
+    """boot_id, h: the information of each bootstrap, over inner rows as in summary()."""
+    e = F.exp(F.col("logwt") - F.col("peak"))
+    p = with_peak(b, by=["boot_id"]).where("nchild > 0")
+    return p.groupBy("boot_id").agg((F.sum(e * F.col("logl")) / F.sum(e) - F.max("peak") - F.log(F.sum(e))).alias("h"))
+
+
+def evidence_view(w: DataFrame) -> DataFrame:
+    """point_id, logvol, relative logl (0 at the maximum) and relative logwt (to the final evidence): what an evidence plot shows."""
+    ends = w.agg(F.max("logl").alias("__top")).join(F.broadcast(summary(w).select(F.col("logz").alias("__z"))))  # one row
+    return w.join(F.broadcast(ends)).select("point_id", "logvol", (F.col("logl") - F.col("__top")).alias("logl_relative"), (F.col("logwt") - F.col("__z")).alias("logwt_relative"))
+
+
+def volume_density(w: DataFrame, grid: int = 100, cells: int = 2000) -> DataFrame:
+    """(x, density): Gaussian kernel density of the posterior weights over -logvol at ``grid`` points, with Scott's bandwidth.
+
+    Weights are added up in ``cells`` cells first, so what meets the grid does not grow with the run."""
+    p = with_peak(w).select((-F.col("logvol")).alias("x"), F.exp(F.col("logwt") - F.col("peak")).alias("e"))
+    s = p.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("e").alias("total"), (F.pow(F.sum("e"), 2) / F.sum(F.col("e") * F.col("e"))).alias("ess"), (F.sum(F.col("e") * F.col("x")) / F.sum("e")).alias("mean"), (F.sum(F.col("e") * F.col("x") * F.col("x")) / F.sum("e")).alias("sq"))
+    s = s.withColumn("width", F.greatest(F.sqrt(F.greatest(F.col("sq") - F.col("mean") * F.col("mean"), F.lit(0.0))) * F.pow("ess", F.lit(-0.2)), (F.col("hi") - F.col("lo")) / cells, F.lit(1e-12)))
+    span = F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12))
+    binned = p.join(F.broadcast(s)).groupBy(F.least(F.floor((F.col("x") - F.col("lo")) / span * cells), F.lit(cells - 1)).alias("cell")).agg((F.sum("e") / F.max("total")).alias("mass"), (F.sum(F.col("e") * F.col("x")) / F.sum("e")).alias("at"))
+    points = s.select("width", F.explode(F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda k: F.col("lo") + (F.col("hi") - F.col("lo")) * k / float(grid - 1))).alias("x"))
+    z = (F.col("x") - F.col("at")) / F.col("width")
+    return binned.join(F.broadcast(points)).groupBy("x").agg((F.sum(F.col("mass") * F.exp(-z * z / 2)) / (F.max("width") * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def bootstrap_logz(b: DataFrame) -> DataFrame:

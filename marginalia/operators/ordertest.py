@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import ranked, running_sum
+from .ordered import range_partitioned, ranked, running_sum
 
 
 def insertion_ranks(w: DataFrame) -> DataFrame:
@@ -30,6 +30,21 @@ def insertion_ranks(w: DataFrame) -> DataFrame:
     return out.select("point_id", F.col("i").alias("rk"), F.coalesce("k", F.lit(0).cast("long")).alias("insert_rank"), "nlive")
 
 
+def rank_sequence(w: DataFrame) -> DataFrame:
+    """(point_id, rk, insert_order) from live_points(): twice the rank, from above, of a row's first child among the live points
+    over their number; null where the row has no child, or two live points have the same likelihood."""
+    p = w.select("point_id", "logl", "parent_id", "rk", "nlive")
+    parent = p.select(F.col("point_id").alias("parent_id"), F.col("rk").alias("born"))
+    t = p.join(parent, "parent_id", "left").withColumn("born", F.coalesce("born", F.lit(0).cast("long")))
+    later = Window.partitionBy("logl").orderBy(F.desc("rk")).rowsBetween(Window.unboundedPreceding, -1)  # rows that tie
+    spans = t.withColumn("other", F.min("born").over(later)).where("other is not null").select((F.greatest("born", "other") + 1).alias("a"), F.col("rk").alias("z")).where("a <= z")
+    ends = spans.select(F.col("a").alias("rk"), F.lit(1).cast("long").alias("d")).unionByName(spans.select((F.col("z") + 1).alias("rk"), F.lit(-1).cast("long").alias("d")))
+    marked = p.select("point_id", "rk").join(ends.groupBy("rk").agg(F.sum("d").alias("d")), "rk", "left").withColumn("d", F.coalesce("d", F.lit(0).cast("long")))
+    tied = running_sum(range_partitioned(marked, "rk"), F.col("d"), "ties", "rk").select("point_id", "rk", "ties")
+    out = tied.join(insertion_ranks(w).select("point_id", "insert_rank", "nlive"), "point_id", "left")
+    return out.select("point_id", "rk", F.when(F.col("ties") == 0, 2.0 * (F.col("nlive") - F.col("insert_rank")) / F.col("nlive")).alias("insert_order"))
+
+
 def rank_zscore(df: DataFrame, rank: Column, n: Column, *order: str) -> DataFrame:
     """Running z-score of ranks that should be uniform on 0..n: (U - k/2) / sqrt(k/12), U the sum of (rank + 1/2) / n."""
     p = ranked(df, *order, name="k")

@@ -33,11 +33,15 @@ def is_affine(df: DataFrame, a: str, b: str, key: str, tolerance: float = 1e-9)
 
 
 def live_number_from_weights(w: DataFrame) -> DataFrame:
-    """(point_id, nlive) back from successive log weights of a run of constant width: ratio r = exp(logw' - logw) = exp(-1/n)."""
+    """(point_id, rk, nlive) back from successive log weights: 1 / ln((1 - sqrt(1 - 4r)) / (2r)) with r = 1 - exp(logw' - logw); 1 where that is no number above 1."""
     from .ordered import lagged
 
     j = lagged(w.select("point_id", "rk", "logw"), 1, "rk", before="logw").where("before is not null")
-    return j.select("point_id", "rk", (F.lit(-1.0) / (F.col("logw") - F.col("before"))).alias("nlive"))
+    r = F.lit(1.0) - F.exp(F.col("logw") - F.col("before"))
+    inner = F.lit(1.0) - 4.0 * r
+    ratio = F.when((inner >= 0) & (r > 0), (F.lit(1.0) - F.sqrt(inner)) / (2.0 * r))
+    n = F.when(ratio > 1, F.lit(1.0) / F.log(ratio))
+    return j.select("point_id", "rk", F.when(n > 1, n).otherwise(F.lit(1.0)).alias("nlive"))
 
 
 def fork_weights(points: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -65,7 +69,9 @@ def parents_before(points: DataFrame, value: float) -> DataFrame:
 def advice_range(live: DataFrame, logz: float, logz_remain: float, logvol: float, frac_remain: float = 0.01, epsilon: float = 1e-3) -> DataFrame:
     """(lo, hi): the likelihoods still to integrate, or nulls when done."""
     n = F.count(F.lit(1)).cast("double")
-    s = live.agg(F.min("logl").alias("lo"), F.max("logl").alias("top"), F.percentile("logl", 0.5).alias("mid"), F.element_at(F.sort_array(F.array_agg("logl")), 2).alias("second"), n.alias("n"))
+    s = live.agg(F.min("logl").alias("lo"), F.max("logl").alias("top"), F.percentile("logl", 0.5).alias("mid"), n.alias("n"))
+    second = live.orderBy("logl").limit(2).agg(F.max("logl").alias("second"))  # two rows
+    s = s.join(F.broadcast(second))
     nxt = F.lit(logz_remain - (logvol + math.log(frac_remain))) - F.log("n")
     hi = F.greatest(F.least(nxt, F.col("mid")), F.col("second"))
     fraction = 1 / (1 + math.exp(logz - logz_remain))

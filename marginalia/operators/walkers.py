@@ -231,3 +231,30 @@ def steps_with_reflection(u: np.ndarray, v: np.ndarray, t: float) -> tuple[np.nd
     odd = k % 2 != 0
     frac = x - k
     return np.where(odd, 1 - frac, frac), np.where(odd, -v, v)
+
+
+def random_start(logl: np.ndarray, threshold: float, rng: np.random.Generator) -> int:
+    """Any live point."""
+    return int(rng.integers(len(logl)))
+
+
+def island_start(size: int, exchange: float = 0.0):
+    """Chains for a dead point start from live points of its own island, a run of ``size`` places; sometimes (``exchange``) from any."""
+    if size < 1 or not 0 <= exchange <= 1:
+        raise ValueError("islands need a member, and exchange is a probability")
+
+    def start(logl: np.ndarray, threshold: float, rng: np.random.Generator) -> int:
+        dead = np.flatnonzero(logl == threshold)
+        if not len(dead) or (exchange and rng.random() < exchange):
+            return int(rng.integers(len(logl)))
+        low = int(dead[0]) // size * size
+        return int(rng.integers(low, min(len(logl), low + size)))
+
+    return start
+
+
+def step_report(start: np.ndarray, end: np.ndarray, region, accepted: int, tried: int, steps: int, scale: float) -> dict:
+    """How a population's walk went: share of rejections, scale, steps, mean jump over the region's radius and the share that went further than that."""
+    far = np.sqrt(((region.transform(end) - region.transform(start)) ** 2).sum(axis=1))
+    reference = np.sqrt(max(region.sq_radius, 1e-300))
+    return {"rejection_rate": 1 - accepted / max(1, tried), "scale": scale, "nsteps": steps, "mean_jump": float(far.mean() / reference) if len(far) else 0.0, "far_enough": float((far > reference).mean()) if len(far) else 0.0}

@@ -15,6 +15,7 @@ from .. import functions as fn
 from ..operators import evidence as ev
 from ..operators import ordertest as ot
 from ..operators import posterior as po
+from ..operators import reactive as rv
 from ..operators import region as rg
 from ..operators import strategy as st
 from ..operators import warmstart as ws
@@ -218,10 +219,10 @@ def max_likelihood(spark, sf):
  q AS (SELECT zz.*, peak + ln(sum(e) OVER (ORDER BY rk)) AS cz, (SELECT max(logl) FROM o) AS lm,
    (SELECT sum(exp(logl - (SELECT max(logl) FROM o))) FROM pa WHERE prk IS NULL)
    + coalesce(sum(coalesce(gain, 0) - exp(logl - (SELECT max(logl) FROM o))) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS live FROM zz LEFT JOIN g USING (rk))
-SELECT rk AS iter, round(1 / (1 + exp(cz - (lm + ln(live) + logvol + step - ln(nlive)))), 6) AS remainder_fraction FROM q WHERE rk % 500 = 0 AND rk <= n - {N}""")
+SELECT rk AS iter, round(1 / (1 + exp(cz - (lm + ln(live) + logvol + step - ln(nlive)))), 6) AS remainder_fraction FROM q WHERE rk <= n - {N}""")
 def remainder(spark, sf):
     r = ev.remainder(ev.weighted(_points(spark, sf)))
-    return r.where(f"rk % 500 = 0 AND nchild > 0").select(F.col("rk").alias("iter"), _r("remainder_fraction").alias("remainder_fraction"))
+    return r.where("nchild > 0").select(F.col("rk").alias("iter"), _r("remainder_fraction").alias("remainder_fraction"))
 
 
 _RANK = """rank_ AS (SELECT p.rk, count(b.rk) AS insert_rank, p.nlive FROM
@@ -281,16 +282,24 @@ _CLOUD = "c AS (SELECT s_suppkey AS id, (s_acctbal::DOUBLE + 1000) / 11000 AS x,
 _NEAR = f"{_CLOUD}, nb AS (SELECT b.id AS b_id, a.id AS a_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS byy FROM c a JOIN c b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.05 * 0.05)"
 
 
+def _part_cloud(spark, sf) -> DataFrame:
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 51.0).alias("x"), ((F.col("p_retailprice").cast("double") - 900) / 1200).alias("y"))
+
+
+_NEAR_PARTS = f"""{_CLOUD}, pc AS (SELECT p_partkey AS id, p_size / 51e0 AS x, (p_retailprice::DOUBLE - 900) / 1200 AS y FROM part),
+ nb AS (SELECT b.id AS b_id, a.id AS a_id FROM pc a JOIN c b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.05 * 0.05)"""
+
+
 @query(f"WITH {_NEAR} SELECT b_id, count(*) AS n FROM nb GROUP BY b_id")
 def neighbour_count(spark, sf):
     c = _cloud(spark, sf)
     return rg.count_neighbours(c.withColumnRenamed("id", "a_id"), c.withColumnRenamed("id", "b_id"), 0.05, ["x", "y"])
 
 
-@query(f"WITH {_NEAR} SELECT c.id AS b_id, coalesce(min(a_id) FILTER (a_id % 2 = 0), -1) AS a_id FROM c JOIN nb ON nb.b_id = c.id GROUP BY c.id")
+@query(f"WITH {_NEAR_PARTS} SELECT c.id AS b_id, coalesce(min(a_id), -1) AS a_id FROM c LEFT JOIN nb ON nb.b_id = c.id GROUP BY c.id")
 def first_neighbour(spark, sf):
     c = _cloud(spark, sf)
-    return rg.first_neighbour(c.where("id % 2 = 0").withColumnRenamed("id", "a_id"), c.withColumnRenamed("id", "b_id"), 0.05, ["x", "y"])
+    return rg.first_neighbour(_part_cloud(spark, sf).withColumnRenamed("id", "a_id"), c.withColumnRenamed("id", "b_id"), 0.05, ["x", "y"])
 
 
 @query(f"WITH {_NEAR} SELECT b_id AS id, round(max(bx) - avg(ax), 6) AS x, round(max(byy) - avg(ay), 6) AS y FROM nb GROUP BY b_id")
@@ -517,10 +526,11 @@ def affine_check(spark, sf):
     return x.join(F.broadcast(st.is_affine(e, "a", "c", "event_id", 1e-6).select(F.col("affine").alias("square"))))
 
 
-@query(f"WITH {_run_sql()}, b AS (SELECT rk, logw, lag(logw) OVER (ORDER BY rk) AS before FROM w) SELECT rk AS iter, round(-1 / (logw - before), 3) AS nlive FROM b WHERE before IS NOT NULL AND rk % 100 = 0 AND rk < 1000")
+@query(f"""WITH {_run_sql()}, b AS (SELECT rk, 1 - exp(logw - lag(logw) OVER (ORDER BY rk)) AS r FROM w), q AS (SELECT rk, CASE WHEN r > 0 AND 1 - 4 * r >= 0 THEN (1 - sqrt(1 - 4 * r)) / (2 * r) END AS q FROM b WHERE r IS NOT NULL)
+SELECT rk AS iter, round(CASE WHEN q > 1 AND 1 / ln(q) > 1 THEN 1 / ln(q) ELSE 1 END, 2) AS nlive FROM q""")
 def live_number_backout(spark, sf):
     w = ev.weighted(_points(spark, sf))
-    return st.live_number_from_weights(w).where("rk % 100 = 0 AND rk < 1000").select(F.col("rk").alias("iter"), _r("nlive", 3).alias("nlive"))
+    return st.live_number_from_weights(w).select(F.col("rk").alias("iter"), _r("nlive", 2).alias("nlive"))
 
 
 @query(f"WITH {_run_sql()} SELECT c_nationkey AS cluster_id, count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > 1".replace(f"WITH {_run_sql()} ", ""))
@@ -562,10 +572,10 @@ def replay_blocks(spark, sf):
     return st.replay_blocks(_points(spark, sf).select("point_id", "logl", "o_totalprice"), F.expr("-0.5D*pow((o_totalprice-245000D)/48000D, 2D)"), 100, 0.3).select("block", _r("distance").alias("distance"), "good")
 
 
-@query(f"WITH {_NEAR}, k AS (SELECT b_id, min(1 + a_id % 3) AS lo, max(1 + a_id % 3) AS hi FROM nb WHERE a_id % 5 = 0 GROUP BY b_id) SELECT id, CASE WHEN lo = hi THEN lo ELSE 0 END AS cluster FROM c LEFT JOIN k ON k.b_id = id")
+@query(f"WITH {_NEAR_PARTS}, k AS (SELECT b_id, min(1 + a_id % 3) AS lo, max(1 + a_id % 3) AS hi FROM nb GROUP BY b_id) SELECT id, CASE WHEN lo = hi THEN lo ELSE 0 END AS cluster FROM c LEFT JOIN k ON k.b_id = id")
 def match_clusters(spark, sf):
     c = _cloud(spark, sf)
-    return st.match_clusters(c, c.where("id % 5 = 0").withColumn("cluster", 1 + F.col("id") % 3), 0.05, ["x", "y"])
+    return st.match_clusters(c, _part_cloud(spark, sf).withColumn("cluster", 1 + F.col("id") % 3), 0.05, ["x", "y"])
 
 
 @query("""WITH u AS (SELECT s_suppkey, tan(pi() * ((s_suppkey * 37 % 101 + 0.5e0) / 102 - 0.5)) AS t1, tan(pi() * ((s_suppkey * 53 % 97 + 0.5e0) / 98 - 0.5)) AS t2 FROM supplier)
@@ -593,3 +603,104 @@ SELECT 'o_totalprice' AS param, round(avg(x), 3) AS mean, round(stddev_pop(x), 3
 def equal_weight_summary(spark, sf):
     s = po.resample_equal(_shares(spark, sf).select("logl", "point_id", "o_totalprice", "p"), "p", ["logl", "point_id"], F.lit(1000.0))
     return po.equal_weight_summary(s, ["o_totalprice"]).select("param", *[_r(c, 3).alias(c) for c in ("mean", "stdev", "median", "errlo", "errup")])
+
+
+_TIES = """ties AS (SELECT DISTINCT l.rk FROM l JOIN pa b ON b.rk BETWEEN l.rk AND l.rk + 99 AND coalesce(b.prk, 0) < l.rk JOIN pa d ON d.rk BETWEEN b.rk + 1 AND l.rk + 99 AND coalesce(d.prk, 0) < l.rk AND d.logl = b.logl)"""
+
+
+@query(f"""WITH {_run_sql(100)}, {_RANK}, {_TIES} SELECT l.point_id, round(CASE WHEN t.rk IS NULL THEN 2e0 * (r.nlive - r.insert_rank) / r.nlive END, 6) AS insert_order
+FROM l LEFT JOIN rank_ r USING (rk) LEFT JOIN ties t USING (rk)""")
+def rank_sequence(spark, sf):
+    return ot.rank_sequence(ev.live_points(_points(spark, sf, 100))).select("point_id", _r("insert_order").alias("insert_order"))
+
+
+@query(f"WITH {_run_sql()} SELECT point_id, round(logvol, 6) AS logvol, round(logl - max(logl) OVER (), 6) + 0.0 AS logl_relative, round(logwt - (SELECT logz FROM t), 6) AS logwt_relative FROM zz")
+def evidence_view(spark, sf):
+    v = ev.evidence_view(ev.weighted(_points(spark, sf)))
+    return v.select("point_id", _r("logvol").alias("logvol"), (_r("logl_relative") + 0.0).alias("logl_relative"), _r("logwt_relative").alias("logwt_relative"))
+
+
+_H_BOOT = "bh AS (SELECT boot_id, sum(exp(bwt - mx) * logl) / sum(exp(bwt - mx)) - max(mx) - ln(sum(exp(bwt - mx))) AS h FROM (SELECT *, max(bwt) OVER (PARTITION BY boot_id) AS mx FROM bw) WHERE nchild > 0 AND boot_id > 0 GROUP BY boot_id)"
+
+
+@query(f"""WITH {_run_sql()}, {_BOOT}, {_H_BOOT}, h0 AS ({_H}), hh AS (SELECT h FROM bh UNION ALL SELECT h FROM h0),
+ b0 AS (SELECT avg(bz) AS m, stddev_pop(bz) AS s, max(bz - (SELECT logz FROM t)) AS e FROM bz WHERE boot_id > 0),
+ f AS (SELECT ln(1 + sum(e) FILTER (nchild = 0) / sum(e)) AS tail, sum(e) * sum(e) / sum(e * e) AS ess, count(*) AS n, max(logl) AS top FROM zz)
+SELECT n, round((SELECT logz FROM t), 6) AS logz, round(sqrt(b0.e * b0.e + tail * tail), 6) AS logzerr, round(b0.m, 6) AS logz_bs, round(b0.s, 6) AS logz_bs_std, round(b0.e, 6) AS logzerr_bs,
+ round(sqrt((SELECT h FROM h0) / {N}), 6) AS logzerr_single, round(tail, 6) AS logzerr_tail, round(ess, 4) AS ess, round((SELECT h FROM h0), 6) AS h, round((SELECT stddev_pop(h) FROM hh), 6) AS herr, round(top, 6) + 0.0 AS max_logl FROM b0, f""")
+def result_table(spark, sf):
+    r = rv.result_table(_points(spark, sf), _boot(spark).where("boot_id > 0"))
+    return r.select("n", *[_r(c, 4 if c == "ess" else 6).alias(c) for c in r.columns if c not in ("n", "max_logl")], (_r("max_logl") + 0.0).alias("max_logl"))
+
+
+@query(f"""WITH {_run_sql().replace("pa AS (SELECT *,", "p0 AS (SELECT *,").replace("ch AS (", "fi AS (SELECT logl, min(rk) AS m FROM r GROUP BY logl), pa AS (SELECT p0.* REPLACE (fi.m AS prk) FROM p0 LEFT JOIN r x ON x.rk = p0.prk LEFT JOIN fi ON fi.logl = x.logl), ch AS (", 1)} {SUMMARY}""")
+def read_run_results(spark, sf):
+    """A run is stored as rows that know only their threshold of birth, and read, rebuilt and integrated again."""
+    import uuid
+
+    from ..operators.ordered import materialise
+    from ..sources import store
+
+    materialise(spark.range(1))  # names the shared folder
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/run-{uuid.uuid4().hex}"
+    rows = materialise(_points(spark, sf)).select("birth", "logl", F.lit(0.0).alias("quality"), (F.col("o_totalprice") / 600000).alias("u_1"), F.col("o_totalprice").alias("p_1"), "point_id")
+    kept = store.ParquetPointStore(spark, path, store.columns(1, 1))
+    kept.append(rows.orderBy("logl", "point_id"), 2 * rows.count())
+    points = rv.rebuild_tree(store.ParquetPointStore(spark, path, store.columns(1, 1)).stored())
+    return _summary(points.withColumn("root_id", F.lit(0)))
+
+
+@query("""WITH RECURSIVE st AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS seq, s_acctbal::DOUBLE / 1000 AS logl, s_acctbal::DOUBLE / 1000 - (s_suppkey % 7) AS birth FROM supplier),
+ th AS (SELECT i AS k, -1 + i / 4e0 AS t FROM range(1, 41) r(i)),
+ w AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS seq
+   UNION ALL SELECT w.k + 1, list_append(w.used, m.seq), m.seq FROM w, LATERAL (SELECT min(st.seq) AS seq FROM st, th WHERE th.k = w.k + 1 AND st.birth <= th.t AND st.logl > th.t AND NOT coalesce(list_contains(w.used, st.seq), false)) m WHERE w.k < 40)
+SELECT w.k, th.t AS threshold, coalesce(w.seq, -1) AS seq FROM w JOIN th USING (k)""")
+def pop_consume_once(spark, sf):
+    """Forty rising thresholds, each of which uses up the row it takes."""
+    s = ranked(read(spark, sf, "supplier").select("s_suppkey", (F.col("s_acctbal").cast("double") / 1000).alias("logl")), "s_suppkey", name="seq")
+    s = s.select("seq", "logl", (F.col("logl") - F.col("s_suppkey") % 7).alias("birth"))
+    t = spark.range(1, 41).select(F.col("id").alias("k"), (F.lit(-1) + F.col("id") / 4.0).alias("threshold"))
+    return ws.pop_sequence(s, t).withColumn("seq", F.coalesce("seq", F.lit(-1).cast("long")))
+
+
+@query(f"""WITH {_run_sql()}, {_BOOT}, m AS (SELECT (SELECT logz FROM t) AS z, (SELECT count(*) FROM zz) AS n),
+ c AS (SELECT logl, sum(p) OVER (ORDER BY rk) AS c, p FROM (SELECT rk, logl, exp(logwt - m.z) AS p FROM zz, m)),
+ d AS (SELECT min(logl) AS lo, max(logl) AS hi FROM c WHERE ceil(round(20000 * c - 0.5, 9)) > ceil(round(20000 * (c - p) - 0.5, 9))),
+ es AS (SELECT sum(e) * sum(e) / sum(e * e) AS ess FROM zz),
+ g0 AS (SELECT boot_id, bw.rk, bw.logl, exp(bwt - bz) * (bwt - bz - (zz.logwt - m.z)) AS g FROM bw JOIN bz USING (boot_id) JOIN zz USING (point_id), m WHERE boot_id > 0),
+ kl AS (SELECT boot_id, sum(g) AS kl FROM g0 GROUP BY boot_id), ap AS (SELECT boot_id, abs(kl - avg(kl) OVER ()) AS apart FROM kl),
+ gc AS (SELECT logl, round(sum(greatest(g, 0)) OVER (PARTITION BY boot_id ORDER BY rk) / sum(greatest(g, 0)) OVER (PARTITION BY boot_id), 9) AS c FROM g0 JOIN ap USING (boot_id) WHERE apart > 0.001),
+ ks AS (SELECT min(logl) FILTER (c >= 0.0025) AS lo, max(logl) FILTER (c <= 0.9975) AS hi FROM gc),
+ zz1 AS (SELECT greatest(max(abs(bz - m.z)), sqrt((SELECT h FROM ({_H})) / {N})) AS v FROM bz, m WHERE boot_id > 0)
+SELECT 'ess' AS goal, round(ess, 4) AS value, ess >= 20000 AS met, round(lo, 6) AS lo, round(hi, 6) + 0.0 AS hi, 0::BIGINT AS width FROM es, d
+UNION ALL SELECT 'kl', round((SELECT max(apart) FROM ap), 4), false, round(lo, 6), round(hi, 6) + 0.0, 0 FROM ks
+UNION ALL SELECT 'logz', round(v, 4), false, NULL, NULL, ceil(sqrt(n) / 0.005)::BIGINT FROM zz1, m""")
+def strategy_goals(spark, sf):
+    g = rv.goals(_points(spark, sf), _boot(spark).where("boot_id > 0"), 20000, 0.001, 0.005)
+    return g.select("goal", _r("value", 4).alias("value"), "met", _r("lo").alias("lo"), (_r("hi") + 0.0).alias("hi"), "width")
+
+
+@query(f"""WITH {_run_sql(N, True)}, tie AS (SELECT logl, count(*) AS k FROM l GROUP BY logl)
+SELECT point_id, k = 1 AND logl <= -1 AND (rk = 1 OR rk <= 5000) AND nchild < 1 + point_id % 3 AND (rk = 1 OR nlive <= 300) AS expand FROM l JOIN tie USING (logl)""")
+def expandable_nodes(spark, sf):
+    w = ev.live_points(_points(spark, sf, N, True)).withColumn("wanted", 1 + F.col("point_id") % 3)
+    return rv.expandable(w, -10.0, -1.0, 300, max_iters=5000, min_children="wanted").select("point_id", "expand")
+
+
+@query("SELECT count(*) * 40 AS width FROM (SELECT c_nationkey FROM customer GROUP BY c_nationkey HAVING count(*) > 1)")
+def cluster_width_goal(spark, sf):
+    return rv.cluster_width(read(spark, sf, "customer"), "c_nationkey", 40)
+
+
+@query("SELECT count(*) - 1 AS to_add FROM part WHERE p_size = (SELECT min(p_size) FROM part)")
+def plateau_roots(spark, sf):
+    return rv.plateau_roots(read(spark, sf, "part").select(F.col("p_size").cast("double").alias("logl")))
+
+
+@query("""WITH k AS (SELECT l_quantity::DOUBLE AS q, l_extendedprice::DOUBLE AS e, l_discount::DOUBLE AS d FROM lineitem),
+ r AS (SELECT rank() OVER (ORDER BY q) + (count(*) OVER (PARTITION BY q) - 1) / 2e0 AS q, rank() OVER (ORDER BY e) + (count(*) OVER (PARTITION BY e) - 1) / 2e0 AS e, rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2e0 AS d FROM k),
+ c AS (SELECT 'q' AS a, 'e' AS b, corr(q, e) AS rho FROM r UNION ALL SELECT 'q', 'd', corr(q, d) FROM r UNION ALL SELECT 'e', 'd', corr(e, d) FROM r)
+SELECT a, b, round(rho, 6) AS rho, abs(rho) > 0.75 AS report FROM c""")
+def degenerate_pairs(spark, sf):
+    l = read(spark, sf, "lineitem").select(F.col("l_quantity").cast("double").alias("q"), F.col("l_extendedprice").cast("double").alias("e"), F.col("l_discount").cast("double").alias("d"))
+    return rv.degenerate_pairs(l, ["q", "e", "d"]).select("a", "b", _r("rho").alias("rho"), "report")

@@ -97,6 +97,26 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_hubs(spark):
+    # hubs in a chain that share leaves, one whose only smaller neighbour is a leaf, paths that hang on leaves
+    rng = np.random.default_rng(4)
+    edges = [(9000 + h, 10000 + 700 * h + int(x)) for h in range(6) for x in rng.integers(0, 1500, 2500)]
+    edges += [(30000, 31000 + k) for k in range(1500)] + [(7, 31005), (5, 7)] + [(50000 + k, 50001 + k) for k in range(300)] + [(50300, 31010)]
+    edges += [(80000 + k, 90000) for k in range(1200)]
+    label = {x: x for e in edges for x in e}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        label[y] = x
+    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert len(got) == len(label) and {r["node"]: r["component"] for r in got} == {x: root(x) for x in label}
+
+
 def brute_passages(texts, match=50):
     first, out = {}, {}
     rows = sorted([(i, (t or "").encode()) for i, t in texts if i is not None], key=lambda r: r[0])

@@ -54,8 +54,8 @@ GATHER_BYTES = 12_000_000
 BUCKET_BYTES = 12_000_000
 #: Text counted, and scored, at once.
 COUNT_BYTES = 2_000_000
-#: Codes looked up at once.
-BLOCK = 1_500_000
+#: Codes looked up at once: a code of DEPTH + 1 bytes and its place among these share 64 bits.
+BLOCK = 1 << 16
 END_TOKEN = U64(0x5BF0A8B1457695E3)
 _HASHES = WordHashes(300_000, seed=3)
 
@@ -90,6 +90,14 @@ def _summed(keys: np.ndarray, *counts: np.ndarray):
     return (keys[at], *(np.add.reduceat(c[order], at) for c in counts))
 
 
+def _counted(codes: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and how many of each are training ones (train 1, else 0). Each is sorted with its flag as its last bit."""
+    flagged = np.sort((codes << U64(1)) | train.astype(U64))
+    codes = flagged >> U64(1)
+    at = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+    return codes[at], np.add.reduceat((flagged & U64(1)).astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+
+
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     values, back = np.unique(x, return_inverse=True)
     return np.array([math.lgamma(v) for v in values.tolist()])[back]
@@ -158,20 +166,21 @@ def log10_of(codes: np.ndarray, nodes: dict[int, tuple]) -> np.ndarray:
 
 
 def _look_up(keys: np.ndarray, values: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Values of codes, 0 for those that are not among the sorted keys. Codes are sorted first, which makes the search local."""
+    """Values of codes, 0 for those that are not among the sorted keys. Codes are sorted first, each with its place in its block below it, which makes the search local."""
     out = np.zeros(len(codes), np.float32)
     if not len(keys):
         return out
+    places = np.arange(BLOCK, dtype=U64)
     for s in range(0, len(codes), BLOCK):
         part = codes[s : s + BLOCK]
-        order = np.argsort(part)
-        sorted_ = part[order]
+        placed = np.sort((part << U64(16)) | places[: len(part)])
+        sorted_ = placed >> U64(16)
         at = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
         own = sorted_[at]
         i = np.searchsorted(keys, own)
         i[i == len(keys)] = 0
         v = np.where(keys[i] == own, values[i], np.float32(0))
-        out[s + order] = np.repeat(v, np.diff(np.r_[at, len(part)]))
+        out[s + (placed & U64(BLOCK - 1)).astype(np.int64)] = np.repeat(v, np.diff(np.r_[at, len(part)]))
     return out
 
 
@@ -232,7 +241,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             docs = [words_of(t) for _, t, _ in rows]
             train = np.array([not h for _, _, h in rows], np.int64)
             codes, sizes = strings(docs)
-            codes, counts = _summed(codes, np.repeat(train, sizes))
+            codes, counts = _counted(codes, np.repeat(train, sizes))
             words, of = _tokens(docs)
             words, times = _summed(words, train[of])
             some.append((codes, counts, words[times > 0], times[times > 0]))

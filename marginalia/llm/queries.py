@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, lm_score, media, near_dedup, packing, suffix_dedup, token_counts, toxicity, url_filter
+from . import bpe, exact_dedup, lm_score, media, near_dedup, packing, piece_bpe, suffix_dedup, token_counts, toxicity, url_filter
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 #: The rules that op5 judges by.
 URL_RULES = [
@@ -72,6 +73,17 @@ def op10_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(PIECE_BPE)
+    coded = piece_bpe.piece_encode(table(spark, sf_dir, "documents"), path, packed=True, decoded=True)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -83,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_best_fit_pack": op10_best_fit_pack,
+    "op11_piece_bpe": op11_piece_bpe,
 }
 
 #: Normalised text and its digest, for the SQL below.

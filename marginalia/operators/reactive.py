@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .chained import in_tree
 from .evidence import ORDER, bootstrap_evidence, bootstrap_information, bootstrap_kl, bootstrap_logz, summary, weighted, with_peak
 from .ordered import following, materialise, range_partitioned, running_sum
 from .posterior import resample_counts
@@ -16,10 +17,12 @@ from .strategy import parents_before, width_for_error
 def rebuild_tree(stored: DataFrame) -> DataFrame:
     """Stored rows (seq, birth, logl, ...) as points of a tree: adds point_id and parent_id.
 
-    A row hangs under the first row (by logl, seq) at or above its birth threshold, as
-    a walk up the tree would find it; that row must lie below it, or the row is left
-    out. A null or infinite birth is a draw from the prior, without a parent.
+    A row hangs under the first row of the tree (by logl, seq) at or above its birth
+    threshold, as a walk up the tree would find it; that row must lie below it, or the
+    row is left out, and no other row can hang under it. A null or infinite birth is a
+    draw from the prior, without a parent.
     """
+    stored = materialise(in_tree(stored).where("fits").drop("fits"))
     from_prior = F.col("birth").isNull() | (F.col("birth") == float("-inf"))
     points = stored.select(F.col("logl").alias("v"), F.lit(1).alias("k"), "seq", F.struct("logl", "seq").alias("here"))
     births = stored.where(~from_prior).select(F.col("birth").alias("v"), F.lit(0).alias("k"), "seq", F.lit(None).cast(points.schema["here"].dataType).alias("here"))

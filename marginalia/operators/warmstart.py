@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import logsumexp
+from .chained import pop_sequence
 from .ordered import range_partitioned, running_sum
 
 
@@ -46,46 +46,10 @@ def reuse(w: DataFrame, new_logl: Column) -> DataFrame:
     return v.agg(F.count(F.lit(1)).alias("n"), logsumexp("__lw", F.col("peak")).alias("logz"), (F.pow(F.sum(e), 2) / F.sum(e * e)).alias("ess"))
 
 
-def pop_sequence(stored: DataFrame, thresholds: DataFrame, run: str | None = None) -> DataFrame:
-    """(run,) k, threshold and seq of the stored row that each threshold takes, or null.
-
-    A threshold takes the first stored row (by seq) born at or below it that lies
-    above it, and no later threshold can take that row again. Thresholds (k,
-    threshold) must rise with k, as they do along a run. One sorted sweep a run: births
-    enter a heap, what lies at or below the threshold leaves it for good. Runs are
-    dealt to tasks; a task holds the rows of one run that are born but not passed.
-    """
-    import heapq
-
-    def sweep(batches):
-        held: list[tuple[int, float]] = []
-        own = object()
-        for b in batches:
-            out = []
-            for g, v, kind, n, logl in zip(*(b.column(c).to_pylist() for c in ("run", "v", "kind", "n", "logl"))):
-                if g != own:
-                    held, own = [], g
-                if kind == 0:
-                    heapq.heappush(held, (n, logl))
-                    continue
-                while held and held[0][1] <= v:
-                    heapq.heappop(held)
-                out.append((g, n, v, heapq.heappop(held)[0] if held else None))
-            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.string(), pa.int64(), pa.float64(), pa.int64()))], names=["run", "k", "threshold", "seq"])
-
-    key = lambda df: F.col(run).cast("string") if run else F.lit("")
-    births = stored.select(key(stored).alias("run"), F.coalesce("birth", F.lit(float("-inf"))).alias("v"), F.lit(0).alias("kind"), F.col("seq").cast("long").alias("n"), "logl")
-    asked = thresholds.select(key(thresholds).alias("run"), F.col("threshold").cast("double").alias("v"), F.lit(1).alias("kind"), F.col("k").cast("long").alias("n"), F.lit(0.0).alias("logl"))
-    events = births.unionByName(asked).repartition("run").sortWithinPartitions("run", "v", "kind", "n")
-    out = events.mapInArrow(sweep, "run string, k long, threshold double, seq long")
-    return out.withColumnRenamed("run", run) if run else out.drop("run")
-
-
 def usable_points(stored: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(threshold, seq): for each threshold, on its own, the first stored row born at or below it that lies above it. For a run that uses up rows see pop_sequence."""
-    t = thresholds.select("threshold")
-    j = stored.join(F.broadcast(t), (F.coalesce("birth", F.lit(float("-inf"))) <= F.col("threshold")) & (F.col("logl") > F.col("threshold")))
-    return j.groupBy("threshold").agg(F.min("seq").alias("seq"))
+    asked = thresholds.select("threshold").distinct().select(F.monotonically_increasing_id().alias("k"), "threshold")
+    return pop_sequence(stored, asked, consume=False).where("seq is not null").select("threshold", "seq")
 
 
 def width_steps(intervals: DataFrame) -> DataFrame:

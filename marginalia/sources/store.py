@@ -69,6 +69,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder on any file system holds; nothing if it does not exist."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
 class ParquetPointStore(PointStore):
     """Appends Parquet files; the number of calls is in a table beside them. Opening it finds what earlier runs left."""
 
@@ -100,6 +107,8 @@ class TextPointStore(PointStore):
     def __init__(self, spark: SparkSession, path: str, names: list[str], sep: str = "\t"):
         super().__init__(names)
         self.spark, self.path, self.sep = spark, path.rstrip("/"), sep
+        if _exists(spark, f"{self.path}/calls"):
+            self.ncalls = spark.read.text(f"{self.path}/calls").agg(F.max(F.col("value").cast("long"))).first()[0]
         bad = self._lines().where(F.size("f") != len(names)).count() if _exists(spark, self.path) else 0
         if bad:
             warnings.warn(f"{path}: {bad} rows do not have {len(names)} columns and are not used", stacklevel=2)
@@ -116,9 +125,10 @@ class TextPointStore(PointStore):
         return rows.select((F.col("rk") - 1).alias("seq"), *[F.element_at("f", i + 1).cast("double").alias(n) for i, n in enumerate(self.names)])
 
     def append(self, rows: DataFrame, ncalls: int) -> None:
-        had = self.spark.read.text(f"{self.path}/append-*").select("_metadata.file_path").distinct().count() if _exists(self.spark, self.path) else 0
+        had = max((int(n.rpartition("-")[2]) + 1 for n in _names(self.spark, self.path) if n.startswith("append-")), default=0)
         text = rows.select(F.concat_ws(self.sep, *[F.format_string("%.18e", F.coalesce(F.col(c).cast("double"), F.lit(float("-inf")))) for c in self.names]).alias("value"))
         text.write.text(f"{self.path}/append-{had:09d}")
+        self.spark.createDataFrame([(str(ncalls),)], "value string").write.mode("append").text(f"{self.path}/calls")
         self.ncalls = ncalls
 
 
@@ -192,11 +202,21 @@ def read_similar(spark: SparkSession, path: str, names: list[str], least: int =
     return df
 
 
-def read_file(spark: SparkSession, path: str, x_dim: int, num_params: int, num_bootstraps: int = 20, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(points with weights, one row of results) from a stored run alone: the tree is rebuilt and integrated again."""
-    from ..operators.evidence import weighted
+def read_file(spark: SparkSession, path: str, x_dim: int, num_params: int, num_bootstraps: int = 20, seed: int = 1, random: bool = False, check_insertion_order: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(points with weights, one row of results) from a stored run alone: the tree is rebuilt and integrated again.
+
+    ``random``: volumes shrink by draws (seeded by point) instead of their means. With
+    ``check_insertion_order`` the row of results has the test of insertion ranks, too.
+    """
+    from ..operators.chained import order_test_summary
+    from ..operators.evidence import live_points, weighted, weighted_stochastic
+    from ..operators.ordertest import insertion_ranks
     from ..operators.reactive import bootstrap_masks, rebuild_tree, result_table, with_roots
 
     rows = ParquetPointStore(spark, path, columns(x_dim, num_params)).stored()
     points = materialise(with_roots(rebuild_tree(rows)))
-    return weighted(points), result_table(points, bootstrap_masks(points, num_bootstraps, seed))
+    table = result_table(points, bootstrap_masks(points, num_bootstraps, seed))
+    if check_insertion_order:
+        ranks = materialise(insertion_ranks(live_points(points)))
+        table = table.join(F.broadcast(order_test_summary(ranks, "insert_rank", "nlive", "rk")))  # one row each
+    return (weighted_stochastic(points, seed) if random else weighted(points)), table

@@ -77,7 +77,7 @@ def encode_png(image: np.ndarray) -> bytes:
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
-    """Grey values of a binary PGM or an 8-bit, non-interlaced PNG; None for anything else."""
+    """Grey values (0 to 255) of a binary PGM of one or two bytes a value or an 8-bit, non-interlaced PNG; None for anything else, a file that is cut off included."""
     try:
         if data and data[:2] == b"P5":
             fields, at = [], 2
@@ -88,15 +88,18 @@ def decode(data: bytes | None) -> np.ndarray | None:
                     at = data.index(b"\n", at)
                     continue
                 end = at
-                while not data[end : end + 1].isspace():
+                while end < len(data) and not data[end : end + 1].isspace():
                     end += 1
-                fields.append(int(data[at:end]))
+                fields.append(int(data[at:end]))  # nothing is left of a file that ends here, which is no number
                 at = end
-            w, h, _ = fields
-            return np.frombuffer(data, np.uint8, w * h, at + 1).reshape(h, w).astype(np.float32)
+            w, h, most = fields
+            if not (w > 0 and h > 0 and 0 < most < 65536):
+                return None
+            values = np.frombuffer(data, np.uint8 if most < 256 else ">u2", w * h, at + 1).reshape(h, w)
+            return np.minimum(values, most).astype(np.float32) * np.float32(255 / most) if most != 255 else values.astype(np.float32)
         if data and data[:8] == b"\x89PNG\r\n\x1a\n":
             return _decode_png(data)
-    except (ValueError, IndexError, KeyError, struct.error, zlib.error):
+    except (ValueError, IndexError, KeyError, UnboundLocalError, MemoryError, struct.error, zlib.error):
         return None
     return None
 
@@ -242,6 +245,54 @@ def chunk_keys(d: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(d).view(">u4").reshape(-1, CHUNKS).astype(np.int64) * CHUNKS + np.arange(CHUNKS)
 
 
+def nearest(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, squared distance): the ``k`` nearest others of each point, of equal ones those with the least numbers, nearest first.
+
+    Points lie in a grid of about ``k`` a cell. A point looks at squares of cells around its own; those
+    for which the square is not yet sure to hold the nearest look again at a wider one.
+    """
+    n = len(x)
+    side = max(1e-6, float(np.sqrt(max(np.ptp(x), 1.0) * max(np.ptp(y), 1.0) * k / n)))
+    cx, cy = ((x - x.min()) // side).astype(np.int64), ((y - y.min()) // side).astype(np.int64)
+    wide = int(cx.max()) + 1
+    cell = cy * wide + cx
+    order = np.argsort(cell, kind="stable")
+    ranked = cell[order]
+    out_j, out_d = np.empty((n, k), np.int64), np.empty((n, k))
+    todo, reach = np.arange(n), 1
+    while len(todo):
+        again = []
+        most = max(1, CORNER_PAIRS // (4 * k * (2 * reach + 1) ** 2))
+        for part in (todo[a : a + most] for a in range(0, len(todo), most)):
+            rows = np.arange(-reach, reach + 1)
+            at = (cy[part, None] + rows) * wide
+            lo = np.searchsorted(ranked, at + np.maximum(cx[part, None] - reach, 0), side="left")
+            hi = np.searchsorted(ranked, at + np.minimum(cx[part, None] + reach, wide - 1), side="right")
+            size = (hi - lo).ravel()
+            ends = np.cumsum(size)
+            other = order[np.repeat(lo.ravel(), size) + np.arange(ends[-1]) - np.repeat(ends - size, size)]
+            own = np.repeat(np.repeat(np.arange(len(part)), 2 * reach + 1), size)
+            keep = other != part[own]
+            own, other = own[keep], other[keep]
+            d = (x[part[own]] - x[other]) ** 2 + (y[part[own]] - y[other]) ** 2
+            by = np.lexsort((other, d, own))
+            own, other, d = own[by], other[by], d[by]
+            counts = np.bincount(own, minlength=len(part))
+            starts = np.cumsum(counts) - counts
+            # sure if the k-th lies within what the square surely covers
+            edge = np.minimum.reduce([x[part] - x.min() - (cx[part] - reach) * side, (cx[part] + reach + 1) * side - (x[part] - x.min()), y[part] - y.min() - (cy[part] - reach) * side, (cy[part] + reach + 1) * side - (y[part] - y.min())])
+            full = counts >= k
+            sure = np.zeros(len(part), bool)
+            sure[full] = d[starts[full] + k - 1] < edge[full] ** 2
+            everything = reach > max(wide, int(cy.max()) + 1)
+            done = np.flatnonzero(sure | everything)
+            pick = starts[done, None] + np.arange(k)
+            out_j[part[done]], out_d[part[done]] = other[pick], d[pick]
+            again.append(part[~(sure | everything)])
+        todo, reach = np.concatenate(again), reach * 2
+    return np.repeat(np.arange(n), k), out_j.ravel(), out_d.ravel()
+
+
 def pair_keys(p: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Distinct keys of corners with their nearest ones of the same scale: two chunks of both, their turns, and how they lie; unchanged by shift and turn."""
     chunks = np.ascontiguousarray(d).view(">u4").reshape(-1, CHUNKS).astype(U64)
@@ -251,17 +302,7 @@ def pair_keys(p: np.ndarray, d: np.ndarray) -> np.ndarray:
         if len(at) < 2:
             continue
         x, y, turn = p[at, 0] * s, p[at, 1] * s, p[at, 2].astype(np.int64)
-        near = min(PARTNERS, len(at) - 1)
-        i, j, apart = [], [], []
-        step = max(1, CORNER_PAIRS // len(at))
-        for k in range(0, len(at), step):
-            far = (x[k : k + step, None] - x) ** 2 + (y[k : k + step, None] - y) ** 2
-            far[np.arange(len(far)), k + np.arange(len(far))] = np.inf
-            own = np.argsort(far, axis=1, kind="stable")[:, :near]
-            i.append(np.repeat(k + np.arange(len(far)), near))
-            j.append(own.ravel())
-            apart.append(np.take_along_axis(far, own, axis=1).ravel())
-        i, j, apart = map(np.concatenate, (i, j, apart))
+        i, j, apart = nearest(x, y, min(PARTNERS, len(at) - 1))
         lie = np.rint(np.arctan2(y[j] - y[i], x[j] - x[i]) * TURNS / (2 * np.pi)).astype(np.int64)
         how = ((lie - turn[i]) % TURNS * TURNS + (turn[j] - turn[i]) % TURNS) * 1024 + np.minimum(np.rint(np.sqrt(apart) / 2), 1023).astype(np.int64)
         for c in range(CHUNKS):

@@ -305,3 +305,34 @@ def test_toxic_rows_go_by_their_own_text(labelled):
     assert kept.columns == both.columns
     stay = sorted(r["flagged"] for r in kept.collect() if r["flagged"] >= 0)
     assert stay == sorted(r["doc_id"] - 10000 for r in alone) and {1, 3} <= set(stay) and not {0, 2, 4} & set(stay)
+
+
+def test_cut_off_files_are_unreadable():
+    """Every beginning of a valid file, and files with odd numbers in their heads, end in None and in no time."""
+    image = np.random.default_rng(3).integers(0, 256, (9, 13))
+    for data in (media.encode_pgm(image), b"P5 # note\n13 9 # more\n255\n" + image.astype(np.uint8).tobytes()):
+        assert all(media.decode(data[:n]) is None for n in range(len(data))) and np.array_equal(media.decode(data), image)
+    png = media.encode_png(image)
+    for n in range(len(png)):
+        got = media.decode(png[:n])
+        assert got is None or np.array_equal(got, image)  # only the closing chunk may be missing
+    for head in (b"P5", b"P5\n2 2", b"P5\n-1 2\n255\n", b"P5\n0 0\n255\n", b"P5\n2 2\n0\nabcd", b"P5\n2 2\n70000\nabcdabcd", b"P5 # no end", b"P5\n99999999 99999999\n255\nab"):
+        assert media.decode(head) is None
+
+
+def test_values_of_other_ranges():
+    deep = np.array([[0, 1000], [32767, 65535]], ">u2")
+    assert np.allclose(media.decode(b"P5\n2 2\n65535\n" + deep.tobytes()), deep.astype(float) * 255 / 65535)
+    assert np.allclose(media.decode(b"P5\n2 2\n15\n" + bytes([0, 5, 15, 99])), [[0, 85], [255, 255]])
+
+
+@pytest.mark.parametrize("n", [2, 5, 40, 700])
+def test_nearest_corners_equal_all_against_all(n):
+    rng = np.random.default_rng(n)
+    for x, y in ((rng.random(n) * 900, rng.random(n) * 300), (np.floor(rng.random(n) * 9), np.floor(rng.random(n) * 9)), (np.zeros(n), rng.random(n) * 5000), (np.r_[rng.random(n - 1), 9000.0], rng.random(n))):
+        k = min(6, n - 1)
+        far = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2
+        np.fill_diagonal(far, np.inf)
+        want = np.argsort(far, axis=1, kind="stable")[:, :k]
+        i, j, d = media.nearest(x, y, k)
+        assert np.array_equal(j.reshape(n, k), want) and np.array_equal(i, np.repeat(np.arange(n), k)) and np.array_equal(d.reshape(n, k), np.take_along_axis(far, want, axis=1))

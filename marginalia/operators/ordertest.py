@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dominance import kendall_distance  # noqa: F401  part of this module's tests
 from .ordered import range_partitioned, ranked, running_sum
 
 
@@ -72,18 +73,6 @@ def run_lengths(ranks: list[float], n: list[float], threshold: float) -> tuple[l
     return lengths, (min(lengths) if lengths else None), len(lengths) <= allowed
 
 
-def kendall_distance(df: DataFrame, a: str, b: str, group: str | None = None) -> DataFrame:
-    """Discordant ordered pairs of two rankings over all ordered pairs (N (N - 1)), by a theta self-join within a group."""
-    by = [F.col(group).alias("g")] if group else [F.lit(0).alias("g")]
-    x = df.select(*by, F.col(a).alias("a"), F.col(b).alias("b"))
-    y = x.toDF("g", "a2", "b2")
-    pairs = x.join(y, "g").where("a < a2")
-    out = pairs.groupBy("g").agg(F.count_if(F.col("b") > F.col("b2")).alias("discordant"))
-    n = x.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    out = out.join(n, "g").select("g", "n", (F.col("discordant") * 2.0 / (F.col("n") * (F.col("n") - 1))).alias("distance"))
-    return out.withColumnRenamed("g", group) if group else out.drop("g")
-
-
 def spearman(df: DataFrame, pairs: list[tuple[str, str]], key: str) -> DataFrame:
     """(a, b, rho) from average ranks of each pair of columns."""
     out = None

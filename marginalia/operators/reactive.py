@@ -11,7 +11,7 @@ from .chained import in_tree
 from .evidence import ORDER, bootstrap_evidence, bootstrap_information, bootstrap_kl, bootstrap_logz, summary, weighted, with_peak
 from .ordered import following, materialise, range_partitioned, running_sum
 from .posterior import resample_counts
-from .strategy import parents_before, width_for_error
+from .strategy import least_width, parents_before
 
 
 def rebuild_tree(stored: DataFrame) -> DataFrame:
@@ -101,8 +101,7 @@ def goals(points: DataFrame, boot: DataFrame, min_ess: int, dkl: float, dlogz: f
 
     z = bootstrap_logz(b).agg(F.max(F.abs(F.col("logz") - F.lit(float(one["logz"])))).alias("apart"), F.max(F.col("logz") - F.lit(float(one["logz"]))).alias("bs"))
     value = F.greatest(F.lit(float(one["logzerr_single"])), F.col("apart"), F.col("bs"))
-    floors = [int(r[0]) for r in w.where("nchild > 0").select("nlive").distinct().orderBy("nlive").limit(1000).collect()]
-    enough = width_for_error(w, dlogz, floors or [1]).where("enough").agg(F.min("floor").alias("width"))
+    enough = least_width(w, dlogz)
     most = math.ceil(math.sqrt(one["n"]) / dlogz)
     nothing = F.lit(None).cast("double")
     logz = z.join(F.broadcast(enough)).select(F.lit("logz").alias("goal"), value.alias("value"), (value <= dlogz).alias("met"), nothing.alias("lo"), nothing.alias("hi"), F.coalesce("width", F.lit(most).cast("long")).alias("width"))

@@ -117,6 +117,36 @@ def student_t_start(u: list[Column], center: list[float], rotation: list[list[fl
     return x, weight
 
 
+def independent_start(u: list[Column], centre: list[float], err: list[float], df: float = 1.0) -> tuple[list[Column], Column]:
+    """Coordinates in the unit cube drawn around ``centre`` by a Student-t of its own for each axis, cut off at the cube, and their log weight.
+
+    The weight is 0 at the centre and undoes the drawing: adding it to the likelihood gives back the posterior of uniform coordinates.
+    """
+    from ..functions import t_logpdf
+    from ..functions.student import t_truncated
+
+    if df < 1:
+        raise ValueError("there must be at least one degree of freedom")
+    drawn = [t_truncated(x, df, (0.0 - c) / e, (1.0 - c) / e) for x, c, e in zip(u, centre, err)]
+    x = [F.least(F.greatest(F.lit(float(c)) + F.lit(float(e)) * t, F.lit(0.0)), F.lit(1.0)) for t, c, e in zip(drawn, centre, err)]
+    weight = sum((t_logpdf(F.lit(0.0), df) - t_logpdf(t, df) for t in drawn), F.lit(0.0))
+    return x, weight
+
+
+def least_width(w: DataFrame, dlogz: float) -> DataFrame:
+    """(width,): the least number of live points that occurs (above rows with a child) with which, as a floor for all rows, the error falls below ``dlogz``; null if none does.
+
+    With a floor f the squared error is the number of narrower rows over f^2 plus the sum of 1 / nlive^2 over the
+    others: two running sums over the distinct widths, however many there are.
+    """
+    g = w.groupBy(F.col("nlive").cast("long").alias("nlive")).agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("nchild") > 0).alias("inner"))
+    r = running_sum(range_partitioned(g, "nlive"), F.col("k"), "upto", "nlive")
+    r = running_sum(r, F.col("k") / F.pow(F.col("nlive").cast("double"), F.lit(2.0)), "part", "nlive")
+    whole = g.agg(F.sum(F.col("k") / F.pow(F.col("nlive").cast("double"), F.lit(2.0))).alias("whole"))
+    error = F.sqrt(F.col("upto") / F.pow(F.col("nlive").cast("double"), F.lit(2.0)) + F.greatest(F.col("whole") - F.col("part"), F.lit(0.0)))
+    return r.join(F.broadcast(whole)).where((F.col("inner") > 0) & (error < dlogz)).agg(F.min("nlive").alias("width"))
+
+
 def smoothed(df: DataFrame, index: str, value: str, width: int = 20, by: list[str] | None = None) -> DataFrame:
     """Means of every ``width`` rows."""
     b = F.floor(F.col(index) / width).alias("block")

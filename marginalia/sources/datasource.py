@@ -32,7 +32,9 @@ def register(spark: SparkSession) -> None:
 def _open(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path else path if path.startswith("/") else f"/{path}")
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path)
 
 
 def _entries(path: str) -> list[dict]:

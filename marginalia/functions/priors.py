@@ -22,8 +22,9 @@ def quantile_table(samples: DataFrame, x: str, weight: str | None = None) -> Dat
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = samples.select(F.col(x).cast("double").alias("x"), w.alias("w")).where("x is not null and w > 0").withColumn("t", F.monotonically_increasing_id())
-    p = running_sum(range_partitioned(rows, "x", "t"), F.lit(1).cast("long"), "rk", "x", "t")
-    p = materialise(running_sum(p, F.col("w"), "c", "x", "t", exclusive=True))
+    order = ("x", "w", "t")  # rows that tie in x and weight are alike
+    p = running_sum(range_partitioned(rows, *order), F.lit(1).cast("long"), "rk", *order)
+    p = materialise(running_sum(p, F.col("w"), "c", *order, exclusive=True))
     total = p.agg(F.max("c").alias("total"))
     p = p.join(F.broadcast(total)).select("rk", "x", F.when(F.col("total") > 0, F.col("c") / F.col("total")).otherwise(F.lit(0.0)).alias("c"))
     nxt = p.select((F.col("rk") - 1).alias("rk"), F.col("x").alias("x1"), F.col("c").alias("hi"))

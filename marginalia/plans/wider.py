@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import priors as pr
 from ..functions import student
 from ..operators import chained as ch
 from ..operators import clustering as cl
 from ..operators import density as de
+from ..operators import dominance as do
+from ..operators import evidence as ev
 from ..operators import reactive as rv
+from ..operators import reweight as rw
 from ..operators.ordered import lagged, ranked
 from ..sources import read
-from .queries import LOGL, N, _r, _run_sql, query
+from .queries import LOGL, N, _points, _r, _run_sql, query
 
 # a value is left out if the highest one kept below it is below its threshold; rounds from all values kept until none is left out any more
 _ROUNDS = "v0 AS (SELECT *, true AS fits FROM vals)," + ",".join(
@@ -124,3 +128,63 @@ def t_quantiles(spark, sf):
     t = read(spark, sf, "orders").select("o_orderkey", student.t_ppf(p, 5).alias("t"))
     t = t.withColumn("back", student.t_cdf("t", 5))
     return t.select("o_orderkey", (_r("t") + 0.0).alias("t"), _r("back", 8).alias("back"))
+
+
+@query(f"""WITH {_run_sql()}, q AS (SELECT point_id, logl, logw, o_totalprice, row_number() OVER (ORDER BY logl + logw DESC, point_id) - 1 AS i, count(*) OVER () AS n FROM zz),
+ b AS (SELECT *, i // 64 AS b, logw - 0.5 * pow((o_totalprice - 240000) / 45000, 2) AS lw FROM q),
+ tb AS (SELECT b, max(lw) AS top, any_value(n) AS n FROM b GROUP BY b),
+ sb AS (SELECT min(b) AS stop FROM (SELECT b, top, n, max(top) OVER (ORDER BY b) AS peak FROM tb) WHERE top < peak - ln(n) - 10),
+ k AS (SELECT b.*, max(lw) OVER () AS m FROM b, sb WHERE stop IS NULL OR b <= stop),
+ z2 AS (SELECT any_value(n) AS n, count(*) AS used, any_value(m) + ln(sum(exp(lw - m))) AS logz, sum(exp(2 * (lw - m))) / pow(sum(exp(lw - m)), 2) AS s2 FROM k)
+SELECT n, used, round(logz, 6) AS logz, round(ln(1 + sqrt(greatest(s2 - 1e0 / n, 0) / (n - 1))), 8) AS logzerr, round(1 / s2, 4) AS ess FROM z2""")
+def reuse_early_stop(spark, sf):
+    """All weighted points of a run under a likelihood moved and narrowed, in batches of 64 until the rest cannot matter."""
+    new = -0.5 * (F.col("o_totalprice") - 240000.0) * (F.col("o_totalprice") - 240000.0) / (45000.0 * 45000.0)
+    w = ev.weighted(_points(spark, sf)).select("point_id", "logl", "logw", "o_totalprice")
+    _, result = rw.reuse_in_batches(w, new, "point_id", batch=64)
+    return result.select("n", "used", _r("logz").alias("logz"), _r("logzerr", 8).alias("logzerr"), _r("ess", 4).alias("ess"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS a, o_totalprice::DOUBLE AS b FROM orders)
+SELECT (SELECT count(*) FROM o) AS n, round(count(*) * 2e0 / ((SELECT count(*) FROM o) * ((SELECT count(*) FROM o) - 1e0)), 9) AS distance FROM o x JOIN o y ON x.a < y.a AND x.b > y.b""")
+def kendall_whole(spark, sf):
+    """Kendall distance of price and customer over all orders, as one group."""
+    o = read(spark, sf, "orders").select(F.col("o_custkey").alias("a"), F.col("o_totalprice").cast("double").alias("b"))
+    return do.kendall_distance(o, "a", "b").select("n", _r("distance", 9).alias("distance"))
+
+
+@query("""WITH s AS (SELECT l_quantity::DOUBLE AS x, l_linenumber::DOUBLE AS w, row_number() OVER (ORDER BY l_quantity, l_linenumber) AS rk FROM lineitem),
+ c0 AS (SELECT x, rk, sum(w) OVER (ORDER BY rk) - w AS c FROM s),
+ c AS (SELECT x, rk, c / max(c) OVER () AS c FROM c0),
+ st AS (SELECT x AS x0, lead(x) OVER (ORDER BY rk) AS x1, c AS lo, lead(c) OVER (ORDER BY rk) AS hi FROM c),
+ u AS (SELECT o_orderkey, (o_orderkey * 7919 % 99991) / 99991e0 AS u FROM orders)
+SELECT o_orderkey, round(x0 + (x1 - x0) * (u - lo) / (hi - lo), 6) AS value FROM u ASOF JOIN st ON u.u >= st.lo""")
+def empirical_quantiles(spark, sf):
+    """A prior held as all weighted quantities of lineitem, drawn once for each order."""
+    s = read(spark, sf, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), F.col("l_linenumber").cast("double").alias("w"))
+    u = read(spark, sf, "orders").select("o_orderkey", ((F.col("o_orderkey") * 7919 % 99991) / 99991.0).alias("u"))
+    return pr.empirical_prior(u, "u", pr.quantile_table(s, "x", "w"), "value").select("o_orderkey", _r("value").alias("value"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY user_id % 2, ts, event_id) AS i, (event_id * 48271 % 2147483647 % 120 + 0.5) / 120 - 0.5 AS d FROM events),
+ c AS (SELECT i, sum(d) OVER (ORDER BY i) AS c FROM e UNION ALL SELECT 0, 0),
+ walk(i) AS (SELECT 0::BIGINT UNION ALL
+   SELECT (SELECT min(b.i) FROM c b, c a WHERE a.i = walk.i AND b.i > walk.i AND abs(b.c - a.c) > 1.5 * sqrt((b.i - a.i) / 12e0)) FROM walk WHERE walk.i IS NOT NULL)
+SELECT (SELECT count(*) FROM e) AS rows, count(i) - 1 AS resets, (SELECT count(*) FROM e) - max(i) AS run_length FROM walk""")
+def stored_stream_test(spark, sf):
+    """Events are appended to a point store twice, and a stream over the store keeps the state of the rank test."""
+    import uuid
+
+    from ..sources import datasource
+    from ..streaming import drain, order_test
+
+    datasource.register(spark)
+    de.materialise(spark.range(1))  # names the shared folder
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/points-{uuid.uuid4().hex}"
+    e = read(spark, sf, "events").select("user_id", "ts", "event_id", (F.col("event_id") * 48271 % 2147483647 % 120).cast("double").alias("rank"))
+    for half in (0, 1):
+        own = e.where(F.col("user_id") % 2 == half).repartitionByRange("ts", "event_id").sortWithinPartitions("ts", "event_id")
+        own.select("rank", F.lit(120.0).alias("n")).write.format(datasource.FORMAT).mode("append").options(path=path).save()
+    stream = spark.readStream.format(datasource.FORMAT).options(path=path).load()
+    states = drain(order_test(stream.withColumn("run_id", F.lit(1).cast("long")), threshold=1.5), spark)
+    return states.agg(F.max_by(F.struct("rows", "resets", "run_length"), "rows").alias("s")).select("s.*")

@@ -5,7 +5,8 @@ append: files count only once an entry names them. So a task that fails, or a jo
 that is aborted, leaves no rows; readers of one entry see the same rows for good; and
 a stream's offset is the number of an entry.
 
-Options: path; x_dim and num_params, or names (separated by commas); ncalls (of an append).
+Options: path; x_dim and num_params, or names (separated by commas); ncalls (of an
+append); most_appends (of a batch of a stream, and of a whole run with availableNow).
 The folder is on any file system that pyarrow opens, so machines need no shared disk but that.
 """
 

@@ -425,14 +425,19 @@ def repeated_passages(docs: DataFrame, match: int = 50, id_col: str = "doc_id",
     return out if with_text else out.drop("kept_text")
 
 
-def _passages(docs: DataFrame, match: int, id_col: str, text_col: str, with_text: bool) -> DataFrame:
-    """i, t (a hash of the text), n_bytes, n_removed, n_spans, kept_sha256, kept_text (null where nothing is cut) of each row."""
+def _classes(docs: DataFrame, match: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows (i, t, n, h: hashes and bytes of the text) with k, the smallest id of equal texts of ``match`` bytes or more."""
     if match < PREFIX + 8:
         raise ValueError(f"match must be {PREFIX + 8} bytes or more")
     text = text_of(text_col)
     rows = materialise(docs.select(docs[id_col].alias("i"), F.xxhash64(text).alias("t"), F.octet_length(text).cast("long").alias("n"), F.sha2(text, 256).alias("h")))
     classes = rows.where(f"i is not null and n >= {match}").groupBy("h").agg(F.min("i").alias("k"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    out = spread_join(rows, materialise(classes), "h", "c", rows.count())
+    return spread_join(rows, materialise(classes), "h", "c", rows.count())
+
+
+def _passages(docs: DataFrame, match: int, id_col: str, text_col: str, with_text: bool) -> DataFrame:
+    """i, t (a hash of the text), n_bytes, n_removed, n_spans, kept_sha256, kept_text (null where nothing is cut) of each row."""
+    out = _classes(docs, match, id_col, text_col)
     cut = _removed(docs, id_col, text_col, match, with_text).withColumnRenamed("id", "i").withColumnRenamed("tag", "t")
     out = out.join(cut, ["i", "t"], "left")
     copy = F.coalesce(F.col("i") > F.col("k"), F.lit(False))
@@ -453,7 +458,11 @@ def drop_repeated_passages(docs: DataFrame, match: int = 50, id_col: str = "doc_
     What is cut holds for an id and a text together, so each of the rows that repeat
     an id with different texts keeps its own. Rows without an id stay as they are.
     """
-    cut = _passages(docs, match, id_col, text_col, with_text=True).where("n_removed > 0")
-    cut = cut.select(F.col("i").alias("__i"), F.col("t").alias("__t"), F.col("kept_text").alias("__kept")).dropDuplicates(["__i", "__t"])
-    out = docs.join(cut, (docs[id_col] == cut["__i"]) & (F.xxhash64(text_of(docs[text_col])) == cut["__t"]), "left")
-    return out.select(*[F.coalesce("__kept", docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    keys = ["__i", "__t"]
+    copies = _classes(docs, match, id_col, text_col)
+    gone = copies.where("i > k").select(F.col("i").cast("long").alias("__i"), F.col("t").alias("__t")).distinct().withColumn("__copy", F.lit(True))
+    cut = _removed(docs, id_col, text_col, match, with_text=True).where("n_removed > 0").select(F.col("id").alias("__i"), F.col("tag").alias("__t"), F.col("kept").alias("__kept"))
+    # both joins have the same keys, so each text is shuffled once for them
+    out = docs.withColumns({"__i": docs[id_col].cast("long"), "__t": F.xxhash64(text_of(docs[text_col]))}).join(cut, keys, "left").join(gone, keys, "left")
+    left = F.when(F.col("__copy"), F.lit("")).otherwise(F.coalesce("__kept", F.col(text_col)))
+    return out.select(*[left.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -519,7 +519,11 @@ def min_weight_filter(spark, sf):
     return kept.agg(F.count(F.lit(1)).alias("n"), F.min("point_id").alias("first_id"))
 
 
-@query("SELECT true AS linear, false AS square")
+@query("""WITH e AS (SELECT event_id, value AS a, unnest([value * 3 + 1, value * value]) AS b, unnest([1, 2]) AS f FROM events),
+ p AS (SELECT f, x.a AS a0, x.b AS b0, y.a AS a1, y.b AS b1 FROM e x JOIN e y USING (f) WHERE x.event_id % 2 = 0 AND y.event_id = x.event_id + 1 AND x.a <> y.a),
+ s AS (SELECT f, (b1 - b0) / (a1 - a0) AS slope, b0 - (b1 - b0) / (a1 - a0) * a0 AS offset_ FROM p),
+ r AS (SELECT f, max(slope) - min(slope) <= 1e-6 * greatest(1, max(abs(slope))) AND max(offset_) - min(offset_) <= 1e-6 * greatest(1, max(abs(offset_))) AS affine FROM s GROUP BY f)
+SELECT (SELECT affine FROM r WHERE f = 1) AS linear, (SELECT affine FROM r WHERE f = 2) AS square""")
 def affine_check(spark, sf):
     e = read(spark, sf, "events").select("event_id", F.col("value").alias("a"), (F.col("value") * 3 + 1).alias("b"), (F.col("value") * F.col("value")).alias("c"))
     x = st.is_affine(e, "a", "b", "event_id", 1e-6).select(F.col("affine").alias("linear"))

@@ -17,7 +17,8 @@ same choice form a segment, about one for every seventeen bytes.
 3. A bucket sorts the windows of its segments by multikey quicksort, with eight
    bytes as one character, and only neighbours that are still equal go on to
    the next character. Of equal windows the smallest document keeps its own.
-4. Removed ranges meet their texts once more.
+4. Removed ranges meet their texts once more; where rows are wanted with their
+   other columns, they meet the documents themselves.
 
 A document is an id together with a hash of its text, so rows that repeat an id
 with another text stay apart; which document came first is told by the ids alone.
@@ -39,6 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .blocks import by, pack, rows_of, unpack, whole
 from .common import U64, materialise, spread_join, text_of, total_bytes
@@ -288,8 +290,33 @@ def _merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], hi[np.r_[new[1:], True]]
 
 
-def _removed(docs: DataFrame, id_col: str, text_col: str, match: int, with_text: bool) -> DataFrame:
-    """(id, tag, n_removed, n_spans, kept_sha256, kept) of documents that lose something, equal texts aside."""
+def _texts_in(blocks) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    ids, tags, texts = [], [], []
+    for own, own_tags, sizes, joined in map(unpack, blocks):
+        ends = np.cumsum(sizes).tolist()
+        ids.append(own)
+        tags.append(own_tags)
+        texts += [joined[e - n : e] for e, n in zip(ends, sizes.tolist())]
+    return np.concatenate(ids), np.concatenate(tags), texts
+
+
+def _marked(blocks):
+    """Blocks of _runs() as columns with a row each: id, tag and the others."""
+    cols = [(np.repeat(i, n), np.repeat(t, n), *(x.astype(np.int64) for x in then)) for i, t, n, *then in map(unpack, blocks)]
+    return [np.concatenate(c) for c in zip(*cols)]
+
+
+def _without(text: bytes, a: np.ndarray, z: np.ndarray) -> bytes:
+    """The text without its merged ranges from ``a`` to ``z``."""
+    return b"".join([text[x:y] for x, y in zip([0, *z.tolist()], [*a.tolist(), len(text)])])
+
+
+BLOCK_ROW = "part long, block binary"
+
+
+def _marks(docs: DataFrame, id_col: str, text_col: str, match: int) -> tuple[DataFrame, DataFrame, int]:
+    """Blocks of texts, blocks of the ranges that equal strings of smaller ids remove from them, both by the group of
+    the document, and the number of groups. Ranges may overlap; equal texts of a batch are marked once, by their least id."""
     narrow = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("id"), text_of(text_col).alias("text"))
     n_docs, size = total_bytes(docs, text_col)
     groups = max(4, -(-size // BUCKET_BYTES))
@@ -323,25 +350,11 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, match: int, with_text:
         for ids, tags, texts in _gathered(batches, match):
             yield rows_of([(p, pack(ids[r], tags[r], np.array([len(texts[i]) for i in r]), b"".join([texts[i] for i in r]))) for p, r in by(_group_of(ids, tags, groups))])
 
-    def texts_in(blocks) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        ids, tags, texts = [], [], []
-        for own, own_tags, sizes, joined in map(unpack, blocks):
-            ends = np.cumsum(sizes).tolist()
-            ids.append(own)
-            tags.append(own_tags)
-            texts += [joined[e - n : e] for e, n in zip(ends, sizes.tolist())]
-        return np.concatenate(ids), np.concatenate(tags), texts
-
-    def marked(blocks):
-        """Blocks of _runs() as columns with a row each: id, tag and the others."""
-        cols = [(np.repeat(i, n), np.repeat(t, n), *(x.astype(np.int64) for x in then)) for i, t, n, *then in map(unpack, blocks)]
-        return [np.concatenate(c) for c in zip(*cols)]
-
     def send_segments(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return _table([])
-        ids, tags, texts = texts_in(left.column("block").to_pylist())
-        want_id, want_tag, want_at = marked(right.column("block").to_pylist())
+        ids, tags, texts = _texts_in(left.column("block").to_pylist())
+        want_id, want_tag, want_at = _marked(right.column("block").to_pylist())
         which, start, count, choice, lead = segments_of(texts, match)
         mine, wanted = _document_number(ids, tags, want_id, want_tag)
         keep = np.isin(mine[which] << 32 | start, wanted << 32 | want_at)
@@ -380,11 +393,20 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, match: int, with_text:
             if out:
                 yield rows_of(out)
 
+    texts = narrow.mapInArrow(send_texts, BLOCK_ROW)
+    pieces = narrow.mapInArrow(send_hashes, BLOCK_ROW).repartition(groups, "part").mapInArrow(shared, BLOCK_ROW)
+    segments = texts.groupBy("part").cogroup(pieces.groupBy("part")).applyInArrow(send_segments, BLOCK_ROW)
+    return texts, segments.repartition(groups, "part").mapInArrow(compare, BLOCK_ROW), groups
+
+
+def _removed(docs: DataFrame, id_col: str, text_col: str, match: int, with_text: bool) -> DataFrame:
+    """(id, tag, n_removed, n_spans, kept_sha256, kept) of documents that lose something, equal texts aside."""
+
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if len(left) and len(right):
-            ids, tags, texts = texts_in(left.column("block").to_pylist())
-            mid, mtag, lo, n = marked(right.column("block").to_pylist())
+            ids, tags, texts = _texts_in(left.column("block").to_pylist())
+            mid, mtag, lo, n = _marked(right.column("block").to_pylist())
             mine, theirs = _document_number(ids, tags, mid, mtag)
             marks = dict(by(theirs))
             for k, i, tag, t in zip(mine.tolist(), ids.tolist(), tags.view(np.int64).tolist(), texts):
@@ -392,20 +414,48 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, match: int, with_text:
                 if r is None:
                     continue
                 a, z = _merge(lo[r], lo[r] + n[r])
-                kept = b"".join([t[x:y] for x, y in zip([0, *z.tolist()], [*a.tolist(), len(t)])])
+                kept = _without(t, a, z)
                 rows.append((i, tag, int((z - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
         cols = list(zip(*rows)) if rows else [()] * 6
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.table({c: pa.array(x, k) for c, x, k in zip(("id", "tag", "n_removed", "n_spans", "kept_sha256", "kept"), cols, kinds)})
 
-    block = "part long, block binary"
-    texts = narrow.mapInArrow(send_texts, block)
-    pieces = narrow.mapInArrow(send_hashes, block).repartition(groups, "part").mapInArrow(shared, block)
-    segments = texts.groupBy("part").cogroup(pieces.groupBy("part")).applyInArrow(send_segments, block)
-    marks = segments.repartition(groups, "part").mapInArrow(compare, block)
+    texts, marks, _ = _marks(docs, id_col, text_col, match)
     return texts.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(cut, "id long, tag long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
+def _ranges(docs: DataFrame, id_col: str, text_col: str, match: int) -> DataFrame:
+    """(__i, __t, __runs) of documents that lose something, equal texts aside: pairs of first and last byte (excluded) as 64-bit integers.
+
+    Texts need not travel for it once more: the ranges go to the documents."""
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blocks in whole(batches):
+            ids, tags, lo, n = _marked(blocks)
+            number, _ = _document_number(ids, tags, ids[:0], tags[:0])
+            at, runs = [], []
+            for _, r in by(number):
+                at.append(int(r[0]))
+                runs.append(np.stack(_merge(lo[r], lo[r] + n[r]), axis=1).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(tags[at].view(np.int64)), pa.array(runs, pa.binary())], names=["__i", "__t", "__runs"])
+
+    _, marks, groups = _marks(docs, id_col, text_col, match)
+    return marks.repartition(groups, "part").mapInArrow(merged, "__i long, __t long, __runs binary")
+
+
+@F.arrow_udf(StringType())
+def _kept(text: pa.Array, runs: pa.Array) -> pa.Array:
+    """The texts without their runs; null where either is null."""
+    out = []
+    for t, r in zip(text, runs):
+        if not t.is_valid or not r.is_valid:
+            out.append(None)
+            continue
+        a, z = np.frombuffer(r.as_py(), np.int64).reshape(-1, 2).T
+        out.append(_without(t.as_buffer().to_pybytes(), a, z).decode("utf-8", "ignore"))
+    return pa.array(out, pa.string())
+
+
 def _table(rows: list[tuple[int, bytes]]) -> pa.Table:
     return pa.Table.from_batches([rows_of(rows)])
 
@@ -461,8 +511,9 @@ def drop_repeated_passages(docs: DataFrame, match: int = 50, id_col: str = "doc_
     keys = ["__i", "__t"]
     copies = _classes(docs, match, id_col, text_col)
     gone = copies.where("i > k").select(F.col("i").cast("long").alias("__i"), F.col("t").alias("__t")).distinct().withColumn("__copy", F.lit(True))
-    cut = _removed(docs, id_col, text_col, match, with_text=True).where("n_removed > 0").select(F.col("id").alias("__i"), F.col("tag").alias("__t"), F.col("kept").alias("__kept"))
-    # both joins have the same keys, so each text is shuffled once for them
-    out = docs.withColumns({"__i": docs[id_col].cast("long"), "__t": F.xxhash64(text_of(docs[text_col]))}).join(cut, keys, "left").join(gone, keys, "left")
-    left = F.when(F.col("__copy"), F.lit("")).otherwise(F.coalesce("__kept", F.col(text_col)))
+    runs = _ranges(docs, id_col, text_col, match)
+    # both joins have the same keys, so each text is shuffled once for them; only texts that lose something go to Python
+    out = docs.withColumns({"__i": docs[id_col].cast("long"), "__t": F.xxhash64(text_of(docs[text_col]))}).join(runs, keys, "left").join(gone, keys, "left")
+    some = F.when(F.col("__runs").isNotNull() & F.col("__copy").isNull(), F.col(text_col))
+    left = F.when(F.col("__copy"), F.lit("")).otherwise(F.coalesce(_kept(some, "__runs"), F.col(text_col)))
     return out.select(*[left.alias(c) if c == text_col else F.col(c) for c in docs.columns])

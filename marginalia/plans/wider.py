@@ -12,6 +12,7 @@ from ..operators import density as de
 from ..operators import dominance as do
 from ..operators import evidence as ev
 from ..operators import reactive as rv
+from ..operators import report as rp
 from ..operators import reweight as rw
 from ..operators.ordered import lagged, ranked
 from ..sources import read
@@ -188,3 +189,26 @@ def stored_stream_test(spark, sf):
     stream = spark.readStream.format(datasource.FORMAT).options(path=path).load()
     states = drain(order_test(stream.withColumn("run_id", F.lit(1).cast("long")), threshold=1.5), spark)
     return states.agg(F.max_by(F.struct("rows", "resets", "run_length"), "rows").alias("s")).select("s.*")
+
+
+@query("""WITH long AS (SELECT 'l_quantity' AS param, l_quantity::DOUBLE AS x FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice::DOUBLE FROM lineitem UNION ALL SELECT 'l_tax', l_tax::DOUBLE FROM lineitem),
+ ends AS (SELECT param, avg(x) AS mean, stddev_pop(x) AS stdev, min(x) AS a, max(x) AS z FROM long GROUP BY param),
+ lim AS (SELECT param, mean, stdev, CASE WHEN param = 'l_tax' THEN greatest(0e0, a - 2 * (z - a) / 40) ELSE a - 2 * (z - a) / 40 END AS lo, z + 2 * (z - a) / 40 AS hi FROM ends),
+ h AS (SELECT param, least(floor((x - lo) / (hi - lo) * 39), 38)::INT AS bin, count(*)::DOUBLE AS w FROM long JOIN lim USING (param) GROUP BY ALL)
+SELECT param, round(mean, 6) AS mean, round(stdev, 6) AS stdev, greatest(0, 1 - floor(log10(stdev)))::INT AS digits, round(lo, 6) AS lo, round(hi, 6) AS hi, bars
+FROM lim JOIN (SELECT param, string_agg(substr(' ▁▂▃▄▅▆▇██', ceil(round(w * 7 / top, 9))::INT + 1, 1), '' ORDER BY bin) AS bars FROM
+ (SELECT c.param, c.b AS bin, coalesce(h.w, 0) AS w, max(h.w) OVER (PARTITION BY c.param) AS top FROM (SELECT param, unnest(range(39))::INT AS b FROM lim) c LEFT JOIN h ON h.param = c.param AND h.bin = c.b) GROUP BY param) USING (param)""")
+def parameter_report(spark, sf):
+    """Mean, spread and text histogram of three columns of lineitem; taxes have a lower limit of 0."""
+    out = rp.text_histograms(read(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"], limits={"l_tax": (0.0, float("inf"))})
+    return out.select("param", _r("mean").alias("mean"), _r("stdev").alias("stdev"), "digits", _r("lo").alias("lo"), _r("hi").alias("hi"), "bars")
+
+
+@query("""WITH long AS (SELECT 'c_acctbal' AS param, c_acctbal::DOUBLE AS x FROM customer UNION ALL SELECT 'c_custkey', c_custkey::DOUBLE FROM customer),
+ d AS (SELECT param, min(x) AS lo, max(x) AS hi FROM long GROUP BY param),
+ e AS (SELECT *, pow(10e0, ceil(log10(greatest(abs(lo), abs(hi))))) AS ten FROM d)
+SELECT param, lo, hi, CASE WHEN param = 'c_acctbal' AND lo >= -2000 THEN -2000e0 WHEN lo < 0 THEN -ten ELSE 0e0 END AS lo_rounded, ten AS hi_rounded FROM e""")
+def limits_rounded(spark, sf):
+    """Rounded limits of balances, whose guess of the lower end holds, and of keys."""
+    out = rp.rounded_limits(read(spark, sf, "customer"), ["c_acctbal", "c_custkey"], {"c_acctbal": (-2000.0, 1e9)})
+    return out.select("param", "lo", "hi", "lo_rounded", "hi_rounded")

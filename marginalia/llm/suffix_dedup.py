@@ -7,26 +7,32 @@ bytes belongs to the least (by a hash) of the PREFIX-byte strings in it, so equa
 windows choose equal suffixes wherever they stand. Neighbouring windows with the
 same choice form a segment, about one for every seventeen bytes.
 
-1. Each segment sends four bytes of hash and its place to the bucket of its
+1. Texts go to groups by a hash of the text, equal ones end in one row of the least id.
+2. Each segment sends two keys of four bytes and its place to the bucket of its
    suffix. Buckets are ranges of the suffix's first PREFIX bytes, cut by sampled
    splitters. Suffixes that agree in these bytes never straddle two buckets, so
-   whatever could match across a boundary is on one side of it. Segments whose
-   prefix stands in one document only are done.
-2. The others meet their texts again and send their bytes, equal ones of a batch
+   whatever could match across a boundary is on one side of it. A window reaches
+   either at least ``middle(match)`` bytes to the left of its suffix or further to the right, so two
+   equal windows agree in all bytes of one of two stretches around it, about two
+   thirds of a window each. Segments whose stretches stand in one document only are done.
+3. The others meet their texts again and send their bytes, equal ones of a group
    once, with where they stand, to the same buckets.
-3. A bucket sorts the windows of its segments by multikey quicksort, with eight
+4. A bucket sorts the windows of its segments by multikey quicksort, with eight
    bytes as one character, and only neighbours that are still equal go on to
    the next character. Of equal windows the smallest document keeps its own.
-4. Removed ranges meet their texts once more; where rows are wanted with their
-   other columns, they meet the documents themselves.
+5. Removed ranges meet their texts once more; where rows are wanted with their
+   other columns, they go on to the documents themselves.
+
+Between the steps a document is its place in its group (by the hash of its text), which takes
+two bytes where id and hash would take sixteen in each bucket.
 
 A document is an id together with a hash of its text, so rows that repeat an id
 with another text stay apart; which document came first is told by the ids alone.
 
 Texts and segments travel as compressed blocks of many rows. The number of
 buckets follows the bytes of the input. Equal texts in a batch are sent once,
-and so are equal segments in steps 2 and 3: a passage that is in very many
-documents costs a bucket no more than one row for each batch, apart from the
+and so are equal segments of a group in steps 3 and 4: a passage that is in very many
+documents costs a bucket no more than one row for each group, apart from the
 segments at its two ends.
 """
 
@@ -42,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .blocks import by, pack, rows_of, unpack, whole
+from .blocks import by, named, pack, rows_of, unpack, whole
 from .common import U64, materialise, spread_join, text_of, total_bytes
 
 PREFIX = 16
@@ -50,6 +56,8 @@ PREFIX = 16
 BUCKET_BYTES = 6_000_000
 #: Text that a task gathers before it sends blocks.
 GATHER_BYTES = 16_000_000
+#: Buckets of segments that share one bucket of keys.
+COARSE = 4
 #: Bytes of text worked on at once; a longer document is read in parts that overlap.
 PART = 400_000
 #: Splitters come from about so many documents, and so many suffixes of each.
@@ -65,8 +73,23 @@ def words8(buf: np.ndarray) -> np.ndarray:
     return out
 
 
+def middle(match: int) -> int:
+    """Windows that reach so far to the left of their suffix are told by their left stretch, the others by their right one."""
+    return (match - PREFIX + 1) // 2
+
+
+def _stretch(g: np.ndarray, at: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Hashes of the bytes from ``first`` to ``last`` (excluded) relative to ``at``, never 0."""
+    x = np.full(len(at), first & 0xFF, U64)
+    for o in [*range(first, last - 8, 8), last - 8]:
+        x = (x ^ g[np.clip(at + o, 0, len(g) - 1)]) * U64(0x9E3779B97F4A7C15)
+        x ^= x >> U64(29)
+    return np.maximum(x >> U64(32), U64(1)).astype(np.uint32)
+
+
 class Segments:
-    """Runs of windows of one buffer that choose equal prefixes: start, number of windows, choice, first PREFIX bytes of the suffix as two words."""
+    """Runs of windows of one buffer that choose equal prefixes: start, number of windows, choice, first PREFIX bytes of the suffix as two words.
+    keyed, left and right: segments with the keys of the stretches around their suffix; 0 where no window needs one."""
 
     def __init__(self, buf: np.ndarray, ends: np.ndarray, match: int):
         """``ends``: where each text in ``buf`` ends; windows stay within one."""
@@ -83,6 +106,7 @@ class Segments:
         if n <= 0:
             self.start = self.count = np.zeros(0, np.int64)
             self.choice, self.lead = np.zeros(0, U64), np.zeros((0, 2), U64)
+            self.keyed, self.left, self.right = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
             return
         least, have = h, 1
         while 2 * have <= width:
@@ -106,6 +130,29 @@ class Segments:
             if not len(todo):
                 break
         self.lead = np.stack([g[at], g[at + 8]], axis=1)
+        self._keys(g, h, at, last, match)
+
+    def _keys(self, g: np.ndarray, h: np.ndarray, at: np.ndarray, last: np.ndarray, match: int) -> None:
+        mid, width = middle(match), match - PREFIX + 1
+        keys = lambda p: (_stretch(g, p, -mid, PREFIX), _stretch(g, p, 0, match - mid + 1))
+        self.keyed = np.arange(len(at))
+        self.left, self.right = keys(at)
+        self.left[at - self.start < mid] = 0
+        self.right[at - last >= mid] = 0
+        # a prefix that comes more than once in a segment: equal windows may name another of its places, so all have keys
+        again = np.zeros(len(at), bool)
+        for d in range(1, width + 1):
+            again |= (at - d >= self.start) & (h[np.maximum(at - d, 0)] == self.choice)
+            again |= (at + d < last + width) & (h[np.minimum(at + d, len(h) - 1)] == self.choice)
+        more = []
+        for i in np.flatnonzero(again).tolist():
+            p = self.start[i] + np.flatnonzero(h[self.start[i] : last[i] + width] == self.choice[i])
+            both = np.unique(np.stack(keys(p), axis=1), axis=0)
+            more.append((np.full(len(both), i), both[:, 0], both[:, 1]))
+        if more:
+            one = ~again
+            own = (self.keyed[one], self.left[one], self.right[one])
+            self.keyed, self.left, self.right = (np.concatenate(c) for c in zip(own, *more))
 
 
 def _parts(texts: list[bytes], match: int):
@@ -127,20 +174,33 @@ def _parts(texts: list[bytes], match: int):
         yield out()
 
 
-def segments_of(texts: list[bytes], match: int):
-    """Of all texts: number of the text, offset in it, windows, choice, lead."""
-    rows = []
+def _in_texts(texts: list[bytes], match: int):
+    """Segments of parts of the texts, with the number of the text and the offset in it of each."""
     for which, offset, buf, ends in _parts(texts, match):
         s = Segments(buf, ends, match)
         k = np.searchsorted(ends, s.start, side="right")
         begin = ends - np.diff(np.r_[0, ends])
-        rows.append((which[k], s.start - begin[k] + offset[k], s.count, s.choice, s.lead))
+        yield s, which[k], s.start - begin[k] + offset[k]
+
+
+def segments_of(texts: list[bytes], match: int):
+    """Of all texts: number of the text, offset in it, windows, choice, lead."""
+    rows = [(which, start, s.count, s.choice, s.lead) for s, which, start in _in_texts(texts, match)]
     if not rows:
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(U64), np.zeros((0, 2), U64)
     return tuple(np.concatenate(x) for x in zip(*rows))
 
 
+def keys_of(texts: list[bytes], match: int):
+    """Of all texts: number of the text, offset of a segment in it, lead, left and right key; a segment may have several."""
+    rows = [(which[s.keyed], start[s.keyed], s.lead[s.keyed], s.left, s.right) for s, which, start in _in_texts(texts, match)]
+    if not rows:
+        z = np.zeros(0, np.int64)
+        return z, z, np.zeros((0, 2), U64), z.astype(np.uint32), z.astype(np.uint32)
+    return tuple(np.concatenate(x) for x in zip(*rows))
+
+
 def _bucket(lead: np.ndarray, splitters: np.ndarray) -> np.ndarray:
     """How many of the sorted splitters are not above each lead; both are rows of two words."""
     out = np.searchsorted(splitters[:, 0], lead[:, 0], side="right")
@@ -157,19 +217,17 @@ def _tag(text: bytes) -> int:
     return xxhash.xxh64_intdigest(text, 42)
 
 
-def _runs(ids: np.ndarray, tags: np.ndarray, *then: np.ndarray):
-    """Rows sorted by document and ``then``: ids, tags and number of rows of each document, and the columns of ``then`` in that order."""
-    order = np.lexsort((*reversed(then), tags, ids))
-    i, t = ids[order], tags[order]
-    first = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (t[1:] != t[:-1])])
-    return i[first], t[first], np.diff(np.r_[first, len(i)]).astype(np.uint32), *(x[order].astype(np.uint32) for x in then)
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Two bytes a number where they are enough, else four."""
+    return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32)
 
 
-def _document_number(ids: np.ndarray, tags: np.ndarray, other_ids: np.ndarray, other_tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal numbers for equal (id, tag), in both lists."""
-    both = np.stack([np.concatenate([ids, other_ids]).view(U64), np.concatenate([tags, other_tags])], axis=1)
-    number = np.unique(both, axis=0, return_inverse=True)[1].ravel()
-    return number[: len(ids)], number[len(ids) :]
+def _runs(docs: np.ndarray, *then: np.ndarray):
+    """Rows sorted by document and ``then``: each document, its number of rows, and the columns of ``then`` in that order."""
+    order = np.lexsort((*reversed(then), docs))
+    d = docs[order]
+    first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+    return _narrow(d[first]), _narrow(np.diff(np.r_[first, len(d)])), *(_narrow(x[order]) for x in then)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], match: int):
@@ -198,8 +256,9 @@ def _gathered(batches: Iterator[pa.RecordBatch], match: int):
         yield out()
 
 
-def _group_of(ids: np.ndarray, tags: np.ndarray, groups: int) -> np.ndarray:
-    x = (ids.view(U64) ^ tags) * U64(0x9E3779B97F4A7C15)
+def _group_of(tags: np.ndarray, groups: int) -> np.ndarray:
+    """By the text alone, so that equal texts of all batches meet."""
+    x = tags * U64(0x9E3779B97F4A7C15)
     x ^= x >> U64(32)
     return ((x * U64(0xBF58476D1CE4E5B9)) >> U64(33)).astype(np.int64) % groups
 
@@ -290,22 +349,36 @@ def _merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], hi[np.r_[new[1:], True]]
 
 
-def _texts_in(blocks) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+def _documents(blocks) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Ids, tags and texts of a group, by tag, of equal texts the least id. Places in this order name documents: they do not hang on the order of blocks."""
     ids, tags, texts = [], [], []
     for own, own_tags, sizes, joined in map(unpack, blocks):
         ends = np.cumsum(sizes).tolist()
         ids.append(own)
         tags.append(own_tags)
         texts += [joined[e - n : e] for e, n in zip(ends, sizes.tolist())]
-    return np.concatenate(ids), np.concatenate(tags), texts
+    ids, tags = np.concatenate(ids), np.concatenate(tags)
+    order = np.lexsort((ids, tags))
+    order = order[np.r_[True, tags[order][1:] != tags[order][:-1]]]
+    return ids[order], tags[order], [texts[i] for i in order.tolist()]
 
 
 def _marked(blocks):
-    """Blocks of _runs() as columns with a row each: id, tag and the others."""
-    cols = [(np.repeat(i, n), np.repeat(t, n), *(x.astype(np.int64) for x in then)) for i, t, n, *then in map(unpack, blocks)]
+    """Blocks of _runs() as columns with a row each: document and the others."""
+    cols = [(np.repeat(d.astype(np.int64), n), *(x.astype(np.int64) for x in then)) for d, n, *then in map(unpack, blocks)]
     return [np.concatenate(c) for c in zip(*cols)]
 
 
+def _in_two(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Whether each key (0: none) stands in two documents."""
+    order = np.argsort(keys, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
+    low, high = np.minimum.reduceat(docs[order], cuts), np.maximum.reduceat(docs[order], cuts)
+    out = np.zeros(len(keys), bool)
+    out[order] = np.repeat((low < high) & (keys[order][cuts] != 0), np.diff(np.r_[cuts, len(keys)]))
+    return out
+
+
 def _without(text: bytes, a: np.ndarray, z: np.ndarray) -> bytes:
     """The text without its merged ranges from ``a`` to ``z``."""
     return b"".join([text[x:y] for x, y in zip([0, *z.tolist()], [*a.tolist(), len(text)])])
@@ -314,50 +387,49 @@ def _without(text: bytes, a: np.ndarray, z: np.ndarray) -> bytes:
 BLOCK_ROW = "part long, block binary"
 
 
-def _marks(docs: DataFrame, id_col: str, text_col: str, match: int) -> tuple[DataFrame, DataFrame, int]:
-    """Blocks of texts, blocks of the ranges that equal strings of smaller ids remove from them, both by the group of
-    the document, and the number of groups. Ranges may overlap; equal texts of a batch are marked once, by their least id."""
+def _marks(docs: DataFrame, id_col: str, text_col: str, match: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of texts and blocks of the ranges that equal strings of smaller ids remove from them, both by the group of
+    the text. Ranges may overlap; of equal texts the one with the least id is marked."""
     narrow = docs.where(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("id"), text_of(text_col).alias("text"))
     n_docs, size = total_bytes(docs, text_col)
     groups = max(4, -(-size // BUCKET_BYTES))
     splitters = _sampled_splitters(narrow, n_docs, groups, match)
 
-    def send_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, tags, texts in _gathered(batches, match):
-            which, start, _, choice, lead = segments_of(texts, match)
-            yield rows_of([(p, pack(ids, tags, which[r].astype(np.int32), np.diff(start[r], prepend=0).astype(np.int32), (choice[r] >> U64(32)).astype(np.uint32))) for p, r in by(_bucket(lead, splitters))])
+            yield rows_of([(p, pack(ids[r], tags[r], np.array([len(texts[i]) for i in r]), b"".join([texts[i] for i in r]))) for p, r in by(_group_of(tags, groups))])
+
+    def send_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, blocks in named(batches):
+            which, start, lead, left, right = keys_of(_documents(blocks)[2], match)
+            if len(which):
+                yield rows_of([(p, pack(group, *_runs(which[r], start[r], left[r], right[r]))) for p, r in by(_bucket(lead, splitters) // COARSE)])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blocks in whole(batches):
-            ids, tags, start, hashes = [], [], [], []
-            for own, own_tags, which, steps, h in map(unpack, blocks):
-                ids.append(own[which])
-                tags.append(own_tags[which])
-                start.append(np.cumsum(steps.astype(np.int64)))
-                hashes.append(h)
-            ids, tags, start, hashes = map(np.concatenate, (ids, tags, start, hashes))
-            order = np.argsort(hashes, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, hashes[order][1:] != hashes[order][:-1]])
-            lengths = np.diff(np.r_[cuts, len(order)])
-            low, high = np.minimum.reduceat(ids[order], cuts), np.maximum.reduceat(ids[order], cuts)
-            order = order[np.repeat(low < high, lengths)]
-            ids, tags, start = ids[order], tags[order], start[order]
-            out = [(p, pack(*_runs(ids[r], tags[r], start[r]))) for p, r in by(_group_of(ids, tags, groups))]
+            group, docs_, start, left, right = [], [], [], [], []
+            for g, d, n, at, a, b in map(unpack, blocks):
+                group.append(np.full(len(at), g, np.int64))
+                docs_.append(np.repeat(d, n))
+                start.append(at)
+                left.append(a)
+                right.append(b)
+            group, docs_, start, left, right = map(np.concatenate, (group, docs_, start, left, right))
+            name = group << 32 | docs_
+            some = _in_two(left, name) | _in_two(right, name)
+            group, docs_, start = group[some], docs_[some], start[some]
+            out = [(p, pack(*_runs(docs_[r], start[r]))) for p, r in by(group)]
             if out:
                 yield rows_of(out)
 
-    def send_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, tags, texts in _gathered(batches, match):
-            yield rows_of([(p, pack(ids[r], tags[r], np.array([len(texts[i]) for i in r]), b"".join([texts[i] for i in r]))) for p, r in by(_group_of(ids, tags, groups))])
-
     def send_segments(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return _table([])
-        ids, tags, texts = _texts_in(left.column("block").to_pylist())
-        want_id, want_tag, want_at = _marked(right.column("block").to_pylist())
+        group = left.column("part")[0].as_py()
+        ids, _, texts = _documents(left.column("block").to_pylist())
+        want_doc, want_at = _marked(right.column("block").to_pylist())
         which, start, count, choice, lead = segments_of(texts, match)
-        mine, wanted = _document_number(ids, tags, want_id, want_tag)
-        keep = np.isin(mine[which] << 32 | start, wanted << 32 | want_at)
+        keep = np.isin(which << 32 | start, want_doc << 32 | want_at)
         which, start, count, choice, lead = which[keep], start[keep], count[keep], choice[keep], lead[keep]
         out = []
         for p, r in by(_bucket(lead, splitters)):
@@ -366,14 +438,14 @@ def _marks(docs: DataFrame, id_col: str, text_col: str, match: int) -> tuple[Dat
             picks = np.zeros(len(seen), U64)
             picks[of] = choice[r]
             own, place = np.unique(which[r], return_inverse=True)
-            out.append((p, pack(ids[own], tags[own], place.astype(np.uint32), start[r].astype(np.uint32), of.astype(np.uint32), picks, np.array([len(s) for s in seen]), b"".join(seen))))
+            out.append((p, pack(group, ids[own], _narrow(own), _narrow(place), _narrow(start[r]), _narrow(of), picks, np.array([len(s) for s in seen]), b"".join(seen))))
         return _table(out)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blocks in whole(batches):
             seen: dict[bytes, int] = {}
-            choice, ids, tags, start, of = [], [], [], [], []
-            for own, own_tags, place, at, which, picks, sizes, joined in map(unpack, blocks):
+            choice, ids, group, docs_, start, of = [], [], [], [], [], []
+            for g, own_ids, own, place, at, which, picks, sizes, joined in map(unpack, blocks):
                 ends = np.cumsum(sizes).tolist()
                 number = np.empty(len(sizes), np.int64)
                 for k, (e, n) in enumerate(zip(ends, sizes.tolist())):
@@ -381,66 +453,61 @@ def _marks(docs: DataFrame, id_col: str, text_col: str, match: int) -> tuple[Dat
                     number[k] = seen.setdefault(joined[e - n : e], before)
                     if number[k] == before:
                         choice.append(picks[k])
-                ids.append(own[place])
-                tags.append(own_tags[place])
+                group.append(np.full(len(place), g, np.int64))
+                ids.append(own_ids[place])
+                docs_.append(own[place])
                 start.append(at.astype(np.int64))
                 of.append(number[which])
-            ids, tags, start, of = map(np.concatenate, (ids, tags, start, of))
+            ids, group, docs_, start, of = map(np.concatenate, (ids, group, docs_, start, of))
             found = list(_resolve(list(seen), np.array(choice, U64), ids, of, match))
             row, lo, hi = (np.concatenate([f[k] for f in found]) for k in range(3))
-            ids, tags, lo, hi = ids[row], tags[row], start[row] + lo, start[row] + hi
-            out = [(p, pack(*_runs(ids[r], tags[r], lo[r], (hi - lo)[r]))) for p, r in by(_group_of(ids, tags, groups))]
+            group, docs_, lo, hi = group[row], docs_[row], start[row] + lo, start[row] + hi
+            out = [(p, pack(*_runs(docs_[r], lo[r], (hi - lo)[r]))) for p, r in by(group)]
             if out:
                 yield rows_of(out)
 
-    texts = narrow.mapInArrow(send_texts, BLOCK_ROW)
-    pieces = narrow.mapInArrow(send_hashes, BLOCK_ROW).repartition(groups, "part").mapInArrow(shared, BLOCK_ROW)
-    segments = texts.groupBy("part").cogroup(pieces.groupBy("part")).applyInArrow(send_segments, BLOCK_ROW)
-    return texts, segments.repartition(groups, "part").mapInArrow(compare, BLOCK_ROW), groups
+    texts = narrow.mapInArrow(send_texts, BLOCK_ROW).repartition(groups, "part")
+    pieces = texts.mapInArrow(send_keys, BLOCK_ROW).repartition(-(-groups // COARSE), "part").mapInArrow(shared, BLOCK_ROW)
+    segments = texts.groupBy("part").cogroup(pieces.repartition(groups, "part").groupBy("part")).applyInArrow(send_segments, BLOCK_ROW)
+    return texts, segments.repartition(groups, "part").mapInArrow(compare, BLOCK_ROW).repartition(groups, "part")
+
+
+def _cut_texts(left: pa.Table, right: pa.Table):
+    """Id, tag, text and merged ranges (first and last byte, excluded) of each text that loses something."""
+    if not len(left) or not len(right):
+        return
+    ids, tags, texts = _documents(left.column("block").to_pylist())
+    docs, lo, n = _marked(right.column("block").to_pylist())
+    for k, r in by(docs):
+        yield int(ids[k]), int(tags[k : k + 1].view(np.int64)[0]), texts[k], *_merge(lo[r], lo[r] + n[r])
 
 
 def _removed(docs: DataFrame, id_col: str, text_col: str, match: int, with_text: bool) -> DataFrame:
-    """(id, tag, n_removed, n_spans, kept_sha256, kept) of documents that lose something, equal texts aside."""
+    """(id, tag, n_removed, n_spans, kept_sha256, kept) of documents that lose something, of equal texts the least id."""
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
-        if len(left) and len(right):
-            ids, tags, texts = _texts_in(left.column("block").to_pylist())
-            mid, mtag, lo, n = _marked(right.column("block").to_pylist())
-            mine, theirs = _document_number(ids, tags, mid, mtag)
-            marks = dict(by(theirs))
-            for k, i, tag, t in zip(mine.tolist(), ids.tolist(), tags.view(np.int64).tolist(), texts):
-                r = marks.pop(k, None)  # a repeated row once
-                if r is None:
-                    continue
-                a, z = _merge(lo[r], lo[r] + n[r])
-                kept = _without(t, a, z)
-                rows.append((i, tag, int((z - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
+        for i, tag, t, a, z in _cut_texts(left, right):
+            kept = _without(t, a, z)
+            rows.append((i, tag, int((z - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
         cols = list(zip(*rows)) if rows else [()] * 6
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.table({c: pa.array(x, k) for c, x, k in zip(("id", "tag", "n_removed", "n_spans", "kept_sha256", "kept"), cols, kinds)})
 
-    texts, marks, _ = _marks(docs, id_col, text_col, match)
+    texts, marks = _marks(docs, id_col, text_col, match)
     return texts.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(cut, "id long, tag long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def _ranges(docs: DataFrame, id_col: str, text_col: str, match: int) -> DataFrame:
-    """(__i, __t, __runs) of documents that lose something, equal texts aside: pairs of first and last byte (excluded) as 64-bit integers.
+    """(__i, __t, __runs) of documents that lose something, of equal texts the least id: pairs of first and last byte (excluded) as 64-bit integers."""
 
-    Texts need not travel for it once more: the ranges go to the documents."""
+    def merged(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = [(i, tag, np.stack((a, z), axis=1).tobytes()) for i, tag, _, a, z in _cut_texts(left, right)]
+        cols = list(zip(*rows)) if rows else [()] * 3
+        return pa.table({c: pa.array(x, k) for c, x, k in zip(("__i", "__t", "__runs"), cols, (pa.int64(), pa.int64(), pa.binary()))})
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blocks in whole(batches):
-            ids, tags, lo, n = _marked(blocks)
-            number, _ = _document_number(ids, tags, ids[:0], tags[:0])
-            at, runs = [], []
-            for _, r in by(number):
-                at.append(int(r[0]))
-                runs.append(np.stack(_merge(lo[r], lo[r] + n[r]), axis=1).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(tags[at].view(np.int64)), pa.array(runs, pa.binary())], names=["__i", "__t", "__runs"])
-
-    _, marks, groups = _marks(docs, id_col, text_col, match)
-    return marks.repartition(groups, "part").mapInArrow(merged, "__i long, __t long, __runs binary")
+    texts, marks = _marks(docs, id_col, text_col, match)
+    return texts.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(merged, "__i long, __t long, __runs binary")
 
 
 @F.arrow_udf(StringType())

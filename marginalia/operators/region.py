@@ -8,12 +8,27 @@ points of one region are ever compared, a few thousand by design.
 from __future__ import annotations
 
 import itertools
+from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import materialise
 
+#: Points of each side that one task compares.
+SPLIT_B, SPLIT_A = 20_000, 200_000
+#: Vectors of each side that one task compares.
+BLOCK = 10_000
+#: A grid cell is wider than the radius by this share, so that points at just the radius are in adjoining cells however their quotients round.
+WIDER = 1 + 1e-9
+
+
+def square(radius: float) -> float:
+    """The double nearest to the square of the radius as it is written: 0.05 gives 0.0025, the product of doubles a little more."""
+    return float(Decimal(repr(float(radius))) ** 2)
+
 
 def _sq(a: list[Column], b: list[Column]) -> Column:
     return sum(((x - y) * (x - y) for x, y in zip(a, b)), F.lit(0.0))
@@ -22,14 +37,14 @@ def _sq(a: list[Column], b: list[Column]) -> Column:
 def near_pairs(a: DataFrame, b: DataFrame, radius: float, dims: list[str], a_id: str = "a_id", b_id: str = "b_id", grid_dims: int = 2) -> DataFrame:
     """(a_id, b_id, sq) of all pairs within ``radius`` (inclusive). Equi-join on grid cells of the first ``grid_dims`` dimensions."""
     use = dims[:grid_dims]
-    cell = [F.floor(F.col(c) / radius).cast("long") for c in use]
+    cell = [F.floor(F.col(c) / (radius * WIDER)).cast("long") for c in use]
     x = a.select(F.col(a_id), *[F.col(c).alias(f"{c}_a") for c in dims], *[k.alias(f"k{i}") for i, k in enumerate(cell)])
     moves = F.array(*[F.struct(*[F.lit(m).cast("long").alias(f"m{i}") for i, m in enumerate(ms)]) for ms in itertools.product((-1, 0, 1), repeat=len(use))])
     y = b.select(F.col(b_id), *[F.col(c).alias(f"{c}_b") for c in dims], *[k.alias(f"c{i}") for i, k in enumerate(cell)], F.explode(moves).alias("m"))
     y = y.select("*", *[(F.col(f"c{i}") + F.col(f"m.m{i}")).alias(f"k{i}") for i in range(len(use))])
     j = x.join(y, [f"k{i}" for i in range(len(use))])
     sq = _sq([F.col(f"{c}_a") for c in dims], [F.col(f"{c}_b") for c in dims])
-    return j.withColumn("sq", sq).where(F.col("sq") <= radius * radius).select(a_id, b_id, "sq", *[f"{c}_a" for c in dims])
+    return j.withColumn("sq", sq).where(F.col("sq") <= square(radius)).select(a_id, b_id, "sq", *[f"{c}_a" for c in dims])
 
 
 def count_neighbours(a: DataFrame, b: DataFrame, radius: float, dims: list[str]) -> DataFrame:
@@ -38,10 +53,69 @@ def count_neighbours(a: DataFrame, b: DataFrame, radius: float, dims: list[str])
     return b.select("b_id").join(n, "b_id", "left").select("b_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
+def _first_within(b: np.ndarray, a: np.ndarray, sq: float) -> np.ndarray:
+    """For each row of ``b`` the first row of ``a`` whose squared distance is at most ``sq``, or -1. Rows that have one leave early."""
+    out, open_ = np.full(len(b), -1), np.arange(len(b))
+    at, step = 0, 32
+    while at < len(a) and len(open_):
+        part = a[at : at + step]
+        found = np.full(len(open_), -1)
+        for k in range(0, len(open_), 1000):
+            d = sum((part[None, :, c] - b[open_[k : k + 1000], None, c]) ** 2 for c in range(b.shape[1]))
+            hit = d <= sq
+            found[k : k + 1000] = np.where(hit.any(axis=1), hit.argmax(axis=1), -1)
+        out[open_[found >= 0]] = at + found[found >= 0]
+        open_ = open_[found < 0]
+        at, step = at + step, min(2 * step, 4000)
+    return out
+
+
+def extremes_near(a: DataFrame, b: DataFrame, radius: float, dims: list[str], value: str, ends: tuple[str, ...] = ("lo", "hi"), grid_dims: int = 2, split_a: int | None = None, split_b: int | None = None) -> DataFrame:
+    """(b_id, lo, hi): the least and greatest long ``value`` of a within the radius of each b, null if there is none.
+
+    Points of a in one place go as one row, and a task tries those of a block of the grid and
+    its neighbours in order of their values, so that most points are done after a few; pairs are never made.
+    """
+    keys = [f"__k{i}" for i in range(min(grid_dims, len(dims)))]
+    cell = [F.floor(F.col(c) / (radius * WIDER)).cast("long").alias(k) for k, c in zip(keys, dims)]
+    doubles = [F.col(c).cast("double").alias(c) for c in dims]
+    none = " or ".join(f"{c} is null or isnan({c})" for c in dims)
+    x = a.select(*doubles, F.col(value).cast("long").alias("lo")).where(f"lo is not null and not ({none})").groupBy(*dims).agg(F.min("lo").alias("lo"), F.max("lo").alias("hi")).select("*", *cell)
+    y = b.select("b_id", *doubles).where(f"not ({none})").select("*", *cell)
+    moves = F.array(*[F.struct(*[F.lit(m).cast("long").alias(k) for k, m in zip(keys, ms)]) for ms in itertools.product((-1, 0, 1), repeat=len(keys))])
+    x = x.withColumn("__m", F.explode(moves)).withColumns({k: F.col(k) + F.col(f"__m.{k}") for k in keys}).drop("__m")
+    pieces = lambda n, most: F.ceil(F.col(n) / most)
+    sizes = y.groupBy(*keys).agg(F.count(F.lit(1)).alias("__nb")).join(x.groupBy(*keys).agg(F.count(F.lit(1)).alias("__na")), keys)
+    sizes = sizes.select(*keys, pieces("__na", split_a or SPLIT_A).alias("__pa"), pieces("__nb", split_b or SPLIT_B).alias("__pb"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    x = x.join(sizes, keys).select(*keys, *dims, "lo", "hi", F.pmod(F.xxhash64(*dims), "__pa").alias("__pa"), each("__pb").alias("__pb"))
+    y = y.join(sizes, keys).withColumn("__row", F.pmod(F.xxhash64("b_id", *dims), "__pb")).select(*keys, "b_id", *dims, F.col("__row").alias("__pb"), each("__pa").alias("__pa"))
+    task, sq = [*keys, "__pa", "__pb"], square(radius)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table({"b_id": pa.array([], left.schema.field("b_id").type), "lo": pa.array([], pa.int64()), "hi": pa.array([], pa.int64())})
+        p, q = (np.column_stack([t.column(c).to_numpy() for c in dims]) for t in (left, right))
+        out = {}
+        for end, sign in (("lo", 1), ("hi", -1)):
+            if end not in ends:
+                out[end] = pa.nulls(len(p), pa.int64())
+                continue
+            v = right.column(end).to_numpy()
+            order = np.argsort(v if sign > 0 else -v, kind="stable")
+            first = _first_within(p, q[order], sq)
+            out[end] = pa.array(v[order][first], mask=first < 0)
+        return pa.table({"b_id": left.column("b_id"), **out})
+
+    kind = b.schema["b_id"].dataType.simpleString()
+    found = y.groupBy(*task).cogroup(x.groupBy(*task)).applyInArrow(run, f"b_id {kind}, lo long, hi long")
+    found = found.where("lo is not null or hi is not null").groupBy("b_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return b.select("b_id").join(found, "b_id", "left")
+
+
 def first_neighbour(a: DataFrame, b: DataFrame, radius: float, dims: list[str]) -> DataFrame:
     """(b_id, a_id): the smallest a_id within the radius, or -1."""
-    n = near_pairs(a, b, radius, dims).groupBy("b_id").agg(F.min("a_id").alias("a_id"))
-    return b.select("b_id").join(n, "b_id", "left").select("b_id", F.coalesce("a_id", F.lit(-1).cast("long")).alias("a_id"))
+    return extremes_near(a, b, radius, dims, "a_id", ("lo",)).select("b_id", F.coalesce("lo", F.lit(-1).cast("long")).alias("a_id"))
 
 
 def local_centres(points: DataFrame, radius: float, dims: list[str]) -> DataFrame:

@@ -99,11 +99,10 @@ def replay_blocks(points: DataFrame, new_logl: Column, block: int, max_tau: floa
 
 def match_clusters(new: DataFrame, old: DataFrame, radius: float, dims: list[str]) -> DataFrame:
     """(id, cluster): for each new point the old cluster it is near to; 0 if there is none, or more than one."""
-    from .region import near_pairs
+    from .region import extremes_near
 
-    near = near_pairs(old.select(F.col("id").alias("a_id"), *dims), new.select(F.col("id").alias("b_id"), *dims), radius, dims)
-    hit = near.select(F.col("b_id").alias("id"), "a_id").join(old.select(F.col("id").alias("a_id"), "cluster"), "a_id").groupBy("id").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"))
-    return new.select("id").join(hit, "id", "left").select("id", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit(0).cast("long")).alias("cluster"))
+    hit = extremes_near(old, new.select(F.col("id").alias("b_id"), *dims), radius, dims, "cluster").withColumnRenamed("b_id", "id")
+    return hit.select("id", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit(0).cast("long")).alias("cluster"))
 
 
 def student_t_start(u: list[Column], center: list[float], rotation: list[list[float]]) -> tuple[list[Column], Column]:

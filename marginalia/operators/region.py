@@ -137,12 +137,65 @@ def max_radius_sq(points: DataFrame, boot: DataFrame, dims: list[str]) -> DataFr
     return near.groupBy("boot_id").agg(F.max("sq").alias("maxsq"))
 
 
-def mean_pair_distance(points: DataFrame, cluster: str, vec: str) -> DataFrame:
-    """(cluster, pairs, mean_distance) over unordered pairs within each cluster."""
-    x = points.select("id", F.col(cluster).alias("c"), F.col(vec).alias("v"))
-    y = x.toDF("id2", "c", "w")
-    d = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, z: s + z))
-    return x.join(y, "c").where("id < id2").groupBy("c").agg(F.count(F.lit(1)).alias("pairs"), F.avg(d).alias("mean_distance")).withColumnRenamed("c", cluster)
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of x and y by their products; those that are small beside the vectors from differences."""
+    nx, ny = (x * x).sum(1), (y * y).sum(1)
+    scale = nx[:, None] + ny[None, :]
+    sq = scale - 2 * (x @ y.T)
+    i, j = np.nonzero(sq < 1e-6 * scale)
+    for k in range(0, len(i), 20_000):
+        p, q = i[k : k + 20_000], j[k : k + 20_000]
+        sq[p, q] = ((x[p] - y[q]) ** 2).sum(1)
+    return np.sqrt(sq)
+
+
+def _block_sum(t: pa.Table) -> tuple[int, float]:
+    """Number and sum of the distances of pairs with different ids between the two blocks of a task, or within its only one."""
+    lists = t.column("v").combine_chunks()
+    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(t), -1)
+    ids = np.unique(t.column("id").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    own = t.column("__own").to_numpy()
+    one, other = np.flatnonzero(own == t.column("__one")[0].as_py()), np.flatnonzero(own == t.column("__two")[0].as_py())
+    inside = t.column("__one")[0].as_py() == t.column("__two")[0].as_py()
+    repeated = len(ids) and ids.max() + 1 < len(ids)
+    n, total = 0, 0.0
+    for k in range(0, len(one), 500):
+        p, q = one[k : k + 500], other[k:] if inside else other
+        if not len(q):
+            continue
+        d = _distances(x[p], x[q])
+        if inside or repeated:
+            apart = ids[p][:, None] != ids[q][None, :]
+            if inside:
+                apart &= np.arange(len(p))[:, None] < np.arange(len(q))[None, :]
+            n, total = n + int(apart.sum()), total + float(d[apart].sum())
+        else:
+            n, total = n + d.size, total + float(d.sum())
+    return n, total
+
+
+def mean_pair_distance(points: DataFrame, cluster: str, vec: str, block: int | None = None) -> DataFrame:
+    """(cluster, pairs, mean_distance) over unordered pairs of different ids within each cluster.
+
+    All pairs are computed, in tasks of two blocks of a cluster that answer with one sum: work grows with
+    the square of a cluster, memory with the block. Vectors with nulls count as pairs without a distance.
+    """
+    x = points.select("id", F.col(cluster).alias("c"), F.col(vec).alias("v")).where("id is not null and c is not null")
+    pairs = x.groupBy("c", "id").agg(F.count(F.lit(1)).alias("m")).groupBy("c").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).cast("long").alias("pairs"))
+    good = x.where(F.col("v").isNotNull() & ~F.exists("v", lambda e: e.isNull())).withColumn("__size", F.size("v"))
+    sizes = good.groupBy("c", "__size").agg(F.ceil(F.count(F.lit(1)) / (block or BLOCK)).alias("__blocks"))
+    good = good.join(sizes, ["c", "__size"]).withColumn("__own", F.pmod(F.xxhash64("id"), "__blocks"))
+    good = good.withColumn("__with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)))
+    good = good.select("id", "c", "v", "__size", "__own", F.least("__own", "__with").alias("__one"), F.greatest("__own", "__with").alias("__two"))
+    task = ["c", "__size", "__one", "__two"]
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        n, total = _block_sum(t)
+        return pa.table({"c": t.column("c").slice(0, 1), "n": pa.array([n], pa.int64()), "total": pa.array([total], pa.float64())})
+
+    kind = x.schema["c"].dataType.simpleString()
+    sums = good.groupBy(*task).applyInArrow(run, f"c {kind}, n long, total double").groupBy("c").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("mean_distance"))
+    return pairs.where("pairs > 0").join(sums, "c", "left").select(F.col("c").alias(cluster), "pairs", "mean_distance")
 
 
 def clusters(points: DataFrame, radius: float, dims: list[str], most_rounds: int = 100) -> DataFrame:

@@ -15,8 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import materialise
-
 #: Points of each side that one task compares.
 SPLIT_B, SPLIT_A = 20_000, 200_000
 #: Vectors of each side that one task compares.
@@ -198,22 +196,11 @@ def mean_pair_distance(points: DataFrame, cluster: str, vec: str, block: int | N
     return pairs.where("pairs > 0").join(sums, "c", "left").select(F.col("c").alias(cluster), "pairs", "mean_distance")
 
 
-def clusters(points: DataFrame, radius: float, dims: list[str], most_rounds: int = 100) -> DataFrame:
+def clusters(points: DataFrame, radius: float, dims: list[str]) -> DataFrame:
     """(id, cluster): single linkage at ``radius``; a cluster is named by its smallest member."""
-    a, b = points.withColumnRenamed("id", "a_id"), points.withColumnRenamed("id", "b_id")
-    edges = materialise(near_pairs(a, b, radius, dims).select("a_id", "b_id"))
-    label = materialise(points.select("id", F.col("id").alias("cluster")))
-    for _ in range(most_rounds):
-        low = edges.join(label.withColumnRenamed("id", "a_id"), "a_id").groupBy(F.col("b_id").alias("id")).agg(F.min("cluster").alias("low"))
-        new = label.join(low, "id", "left").select("id", F.least("cluster", "low").alias("cluster"))
-        # pointer jumping: take the label of the label
-        up = new.select(F.col("id").alias("cluster"), F.col("cluster").alias("up"))
-        new = materialise(new.join(up, "cluster").select("id", F.col("up").alias("cluster")))
-        changed = new.join(label.withColumnRenamed("cluster", "old"), "id").where("cluster <> old").head(1)
-        label = new
-        if not changed:
-            return label
-    raise RuntimeError("clusters did not settle")
+    from .clustering import members
+
+    return members(points, radius, dims).withColumnRenamed("first", "cluster")
 
 
 def scaling_layer(points: DataFrame, dims: list[str]) -> DataFrame:

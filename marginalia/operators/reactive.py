@@ -156,7 +156,7 @@ def widen(points: DataFrame, value: float, wanted: int, seed: int = 1) -> DataFr
     return drawn.join(F.broadcast(n)).join(children, "point_id").select("point_id", (F.col("nchild") + F.ceil(F.lit(float(wanted)) / F.col("n"))).alias("target"))
 
 
-def degenerate_pairs(samples: DataFrame, cols: list[str]) -> DataFrame:
+def degenerate_pairs(samples: DataFrame, cols: list[str], hot: int = 1000) -> DataFrame:
     """(a, b, rho, p_value, report): Spearman correlation of each pair of parameters of equally weighted samples.
 
     Reported are pairs with p < 0.01 and |rho| > 0.75. Ranks (means of ties) come from
@@ -167,9 +167,16 @@ def degenerate_pairs(samples: DataFrame, cols: list[str]) -> DataFrame:
     key = materialise(key.select("__row", *cols))
     s = F.stack(F.lit(len(cols)), *[x for c in cols for x in (F.lit(c), F.col(c).cast("double"))])
     counts = key.select(s.alias("param", "x")).groupBy("param", "x").agg(F.count(F.lit(1)).alias("k"))
-    ranks = running_sum(range_partitioned(counts, "param", "x"), F.col("k"), "before", "param", "x", exclusive=True, by=("param",)).select("param", "x", (F.col("before") + (F.col("k") + 1) / 2.0).alias("r"))
-    long = key.select("__row", s.alias("param", "x")).join(ranks, ["param", "x"])
-    wide = long.groupBy("__row").pivot("param", cols).agg(F.first("r"))
+    ranks = running_sum(range_partitioned(counts, "param", "x"), F.col("k"), "before", "param", "x", exclusive=True, by=("param",)).select("param", "x", "k", (F.col("before") + (F.col("k") + 1) / 2.0).alias("r"))
+    ranks = materialise(ranks)
+    # a value that many rows share would be one task of a join: the ranks of such values, at most ``hot`` a parameter, are told to all
+    least = F.greatest(F.lit(1000), F.col("n") / hot)
+    ranks = ranks.join(F.broadcast(key.agg(F.count(F.lit(1)).alias("n")))).withColumn("many", F.col("k") >= least)
+    told = F.broadcast(ranks.where("many").select("param", "x", F.col("r").alias("told")))
+    long = key.select("__row", s.alias("param", "x")).join(told, ["param", "x"], "left")
+    few = long.where("told is null").join(ranks.where("not many").select("param", "x", "r"), ["param", "x"]).select("__row", "param", "r")
+    long = long.where("told is not null").select("__row", "param", F.col("told").alias("r")).unionByName(few)
+    wide = long.groupBy("__row").agg(*[F.max(F.when(F.col("param") == c, F.col("r"))).alias(c) for c in cols])
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     out = wide.agg(F.count(F.lit(1)).alias("n"), *[F.corr(f"`{a}`", f"`{b}`").alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
     out = out.select("n", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{k}").alias("rho")) for k, (a, b) in enumerate(pairs)])).alias("x")).select("n", "x.*")

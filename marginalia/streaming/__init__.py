@@ -6,6 +6,7 @@ import math
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +24,17 @@ def order_test(ranks: DataFrame, key: str = "run_id", threshold: float = 4.0) ->
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         u, run, rows, resets = state.get if state.exists else (0.0, 0, 0, 0)
         z = 0.0
-        data = pd.concat(list(batches)).sort_values("seq")
-        for r, n in zip(data["rank"], data["n"]):
-            u, run, rows = u + (r + 0.5) / n, run + 1, rows + 1
+        # two numbers a row are held, and no frame of them all
+        seqs, terms = [], []
+        for b in batches:
+            seqs.append(b["seq"].to_numpy(np.int64))
+            terms.append((b["rank"].to_numpy(np.float64) + 0.5) / b["n"].to_numpy(np.float64))
+        seq, term = np.concatenate(seqs), np.concatenate(terms)
+        del seqs, terms
+        term = term[np.argsort(seq, kind="stable")]
+        del seq
+        for x in (x for k in range(0, len(term), 10_000) for x in term[k : k + 10_000].tolist()):
+            u, run, rows = u + x, run + 1, rows + 1
             z = (u - run / 2) / math.sqrt(run / 12)
             if abs(z) > threshold:
                 u, run, resets = 0.0, 0, resets + 1

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import logaddexp, logsumexp
-from .ordered import range_partitioned, running_sum
+from .ordered import PART, range_partitioned, running_sum
 
 ORDER = ("logl", "point_id")
 
@@ -141,19 +144,125 @@ def combine_logz(a: Column, b: Column) -> Column:
     return logaddexp(a, b)
 
 
+def _by_bootstrap(points: DataFrame, boot: DataFrame) -> tuple[DataFrame, list, dict]:
+    """Points of any bootstrap, in sorted ranges, with nchild and __boots (the bootstraps that hold their root); all boot_ids in order; and by
+    range how many points are live in each bootstrap before it. The driver holds one number for each range and bootstrap."""
+    children = points.where("parent_id is not null").groupBy(F.col("parent_id").alias("point_id")).agg(F.count(F.lit(1)).alias("nchild"))
+    lists = boot.groupBy("root_id").agg(F.collect_list("boot_id").alias("__boots"))
+    p = points.join(lists, "root_id").join(children, "point_id", "left").withColumn("nchild", F.coalesce("nchild", F.lit(0).cast("long")))
+    p = range_partitioned(p, *ORDER, sort=True)
+    change = p.groupBy(PART, "root_id").agg(F.sum(F.col("nchild") - 1).alias("d"), F.count_if(F.col("parent_id").isNull()).alias("roots"))
+    rows = change.join(boot, "root_id").groupBy(PART, "boot_id").agg(F.sum("d").alias("d"), F.sum("roots").alias("roots")).orderBy(PART).collect()
+    ids = sorted({r["boot_id"] for r in rows})
+    at, live, starts = {b: k for k, b in enumerate(ids)}, np.zeros(len(ids), np.int64), {}
+    for r in rows:
+        live[at[r["boot_id"]]] += r["roots"]
+    for r in rows:
+        starts.setdefault(r[PART], live.copy())
+        live[at[r["boot_id"]]] += r["d"]
+    return p, ids, starts
+
+
+def _sweep(batch: pa.RecordBatch, ids: np.ndarray, live: np.ndarray, logvol: np.ndarray):
+    """For each bootstrap in an ordered batch: its number, its rows, and their nlive, logvol and logw. ``live`` and ``logvol`` are the state before the batch, and after."""
+    lists = batch.column("__boots")
+    row = np.repeat(np.arange(len(batch)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    k = np.searchsorted(ids, lists.flatten().to_numpy(zero_copy_only=False))
+    row = row[np.argsort(k, kind="stable")]
+    ends = np.cumsum(np.bincount(k, minlength=len(ids)))
+    nchild = batch.column("nchild").to_numpy(zero_copy_only=False)
+    for b, (start, end) in enumerate(zip(np.append(0, ends[:-1]), ends)):
+        if start == end:
+            continue
+        at = row[start:end]
+        c = nchild[at]
+        nlive = live[b] + np.cumsum(c - 1) - (c - 1)
+        if nlive.min() < 1:
+            raise ValueError("a row comes where no point is live: parents must lie below their children")
+        step = np.where(c == 0, np.log(np.maximum(1.0 - 1.0 / nlive, 1e-300)), -1.0 / nlive)
+        after = logvol[b] + np.cumsum(step)
+        before = np.append(logvol[b], after[:-1])
+        logw = before + np.where(c == 0, -np.log(nlive), np.log(1.0 - np.exp(-1.0 / nlive)))
+        live[b], logvol[b] = nlive[-1] + c[-1] - 1, after[-1]
+        yield b, at, nlive, before, logw
+
+
+def _range_totals(p: DataFrame, boot_type: str, ids: list, starts: dict) -> DataFrame:
+    """One row for each range and bootstrap, with volumes from the range's start: rows, change of log volume, greatest logwt and sums relative to it."""
+
+    def totals(batches):
+        numbers, part = np.array(ids), None
+        for batch in batches:
+            if not len(batch):
+                continue
+            if part is None:
+                part, kind = batch.column(PART)[0].as_py(), batch.column("__boots").type.value_type
+                live, logvol, n, peak, sums = starts[part].copy(), np.zeros(len(ids)), np.zeros(len(ids), np.int64), np.full(len(ids), -np.inf), np.zeros((3, len(ids)))
+            logl, known = batch.column("logl").to_numpy(zero_copy_only=False), pc.is_valid(batch.column("logl")).to_numpy(zero_copy_only=False)
+            inner = batch.column("nchild").to_numpy(zero_copy_only=False) > 0
+            for b, at, _, _, logw in _sweep(batch, numbers, live, logvol):
+                n[b] += len(at)
+                at, logw = at[known[at]], logw[known[at]]  # a null likelihood has no weight
+                logwt = logw + logl[at]
+                top = max(peak[b], logwt.max(initial=-np.inf))
+                if top == -np.inf:
+                    continue
+                e, i = np.exp(logwt - top), inner[at]
+                sums[:, b] = sums[:, b] * np.exp(peak[b] - top) + (e.sum(), e[i].sum(), (e[i] * logl[at][i]).sum())
+                peak[b] = top
+        if part is not None:
+            out = [pa.array([part] * len(ids), pa.int32()), pa.array(ids, kind), pa.array(n), pa.array(logvol), pa.array(peak), *map(pa.array, sums)]
+            yield pa.RecordBatch.from_arrays(out, ["part", "boot_id", "n", "steps", "peak", "e", "inner", "inner_logl"]).filter(pa.array(n > 0))
+
+    return p.select(PART, "logl", "nchild", "__boots").mapInArrow(totals, f"part int, boot_id {boot_type}, n long, steps double, peak double, e double, inner double, inner_logl double")
+
+
+def bootstrap_totals(points: DataFrame, boot: DataFrame) -> DataFrame:
+    """boot_id, n, logz and h (the information over inner rows, null without any) of each bootstrap, which holds some roots' trees.
+
+    boot: (boot_id, root_id). Points are ranged by likelihood once and go once over all
+    bootstraps; weights count from the start of their range, which is then moved
+    by the volume before it, so neither are rows copied nor weights kept."""
+    p, ids, starts = _by_bootstrap(points, boot)
+    before = Window.partitionBy("boot_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    t = _range_totals(p, boot.schema["boot_id"].dataType.simpleString(), ids, starts).withColumn("peak", F.col("peak") + F.coalesce(F.sum("steps").over(before), F.lit(0.0)))
+    t = t.withColumn("top", F.max("peak").over(Window.partitionBy("boot_id")))  # one row for each range
+    f = F.exp(F.col("peak") - F.col("top"))
+    inner = F.nullif(F.sum(F.col("inner") * f), F.lit(0.0))
+    logz, top = F.max("top") + F.log(F.sum(F.col("e") * f)), F.max("top")
+    return t.groupBy("boot_id").agg(F.sum("n").alias("n"), logz.alias("logz"), (F.sum(F.col("inner_logl") * f) / inner - top - F.log(inner)).alias("h"))
+
+
 def bootstrap_evidence(points: DataFrame, boot: DataFrame) -> DataFrame:
     """(boot_id, point_id, logl, logw, logwt, ...) for each bootstrap, which holds some roots' trees.
 
-    boot: (boot_id, root_id). Points are ranged by likelihood once and then copied
-    for each bootstrap that has their root; running sums are within a bootstrap and a
-    range, plus one offset for each, so no task holds a whole bootstrap."""
-    children = points.where("parent_id is not null").groupBy(F.col("parent_id").alias("point_id")).agg(F.count(F.lit(1)).alias("nchild"))
-    p = range_partitioned(points.join(children, "point_id", "left").withColumn("nchild", F.coalesce("nchild", F.lit(0).cast("long"))), *ORDER)
-    roots = boot.groupBy("boot_id").agg(F.count(F.lit(1)).alias("__roots"))
-    p = p.join(boot, "root_id").join(F.broadcast(roots), "boot_id")  # one row for each bootstrap
-    p = running_sum(p, F.col("nchild") - 1, "__change", *ORDER, exclusive=True, by=("boot_id",))
-    p = running_sum(p.withColumn("nlive", F.col("__roots") + F.col("__change")), step(), "logvol", *ORDER, exclusive=True, by=("boot_id",))
-    return p.withColumn("logw", log_weight()).withColumn("logwt", F.col("logw") + F.col("logl")).drop("__roots", "__change")
+    boot: (boot_id, root_id). As bootstrap_totals(), but with a row for each point and
+    bootstrap that has its root; a first sweep gives the volume before each range."""
+    p, ids, starts = _by_bootstrap(points, boot)
+    boot_type = boot.schema["boot_id"].dataType.simpleString()
+    at, total, volumes = {b: k for k, b in enumerate(ids)}, np.zeros(len(ids)), {}
+    for r in _range_totals(p, boot_type, ids, starts).select("part", "boot_id", "steps").orderBy("part").collect():
+        volumes.setdefault(r["part"], total.copy())
+        total[at[r["boot_id"]]] += r["steps"]
+    keep = [c for c in p.columns if c not in ("__boots", "boot_id")]
+
+    def rows(batches):
+        numbers, live = np.array(ids), None
+        for batch in batches:
+            if not len(batch):
+                continue
+            if live is None:
+                part = batch.column(PART)[0].as_py()
+                live, logvol = starts[part].copy(), volumes[part].copy()
+            kept = batch.select(keep)
+            for b, at, nlive, before, logw in _sweep(batch, numbers, live, logvol):
+                own = kept.take(pa.array(at))
+                new = [pa.array([ids[b]] * len(at), batch.column("__boots").type.value_type), *map(pa.array, (nlive, before, logw))]
+                yield pa.RecordBatch.from_arrays([new[0], *own.columns, *new[1:]], ["boot_id", *keep, "nlive", "logvol", "logw"])
+
+    names = ", ".join(f"`{c}` {p.schema[c].dataType.simpleString()}" for c in keep)
+    b = p.mapInArrow(rows, f"boot_id {boot_type}, {names}, nlive long, logvol double, logw double")
+    return b.withColumn("logwt", F.col("logw") + F.col("logl"))
 
 
 def bootstrap_information(b: DataFrame) -> DataFrame:

@@ -27,9 +27,10 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def range_partitioned(df: DataFrame, *order: str) -> DataFrame:
-    """Rows in ranges of ``order``, numbered in PART. Boundaries are fixed by writing the result."""
-    return materialise(df.repartitionByRange(*order).withColumn(PART, F.spark_partition_id()))
+def range_partitioned(df: DataFrame, *order: str, sort: bool = False) -> DataFrame:
+    """Rows in ranges of ``order``, numbered in PART. Boundaries are fixed by writing the result. ``sort``: the rows of a range are written in order, too."""
+    ranges = df.repartitionByRange(*order)
+    return materialise((ranges.sortWithinPartitions(*order) if sort else ranges).withColumn(PART, F.spark_partition_id()))
 
 
 def running_sum(df: DataFrame, value: Column, name: str, *order: str, exclusive: bool = False, by: tuple[str, ...] = ()) -> DataFrame:

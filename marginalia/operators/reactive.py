@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chained import in_tree
-from .evidence import ORDER, bootstrap_evidence, bootstrap_information, bootstrap_kl, bootstrap_logz, summary, weighted, with_peak
+from .evidence import ORDER, bootstrap_evidence, bootstrap_kl, bootstrap_logz, bootstrap_totals, summary, weighted, with_peak
 from .ordered import following, materialise, range_partitioned, running_sum
 from .posterior import resample_counts
 from .strategy import least_width, parents_before
@@ -55,8 +55,7 @@ def result_table(points: DataFrame, boot: DataFrame) -> DataFrame:
     """One row: n, logz, logzerr and its parts, ess, h and its spread, max_logl. ``boot``: (boot_id, root_id), without the whole run."""
     w = weighted(points)
     main = summary(w)
-    b = bootstrap_evidence(points, boot)
-    z = bootstrap_logz(b).join(bootstrap_information(b), "boot_id")
+    z = bootstrap_totals(points, boot).where("h is not null")
     one = main.select(F.col("logz").alias("z0"), F.col("h").alias("h0"))
     n = F.count(F.lit(1)) + 1  # spreads of h include the whole run
     mean = (F.sum("h") + F.max("h0")) / n

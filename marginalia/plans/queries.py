@@ -43,6 +43,12 @@ def _points(spark: SparkSession, sf: str, roots: int = N, ragged: bool = False)
     return points_from(cols, "o_orderkey", F.expr(LOGL), roots, ragged)
 
 
+def _tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The same run with the columns that its evidence needs."""
+    cols = read(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    return points_from(cols, "o_orderkey", F.expr(LOGL), N).select("point_id", "logl", "parent_id", "root_id")
+
+
 def _r(c, digits: int = 6):
     return F.round(c, digits)
 
@@ -152,22 +158,21 @@ _BOOT = f"""b AS (SELECT b.i::INT AS boot_id, r.i AS root_id FROM range(8) b(i),
 
 @query(f"WITH {_run_sql()}, {_BOOT} SELECT boot_id, n, round(bz, 6) AS logz FROM bz")
 def bootstrap_evidence(spark, sf):
-    b = ev.bootstrap_evidence(_points(spark, sf), _boot(spark))
-    return ev.bootstrap_logz(b).select("boot_id", "n", _r("logz").alias("logz"))
+    return ev.bootstrap_totals(_tree(spark, sf), _boot(spark)).select("boot_id", "n", _r("logz").alias("logz"))
 
 
 @query(f"WITH {_run_sql()}, {_BOOT} SELECT round(avg(bz), 6) AS logz_bs, round(stddev_pop(bz), 6) AS logz_bs_std, round(max(bz - (SELECT logz FROM t)), 6) AS logzerr_bs FROM bz WHERE boot_id > 0")
 def bootstrap_error(spark, sf):
-    p = _points(spark, sf)
-    z = ev.bootstrap_logz(ev.bootstrap_evidence(p, _boot(spark))).where("boot_id > 0")
-    z0 = ev.summary(ev.weighted(p)).select(F.col("logz").alias("z0"))
-    return z.join(F.broadcast(z0)).agg(_r(F.avg("logz")).alias("logz_bs"), _r(F.stddev_pop("logz")).alias("logz_bs_std"), _r(F.max(F.col("logz") - F.col("z0"))).alias("logzerr_bs"))
+    """Bootstrap 0 has all roots, so it is the whole run."""
+    z = ev.bootstrap_totals(_tree(spark, sf), _boot(spark))
+    part, whole = F.when(F.col("boot_id") > 0, F.col("logz")), F.max(F.when(F.col("boot_id") == 0, F.col("logz")))
+    return z.agg(_r(F.avg(part)).alias("logz_bs"), _r(F.stddev_pop(part)).alias("logz_bs_std"), _r(F.max(part) - whole).alias("logzerr_bs"))
 
 
 @query(f"WITH {_run_sql()}, {_BOOT} SELECT boot_id, round(sum(exp(bwt - bz) * (bwt - bz - (zz.logwt - t.logz))), 6) AS kl FROM bw JOIN bz USING (boot_id) JOIN zz USING (point_id), t WHERE boot_id > 0 GROUP BY boot_id")
 def bootstrap_kl(spark, sf):
-    p = _points(spark, sf)
-    b = ev.bootstrap_evidence(p, _boot(spark)).where("boot_id > 0")
+    p = _tree(spark, sf)
+    b = ev.bootstrap_evidence(p, _boot(spark).where("boot_id > 0"))
     return ev.bootstrap_kl(ev.weighted(p), b).select("boot_id", _r("kl").alias("kl"))
 
 
